@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, packing, url_filters
+from . import ann, bpe, line_dedup, packing, perplexity, pii, quality, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality_classifier": quality.op3_quality_classifier,
+        "op4_quality_rules": perplexity.op4_quality_rules,
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op6_nearest_neighbours": ann.op6_nearest_neighbours,
+        "op7_pii": pii.op7_pii,
         "op8_packing": packing.op8_packing,
         "op9_url_filters": url_filters.op9_url_filters,
         "op10_bpe": bpe.op10_bpe,
