@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, line_dedup, ngram_join, packing, perplexity, pii, quality, url_filters
+from . import ann, bpe, line_dedup, ngram_join, packing, perplexity, pii, quality, suffix_dedup, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_quality_classifier": quality.op3_quality_classifier,
         "op4_quality_rules": perplexity.op4_quality_rules,
