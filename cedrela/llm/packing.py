@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +16,19 @@ from tokenizers import Tokenizer
 
 from .common import chunks, pick, table, texts
 
-#: Distinct words whose ids a task keeps before it forgets them all: a bound of its memory, not of its results.
-KEPT_WORDS = 300_000
+#: Distinct words whose ids a worker keeps, from task to task, before it forgets them all: a bound of its memory, not of
+#: its results.
+KEPT_WORDS = 800_000
 #: Tokens that a task gathers before it packs them: its windows are filled from so many.
 GATHERED = 4 << 20
 
 #: Fixed split pattern of the byte-level vocabulary.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-SETTLED = regex.compile(r"[\x00-ԯ‐-‧€]*").fullmatch
+#:     's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
+#: Here it is for the characters of SETTLED, of which \w holds letters, digits, the six numbers below and the underscore.
+NUMBER = "0-9²³¹¼½¾"
+PIECES = re.compile(rf" ?[^\W_{NUMBER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBER}]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+#: Characters of which every Unicode version says the same: Latin, Greek, Cyrillic, common punctuation.
+SETTLED = re.compile("[\x00-\x1b\x20-\u052f\u2010-\u2027\u20ac]*").fullmatch
 
 
 @lru_cache(2)
@@ -33,6 +38,11 @@ def tokenizer(path: str) -> tuple[Tokenizer, tuple[str, ...]]:
     return Tokenizer.from_file(path), special
 
 
+@lru_cache(2)
+def known_words(path: str) -> dict[str, bytes]:
+    return {}
+
+
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to little-endian unsigned 32-bit ids. The library encodes each distinct word once; texts join the words' ids.
 
@@ -40,11 +50,11 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     as a whole.
     """
     library, special = tokenizer(path)
-    known: dict[str, bytes] = {}
+    known = known_words(path)
     raw = lambda ids: np.array(ids, "<u4").tobytes()
 
     def encode(batch: list[str]) -> list[bytes]:
-        plain = [(x.isascii() or SETTLED(x)) and not any(s in x for s in special) for x in batch]
+        plain = [SETTLED(x) and not any(s in x for s in special) for x in batch]
         cut = [PIECES(x) if ok else [] for x, ok in zip(batch, plain)]
         if len(known) > KEPT_WORDS:
             known.clear()
