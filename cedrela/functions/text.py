@@ -21,7 +21,7 @@ def fold_only(x: Column) -> Column:
 
 def vocabulary_key(x: Column) -> Column:
     """Upper-case A-Z and digits only."""
-    return F.regexp_replace(F.upper(fold(x)), "[^A-Z0-9]", "")
+    return F.upper(F.regexp_replace(fold(x), "[^a-z0-9]", ""))
 
 
 def similarity(a: Column, b: Column) -> Column:
