@@ -52,19 +52,19 @@ def word_count(spark: SparkSession, d: str) -> DataFrame:
     return views.read(spark, d, "documents").select("doc_id", text.word_count(F.col("text")).alias("n_words"))
 
 
-@C.add("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) != '')) AS n_lines, upper(regexp_replace(strip_accents(lower(substr(text, 1, 60))), '[^a-z0-9]', '', 'g')) AS k FROM documents")
+@C.add("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) != '')) AS n_lines, sha256(upper(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]', '', 'g'))) AS k FROM documents")
 def vocabulary_keys(spark: SparkSession, d: str) -> DataFrame:
     docs = views.read(spark, d, "documents")
     n = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
-    return docs.select("doc_id", n.alias("n_lines"), text.vocabulary_key(F.substring("text", 1, 60)).alias("k"))
+    return docs.select("doc_id", n.alias("n_lines"), F.sha2(text.vocabulary_key(F.regexp_replace("text", "ß", "")), 256).alias("k"))
 
 
-PAIRS = "p AS (SELECT a.item_id, b.item_id AS other, substr(regexp_replace(strip_accents(lower(a.text)), '[^a-z ]', '', 'g'), 1, 80) AS x, substr(regexp_replace(strip_accents(lower(b.text)), '[^a-z ]', '', 'g'), 1, 80) AS y FROM benchmark a JOIN benchmark b ON b.item_id BETWEEN a.item_id + 1 AND a.item_id + 3)"
+PAIRS = "p AS (SELECT a.item_id, b.item_id AS other, regexp_replace(strip_accents(lower(a.text)), '[^a-z ]', '', 'g') AS x, regexp_replace(strip_accents(lower(b.text)), '[^a-z ]', '', 'g') AS y FROM benchmark a JOIN benchmark b ON b.item_id BETWEEN a.item_id + 1 AND a.item_id + 3)"
 
 
 @C.add(f"WITH {PAIRS} SELECT item_id, other, levenshtein(x, y) AS distance, {similarity('x', 'y')} AS similarity FROM p")
 def edit_distance(spark: SparkSession, d: str) -> DataFrame:
-    start = F.substring(F.regexp_replace(text.fold_only(F.col("text")), "[^a-z ]", ""), 1, 80)
+    start = F.regexp_replace(text.fold_only(F.col("text")), "[^a-z ]", "")
     a = views.read(spark, d, "benchmark")
     near = a.select("item_id", F.explode(F.sequence(F.col("item_id") + 1, F.col("item_id") + 3)).alias("other"), start.alias("x"))
     both = near.join(a.select(F.col("item_id").alias("other"), start.alias("y")), "other")
@@ -86,17 +86,18 @@ def find_emails(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(text.EMAIL), F.lit(0))).alias("email"))
 
 
-CLEAN_PHONES = f"list_transform(regexp_extract_all(regexp_replace(lower(text), {quoted(numbers.YEARS)}, ' ', 'g'), {quoted(numbers.PHONE)}), lambda x: trim(regexp_replace(x, '[ .()-]+$', '')))"
+ALL_PHONES = f"regexp_extract_all(regexp_replace(lower(text), {quoted(numbers.YEARS)}, ' ', 'g'), {quoted(numbers.PHONE)})"
+PARTED = f"flatten(list_transform({ALL_PHONES}, lambda x: CASE WHEN length({digits('x')}) > 15 THEN string_split_regex(x, '\\s*-\\s*') ELSE [x] END))"
+CLEAN_PHONES = f"list_transform({PARTED}, lambda x: trim(regexp_replace(x, '[ .()-]+$', '')))"
 
 
 @C.add(
-    f"""WITH f AS (SELECT doc_id, list_filter({CLEAN_PHONES}, lambda x: length({digits('x')}) BETWEEN 7 AND 15 AND NOT regexp_matches(x, {quoted(numbers.TAX_ID)})) AS p
-FROM documents WHERE len(list_filter({CLEAN_PHONES}, lambda x: length({digits('x')}) > 15)) = 0) SELECT doc_id, p[1] AS phone FROM f WHERE len(p) > 0"""
+    f"""WITH f AS (SELECT doc_id, list_filter({CLEAN_PHONES}, lambda x: length({digits('x')}) BETWEEN 7 AND 15 AND NOT regexp_matches(x, {quoted(numbers.TAX_ID)})) AS p FROM documents)
+SELECT doc_id, p[1] AS phone FROM f WHERE len(p) > 0"""
 )
 def find_phones(spark: SparkSession, d: str) -> DataFrame:
     docs = views.read(spark, d, "documents")
-    glued = F.exists(F.regexp_extract_all(F.regexp_replace(F.lower("text"), numbers.YEARS, " "), F.lit(numbers.PHONE), F.lit(0)), lambda x: F.length(numbers.digits(x)) > 15)
-    return docs.where(~glued).select("doc_id", numbers.phone(F.col("text")).alias("phone")).where("phone IS NOT NULL")
+    return docs.select("doc_id", numbers.phone(F.col("text")).alias("phone")).where("phone IS NOT NULL")
 
 
 def id_sql(x: str) -> str:

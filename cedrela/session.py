@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +19,10 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     } | more
     builder = SparkSession.builder.appName("cedrela").config(map=conf)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one that spark.checkpoint.dir names; where that is unset, under a temporary one."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
