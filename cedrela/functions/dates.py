@@ -22,7 +22,8 @@ DAY_FIRST = r"(?:^|[^0-9/-])([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4}|[0-9]{2})(
 YEAR_FIRST = r"(?:^|[^0-9/-])([0-9]{4})[/-]([0-9]{1,2})[/-]([0-9]{1,2})(?:$|[^0-9/-])"
 YEAR = r"(?:19|20)[0-9]{2}"
 PRESENT = "presente|actualidad|actual|hoy|present|current|now"
-END = rf"(?:[a-z]+\.?\s+(?:de\s+)?)?(?:[0-9]{{1,2}}\s*[/-]\s*)?({YEAR})"
+MONTH_WORD = r"(?:ene|feb|mar|abr|may|jun|jul|ago|sep|set|oct|nov|dic|jan|apr|aug|dec)[a-z]*\.?\s+(?:de\s+)?"
+END = rf"(?:{MONTH_WORD})?(?:[0-9]{{1,2}}\s*[/-]\s*)?({YEAR})"
 RANGE = rf"{END}\s*(?:-|a|al|hasta|to)\s*(?:{END}|({PRESENT}))"
 TERM = r"(?:duracion|termino|plazo|periodo)\s*(?:del\s+contrato)?\s*(?:de|:)?\s*([0-9]{1,3})\s*\(?\s*mes"
 
