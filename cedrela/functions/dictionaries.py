@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import fold
+from .text import bind, fold
 
 # Terms of each job family (folded).
 FAMILIES = {
@@ -30,11 +30,10 @@ def _folded(x: str) -> str:
 
 def job_family(title: Column, families: dict[str, list[str]] | None = None) -> Column:
     """The family whose term is the title, else of the longest term (five letters or more) that stands in it; else null."""
-    x = fold(title)
     terms = sorted(((t, f) for f, ts in (families or FAMILIES).items() for t in ts), key=lambda p: (-len(p[0]), p[0]))
-    exact = F.create_map(*[F.lit(v) for t, f in terms for v in (t, f)])[x]
-    within = [F.when(F.contains(x, F.lit(t)), F.lit(f)) for t, f in terms if len(t) >= 5]
-    return F.coalesce(exact, *within)
+    exact = F.create_map(*[F.lit(v) for t, f in terms for v in (t, f)])
+    within = lambda x: [F.when(F.contains(x, F.lit(t)), F.lit(f)) for t, f in terms if len(t) >= 5]
+    return bind(fold(title), lambda x: F.coalesce(exact[x], *within(x)))
 
 
 def bounded(term: str) -> str:
@@ -44,8 +43,8 @@ def bounded(term: str) -> str:
 def find_place(text: Column, places: list[str] | None = None) -> Column:
     """The place that stands first in the text; of those that begin there, the longest name."""
     x = F.concat(F.lit(" "), F.regexp_replace(fold(text), "[^a-z0-9]+", " "), F.lit(" "))
-    at = [F.struct(F.locate(f" {_folded(p)} ", x).alias("at"), F.lit(-len(p)).alias("longest"), F.lit(p).alias("place")) for p in places or PLACES]
-    return F.array_min(F.filter(F.array(*at), lambda s: s["at"] > 0))["place"]
+    at = lambda x: [F.struct(F.instr(x, F.lit(f" {_folded(p)} ")).alias("at"), F.lit(-len(p)).alias("longest"), F.lit(p).alias("place")) for p in places or PLACES]
+    return bind(x, lambda x: F.array_min(F.filter(F.array(*at(x)), lambda s: s["at"] > 0))["place"])
 
 
 def fuzzy_place(text: Column, places: list[str] | None = None) -> Column:
@@ -63,9 +62,8 @@ def fuzzy_place(text: Column, places: list[str] | None = None) -> Column:
 
 def skills(text: Column, taxonomy: dict[str, list[str]] | None = None) -> Column:
     """array of (category, skill) whose terms stand in the text as words, in the taxonomy's order."""
-    x = fold(text)
-    each = [F.when(x.rlike(bounded(s)), F.struct(F.lit(c).alias("category"), F.lit(s).alias("skill"))) for c, ss in (taxonomy or SKILLS).items() for s in ss]
-    return F.array_compact(F.array(*each))
+    each = lambda x: [F.when(F.contains(x, F.lit(s)) & x.rlike(bounded(s)), F.struct(F.lit(c).alias("category"), F.lit(s).alias("skill"))) for c, ss in (taxonomy or SKILLS).items() for s in ss]
+    return bind(fold(text), lambda x: F.array_compact(F.array(*each(x))))
 
 
 def fuzzy_lookup(rows: DataFrame, column: str, terms: DataFrame, most: float = 0.18) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 AMOUNT = r"\$?\s*([0-9][0-9.,]{3,})"
 LABELLED_ID = r"(?:cc|c\.c\.|cedula|identificacion|documento)(?:\s+de\s+ciudadania)?\s*(?:no\.?|n)?\s*[:#.-]?\s*([0-9][0-9. -]{5,13}[0-9])"
 DOTTED_ID = r"(?:^|[^0-9.])([0-9]{1,3}(?:\.[0-9]{3}){2,3})(?:$|[^0-9.])"
@@ -52,10 +54,9 @@ def expected_salary(text: Column) -> Column:
 
 def document_in_text(folded: Column) -> Column:
     """An identity number: after a label (7 to 11 digits), else dotted, else bare, the last two not starting with 3."""
-    labelled = digits(_found(folded, LABELLED_ID))
-    dotted, bare = digits(_found(folded, DOTTED_ID)), _found(folded, BARE_ID)
-    free = lambda x: F.when(~x.startswith("3") & F.length(x).between(7, 11), x)
-    return F.coalesce(F.when(F.length(labelled).between(7, 11), labelled), free(dotted), free(bare))
+    free = lambda x: bind(x, lambda v: F.when(~v.startswith("3") & F.length(v).between(7, 11), v))
+    labelled = bind(digits(_found(folded, LABELLED_ID)), lambda v: F.when(F.length(v).between(7, 11), v))
+    return F.coalesce(labelled, free(digits(_found(folded, DOTTED_ID))), free(_found(folded, BARE_ID)))
 
 
 def phone(text: Column, other_than: Column | None = None) -> Column:

@@ -25,7 +25,8 @@ def email_in(text: Column) -> Column:
     joined = lambda p: F.when(x.rlike(p), F.concat(F.regexp_extract(x, p, 1), F.lit("@"), F.regexp_extract(x, p, 2)))
     parted = rf"(?:^|[^a-z0-9._-])([a-z0-9][a-z0-9._-]*[a-z0-9])\s*[{GLYPHS}]{{1,2}}{_END}"
     blank = rf"(?:^|[^a-z0-9._-])([a-z0-9][a-z0-9._-]*[0-9._][a-z0-9._-]*)\s+{_END}"
-    return F.coalesce(plain, joined(blank), joined(parted))
+    named = x.rlike("|".join(DOMAINS))  # most texts name no domain, and are done with here
+    return F.coalesce(F.when(F.contains(text, F.lit("@")), plain), F.when(named, F.coalesce(joined(blank), joined(parted))))
 
 
 def split_glued(word: str, vocabulary: frozenset[str], longest: int) -> list[str]:

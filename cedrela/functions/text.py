@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
 
 
+def bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f uses it. Catalyst would put the whole expression in each place."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def fold(x: Column) -> Column:
     """Lower case without accents, blanks collapsed, trimmed: the form that rules compare."""
     return F.trim(F.regexp_replace(F.translate(F.lower(x), ACCENTED, PLAIN), r"\s+", " "))
@@ -92,18 +99,16 @@ def unintelligible(text: Column) -> Column:
     """struct(flag, reason) for text from recognition: long runs of one character in over 30 % of the lines, many long words
     without vowels, few words with two vowels in a row, or nothing at all."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    runs = F.size(F.filter(lines, lambda x: x.rlike(r"(.)\1{3,}")))
+    runs = lambda ls: F.size(F.filter(ls, lambda x: x.rlike(r"(.)\1{3,}"))) > 0.3 * F.size(ls)
     tokens = F.filter(F.split(fold_only(text), r"\s+"), lambda t: t.rlike("[a-z]"))
-    odd = F.size(F.filter(tokens, lambda t: (F.length(t) > 6) & ~t.rlike("[aeiou]")))
-    voiced = F.size(F.filter(tokens, lambda t: t.rlike("[aeiou].*[aeiou]")))
-    n = F.size(tokens)
-    reason = (
-        F.when(F.coalesce(F.trim(text), F.lit("")) == "", "vacio")
-        .when((F.size(lines) > 0) & (runs > 0.3 * F.size(lines)), "repeticion")
-        .when((odd > 3) & (n > 9), "sin_vocales")
-        .when((n > 10) & (voiced < 0.25 * n), "pocas_palabras")
-    )
-    return F.struct(reason.isNotNull().alias("flag"), reason.alias("reason"))
+
+    def by_words(ts: Column) -> Column:
+        odd = F.size(F.filter(ts, lambda t: (F.length(t) > 6) & ~t.rlike("[aeiou]")))
+        voiced = F.size(F.filter(ts, lambda t: t.rlike("[aeiou].*[aeiou]")))
+        return F.when((F.size(ts) > 9) & (odd > 3), "sin_vocales").when((F.size(ts) > 10) & (voiced < 0.25 * F.size(ts)), "pocas_palabras")
+
+    reason = F.when(F.coalesce(F.trim(text), F.lit("")) == "", "vacio").when(bind(lines, lambda ls: (F.size(ls) > 0) & runs(ls)), "repeticion").otherwise(bind(tokens, by_words))
+    return bind(reason, lambda r: F.struct(r.isNotNull().alias("flag"), r.alias("reason")))
 
 
 #: Fixed thresholds and shapes of data that forms hold.
