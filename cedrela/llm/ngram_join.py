@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER_TO_LOWER, chunks, components, joined, mix, pick, stage, table, texts, word_hashes
+from .common import UPPER_TO_LOWER, chunks, components, forget, joined, mix, pick, stage, table, texts, word_hashes
 
 #: Words of a shingle.
 WORDS = 5
@@ -96,9 +96,9 @@ def incidence(docs: DataFrame, frequent: np.ndarray, n_shingles: int) -> DataFra
     """shingle, class, n, pos: the part of the incidence matrix that decides which documents can meet.
 
     Sets of a Jaccard similarity of 0.75 or more share a shingle among the first n - ceil(0.75 n) + 1 of each, in one order
-    of all shingles: rare ones first. A shingle of one class only can't make a pair and is left out: each block of columns
-    finds out about the rare ones, which come packed; frequent ones go on as they are, so no block grows with the number of
-    documents that share a passage. A task gives each class once.
+    of all shingles: rare ones first. A shingle of one class only can't make a pair and is left out: the blocks of columns
+    find out about the rare ones. Entries of frequent shingles are dealt over all blocks by document and go on as they are,
+    so no block grows with the number of documents that share a passage. A task gives each class once.
     """
     n_blocks = math.ceil(n_shingles * 0.26 / BLOCK) or 1
     held = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -110,7 +110,8 @@ def incidence(docs: DataFrame, frequent: np.ndarray, n_shingles: int) -> DataFra
         def flush() -> Iterator[pa.RecordBatch]:
             rows = np.concatenate(parts)
             parts.clear()
-            block = (rows["shingle"] % np.uint64(n_blocks)).astype(np.int64)
+            dealt = np.where(rows["often"], mix(rows["shingle"], rows["class"].view(np.uint64)), rows["shingle"])
+            block = (dealt % np.uint64(n_blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             cuts = np.searchsorted(block[order], np.arange(n_blocks + 1))
             packed = [(b, rows[order[i:j]].tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
@@ -135,31 +136,20 @@ def incidence(docs: DataFrame, frequent: np.ndarray, n_shingles: int) -> DataFra
         if parts:
             yield from flush()
 
-    def frequent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column("rows"):
-                rows = np.frombuffer(x.as_buffer(), ENTRY)
-                yield plain(rows[rows["often"]])
-
     def met(group: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in group["rows"]])
-        rows = rows[~rows["often"]]
         rows = rows[np.lexsort((rows["class"], rows["shingle"]))]
         if len(rows):
             new = np.append(True, (rows["shingle"][1:] != rows["shingle"][:-1]) | (rows["class"][1:] != rows["class"][:-1]))
             rows = rows[new]
             same = rows["shingle"][1:] == rows["shingle"][:-1]
-            rows = rows[np.append(False, same) | np.append(same, False)]
+            rows = rows[rows["often"] | np.append(False, same) | np.append(same, False)]
         return pa.Table.from_batches([plain(rows)])
 
     def plain(rows: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c]).view(np.int64) if c == "shingle" else np.ascontiguousarray(rows[c]).astype(np.int64)) for c in COLUMNS], list(COLUMNS))
 
-    kinds = "shingle long, class long, n long, pos long"
-    packed = stage(docs.mapInArrow(run, "block long, rows binary"))
-    rare = packed.groupBy("block").applyInArrow(met, kinds)
-    often = packed.select("rows").mapInArrow(frequent_rows, kinds).distinct()
-    return rare.union(often)
+    return docs.mapInArrow(run, "block long, rows binary").groupBy("block").applyInArrow(met, "shingle long, class long, n long, pos long")
 
 
 ENTRY = np.dtype([("shingle", "<u8"), ("class", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("often", "?")])
@@ -230,6 +220,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     described, frequent = describe(docs)
     total = described.agg(F.sum("n")).first()[0] or 0
     shown = stage(incidence(docs, frequent, total))
+    forget(docs.sparkSession)
     overlap = lambda x, y: 7 * (1 + F.least(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1)) >= 3 * (x["n"] + y["n"])
 
     # Each class against the smallest of its band of sizes.
@@ -239,7 +230,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fits = 7 * (1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n_f") - F.col("pos_f") - 1)) >= 3 * (F.col("n") + F.col("n_f"))
     tests = stage(banded.join(first, ["shingle", "band"]).where((F.col("class") != F.col("a")) & fits).select("a", F.col("class").alias("b")).distinct())
     sets = stage(sets_of(docs, described, shown.select("class").distinct()))
+    forget(docs.sparkSession)
     links = stage(linked(tests, sets))
+    forget(docs.sparkSession)
     found = components(links)
 
     # What is left in columns of several components.

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +19,7 @@ ORDER = {kind: i for i, kind in enumerate((*KINDS, "removed", "general"))}
 # The patterns are those of the contract, so written that no text takes more than linear time.
 EMAIL_END = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 EMAIL_CHAR = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")  # an address is four parts of such a chain
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{4,}")
@@ -32,8 +30,8 @@ REACH = 6
 MIN_DOCS = 2
 #: From what share of a term's documents hold the entity beside it the term is generalised, and removed.
 GENERALISE, REMOVE = 0.5, 0.9
-#: Flagged terms that a task holds at once (8 bytes each). With more, the texts are gone through part by part.
-TERM_PART = 2 << 20
+#: Flagged terms that a task holds at once, some 100 bytes each. With more, the texts are gone through part by part.
+TERM_PART = 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -53,9 +51,16 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             if at < m.start():
                 out.append((at, m.end(), "email"))
                 past = m.end()
-    for m in IP.finditer(text):
-        if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split(".")):
-            out.append((*m.span(), "ip"))
+    for m in DOTTED.finditer(text):
+        if m[0].count(".") < 3:
+            continue
+        parts, at = m[0].split("."), m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in four):
+                out.append((at, end, "ip"))
+            at = end + 1
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -68,10 +73,6 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], ORDER[s[2]]))
 
 
-def term_hash(term: str) -> int:
-    return int.from_bytes(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
 def entity_of(kind: str, text: str) -> str:
     """What makes two mentions the same entity: letters in lower case, or the digits."""
     return f"{kind}:{text.lower() if kind in ('email', 'ip') else ''.join(c for c in text if c.isdigit())}"
@@ -89,7 +90,7 @@ def beside(text: str, spans: list[tuple[int, int, str]]) -> set[tuple[str, str]]
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
-    """term (hash), share: terms that reveal an entity.
+    """term, share: terms that reveal an entity.
 
     One pass over all texts counts, for each term, its documents, and for each term beside an entity, the documents with
     both; tasks add up before the shuffle. share is the largest estimate of P(entity beside it | term in the document) over
@@ -99,21 +100,23 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[tuple[str, str]] = Counter()
+        documents: Counter[str] = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(held.items())
+            rows = [((term, ""), n) for term, n in documents.items()] + list(held.items())
             for i in range(0, len(rows), 50_000):
                 part = rows[i : i + 50_000]
                 ts, es = zip(*(k for k, _ in part))
                 yield pa.RecordBatch.from_arrays([pa.array(ts), pa.array(es), pa.array([n for _, n in part], pa.int64())], ["term", "entity", "n"])
             held.clear()
+            documents.clear()
 
         for batch in chunks(batches, "text", 2 << 20):
             for text in texts(batch):
-                held.update([(w, "") for w in {*TERM.findall(text.lower())}])
+                documents.update({*TERM.findall(text.lower())})
                 if spans := base_spans(text):
                     held.update(beside(text, spans))
-            if len(held) > 400_000:
+            if len(held) + len(documents) > 400_000:
                 yield from flush()
         yield from flush()
 
@@ -125,37 +128,25 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     return found
 
 
-def spans_of(text: str, carried: str, keys: np.ndarray, removed: np.ndarray) -> str:
+def spans_of(text: str, carried: str, shares: dict[str, float]) -> str:
     """The spans found so far (kind:start:end, by commas) with those of flagged terms added."""
+    low = text.lower()
+    if not shares or (len(low) == len(text) and shares.keys().isdisjoint(TERM.findall(low))):
+        return carried
     spans = []
     for x in carried.split(",") if carried else []:
         kind, start, end = x.split(":")
         spans.append((int(start), int(end), kind))
-    if len(keys):
-        taken = [s for s in spans if s[2] in KINDS]
-        new, k = [], 0
-        for m in TERM.finditer(text):
-            while k < len(taken) and taken[k][1] <= m.start():
-                k += 1
-            if any(s[0] < m.end() and m.start() < s[1] for s in taken[k : k + len(KINDS)]):
-                continue
-            h = known_hash(m.group().lower())
-            at = np.searchsorted(keys, h)
-            if at < len(keys) and keys[at] == h:
-                new.append((*m.span(), "removed" if removed[at] else "general"))
-        spans = sorted(spans + new, key=lambda s: (s[0], ORDER[s[2]]))
-    return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
-
-
-HASHES: dict[str, int] = {}
-
-
-def known_hash(term: str) -> int:
-    if (h := HASHES.get(term)) is None:
-        if len(HASHES) > 500_000:
-            HASHES.clear()
-        h = HASHES[term] = term_hash(term)
-    return h
+    taken = [s for s in spans if s[2] in KINDS]
+    new, k = [], 0
+    for m in TERM.finditer(text):
+        if (share := shares.get(m.group().lower())) is None:
+            continue
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if not any(s[0] < m.end() and m.start() < s[1] for s in taken[k : k + len(KINDS)]):
+            new.append((*m.span(), "removed" if share >= REMOVE else "general"))
+    return ",".join(f"{kind}:{start}:{end}" for start, end, kind in sorted(spans + new, key=lambda s: (s[0], ORDER[s[2]])))
 
 
 def sanitised(text: str, spans: str) -> str:
@@ -194,19 +185,17 @@ def find(docs: DataFrame) -> DataFrame:
     out = plain.withColumn("_spans", F.lit(None).cast("string")).withColumn("_sanitised", F.lit(None).cast("string"))
     for k in range(n_parts):
         got = flagged.where(F.pmod(F.xxhash64("term"), F.lit(n_parts)) == k).toArrow()
-        keys = np.array([term_hash(x) for x in got["term"].to_pylist()], np.int64)
-        order = np.argsort(keys)
-        held = spark.sparkContext.broadcast((keys[order], (got["share"].to_numpy() >= REMOVE)[order]))
+        held = spark.sparkContext.broadcast(dict(zip(got["term"].to_pylist(), got["share"].to_pylist())))
 
         def run(batches: Iterator[pa.RecordBatch], held=held, first=k == 0, last=k == n_parts - 1) -> Iterator[pa.RecordBatch]:
-            keys, removed = held.value
+            shares = held.value
             for batch in chunks(batches, f"c{at}", 4 << 20):
                 values = batch.column(f"c{at}").to_pylist()
                 if first:
                     base = [",".join(f"{x}:{a}:{b}" for a, b, x in base_spans(text or "")) for text in values]
                 else:
                     base = batch.column("_spans").to_pylist()
-                spans = [spans_of(text or "", s, keys, removed) for text, s in zip(values, base)]
+                spans = [spans_of(text or "", s, shares) for text, s in zip(values, base)]
                 clean = [None if text is None else sanitised(text, s) for text, s in zip(values, spans)] if last else [None] * len(values)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(spans, pa.string()), pa.array(clean, pa.string())], batch.schema.names)
 

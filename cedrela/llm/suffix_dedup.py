@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 import uuid
@@ -14,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, joined, mix, pick, stage, table, texts
+from .common import chunks, forget, joined, mix, pick, stage, table, texts
 
 #: Length of the strings. Two suffixes tie when they share so many bytes.
 LENGTH = 100
@@ -211,12 +210,6 @@ def ask(blocks: DataFrame, keys: Callable[[Block], Keys], n_buckets: int, short:
     return said.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "bits"))).alias("answer"))
 
 
-def forget(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of what is written and done with."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (array of start, end in bytes), kept (the remaining bytes' SHA-256) of every document.
 
