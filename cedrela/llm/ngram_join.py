@@ -20,6 +20,8 @@ CELLS, SLICES = 1 << 18, 16
 BLOCK = 500_000
 #: Prefix entries that a task gathers before it hands them on.
 GATHERED = 1 << 20
+#: Bits of the map that says which texts are needed again (a megabyte, whatever the input's size).
+WANTED = 1 << 23
 
 
 def shingles(values: list[str]) -> list[np.ndarray]:
@@ -61,35 +63,53 @@ def class_of(sets: list[np.ndarray]) -> np.ndarray:
 MARK = np.array([0x2545F4914F6CDD1D], np.uint64)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """For each of m cells, whether it holds an odd number of the set's hashes: two bits a shingle, rounded up to a power of
+    two, where the set itself takes 64."""
+    m = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def apart_at_least(x: bytes, y: bytes) -> int:
+    """A number of shingles that are in only one of two sets, at least: each cell whose parities differ holds one."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, size = int.from_bytes(x, "little"), 8 * len(x)
+    while size > 8 * len(y):
+        size //= 2
+        a = (a >> size) ^ (a & ((1 << size) - 1))
+    return (a ^ int.from_bytes(y, "little")).bit_count()
+
+
 def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, class of each document; and for each cell of the sketch, how frequent its shingles are (0: not).
+    """doc_id, n, class, parity (parities()) of each document; and for each cell of the sketch, how frequent its shingles are (0: not).
 
     The sketch has CELLS counters, whatever the input's size. It only orders the shingles, rare ones first: any order gives
     the same result, a good one keeps frequent passages out of the prefixes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "class", "slice", "cells"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc_id", "n", "class", "parity", "slice", "cells"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         rows = lambda n, *cols: pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds)], names)
         cells = np.zeros(CELLS, np.int64)
         for batch in chunks(batches, "text", 4 << 20):
             sets = shingles(texts(batch))
             cells += np.bincount((np.concatenate(sets) >> np.uint64(40)).astype(np.int64) & (CELLS - 1), minlength=CELLS)
-            yield rows(len(sets), batch.column("doc_id"), [len(s) for s in sets], class_of(sets), None, None)
+            yield rows(len(sets), batch.column("doc_id"), [len(s) for s in sets], class_of(sets), [parities(s) for s in sets], None, None)
         if cells.any():
-            yield rows(SLICES, None, None, None, range(SLICES), [x.astype("<u4").tobytes() for x in np.split(cells, SLICES)])
+            yield rows(SLICES, None, None, None, None, range(SLICES), [x.astype("<u4").tobytes() for x in np.split(cells, SLICES)])
 
     def added(rows: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in rows["cells"])
         return pa.table({"slice": rows["slice"][:1], "cells": pa.array([total.tobytes()], pa.binary())})
 
-    out = stage(docs.mapInArrow(run, "doc_id long, n long, class long, slice int, cells binary"))
+    out = stage(docs.mapInArrow(run, "doc_id long, n long, class long, parity binary, slice int, cells binary"))
     parts = out.where("slice IS NOT NULL").select("slice", "cells").groupBy("slice").applyInArrow(added, "slice int, cells binary").orderBy("slice").collect()
     cells = np.concatenate([np.frombuffer(r["cells"], np.int64) for r in parts]) if parts else np.zeros(CELLS, np.int64)
     usual = max(np.median(cells), 1)
     above = np.maximum((cells - usual) / (6 * math.sqrt(usual)), 0.5)
-    return out.where("slice IS NULL").select("doc_id", "n", "class"), np.ceil(np.log2(above) + 1).astype(np.uint8)
+    return out.where("slice IS NULL").select("doc_id", "n", "class", "parity"), np.ceil(np.log2(above) + 1).astype(np.uint8)
 
 
 def incidence(docs: DataFrame, frequent: np.ndarray, n_shingles: int) -> DataFrame:
@@ -156,16 +176,50 @@ ENTRY = np.dtype([("shingle", "<u8"), ("class", "<i8"), ("n", "<u4"), ("pos", "<
 COLUMNS = ("shingle", "class", "n", "pos")
 
 
+def possible(pairs: DataFrame, described: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose parities allow a Jaccard similarity of 0.75 or more.
+
+    That similarity needs 7 times the shingles of only one set to be at most the sum of both sizes.
+    """
+    known = described.select("class", "n", "parity").dropDuplicates(["class"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "parity_a", "parity_b"))
+            keep = pa.array([7 * apart_at_least(x, y) <= n + k for n, k, x, y in zip(*cols)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    both = pairs.join(known.toDF("b", "n_b", "parity_b"), "b").join(known.toDF("a", "n_a", "parity_a"), "a")
+    return both.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long")
+
+
 def sets_of(docs: DataFrame, described: DataFrame, classes: DataFrame) -> DataFrame:
-    """class, set (sorted hashes) of these classes, from the text of one document of each."""
-    one = described.join(classes, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    """class, set (sorted hashes) of these classes, from the text of one document of each.
+
+    A map of WANTED bits leaves out most texts that aren't needed before the join by doc_id moves the others.
+    """
+    one = stage(described.join(classes, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED)) + 1  # bitmap functions number their buckets, and the values in them, from 1
+    parts = one.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    bits = np.zeros((WANTED >> 15, 4096), np.uint8)
+    for k, part in parts:
+        bits[k - 1] = np.frombuffer(part, np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in batches:
+            at = batch.column("place").to_numpy() - 1
+            keep = bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
+            yield batch.select(["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 4 << 20):
             sets = shingles(texts(batch))
             yield pa.RecordBatch.from_arrays([pa.array(class_of(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "set"])
 
-    return docs.join(one, "doc_id", "left_semi").select("text").mapInArrow(run, "class long, set binary")
+    some = docs.where("doc_id IS NOT NULL").select("doc_id", "text", place.alias("place")).mapInArrow(wanted, "doc_id long, text string")
+    return some.join(one, "doc_id", "left_semi").select("text").mapInArrow(run, "class long, set binary")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -197,6 +251,13 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def compared(pairs: DataFrame, docs: DataFrame, described: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that link: parities first, then the sets of those that are left."""
+    left = stage(possible(pairs, described))
+    sets = stage(sets_of(docs, described, left.select(F.explode(F.array("a", "b")).alias("class")).distinct()))
+    return linked(left, sets)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document (doc_id, text).
 
@@ -210,7 +271,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     3. In columns in which more than one component is left, the classes outside the column's largest component are tested
        against those of other components.
 
-    In both, pairs are discarded whose sizes, or what follows their first common shingle, don't allow the similarity.
+    In both, pairs are discarded whose sizes, or what follows their first common shingle, or the parities of whose cells
+    (possible()) don't allow the similarity. Only what is left is compared set by set.
 
     Cases: a null text is empty; documents without words have the empty set and link with nothing. Repeated rows are all
     returned, and link if they have words. A null doc_id has a null component. Texts are processed whole; other columns are
@@ -229,9 +291,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = first.select("shingle", "band", "f.*").toDF("shingle", "band", "n_f", "a", "pos_f")
     fits = 7 * (1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n_f") - F.col("pos_f") - 1)) >= 3 * (F.col("n") + F.col("n_f"))
     tests = stage(banded.join(first, ["shingle", "band"]).where((F.col("class") != F.col("a")) & fits).select("a", F.col("class").alias("b")).distinct())
-    sets = stage(sets_of(docs, described, shown.select("class").distinct()))
-    forget(docs.sparkSession)
-    links = stage(linked(tests, sets))
+    links = stage(compared(tests, docs, described))
     forget(docs.sparkSession)
     found = components(links)
 
@@ -248,7 +308,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(apart & sized & overlap(cols("x"), cols("y")))
     rest = rest.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
     tested = tests.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stage(linked(rest.join(tested, ["a", "b"], "left_anti"), sets))
+    more = stage(compared(rest.join(tested, ["a", "b"], "left_anti"), docs, described))
+    forget(docs.sparkSession)
     merged = components(links.union(more))
 
     classes = described.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from cedrela.llm import ngram_join
@@ -78,3 +79,12 @@ def test_nothing(spark):
 def test_shingles(text):
     w = text.lower().split()
     assert len(ngram_join.shingles([text])[0]) == (max(len(w) - 4, 1) if w else 0)
+
+
+@pytest.mark.parametrize("sizes", [(1, 1, 0), (40, 44, 30), (300, 310, 290), (700, 500, 500), (3000, 3900, 2800), (5, 0, 0)])
+def test_parities_are_a_bound(sizes):
+    a, b, shared = sizes
+    x = np.random.default_rng(a).integers(0, 1 << 63, a + b - shared, np.int64).astype(np.uint64)
+    one, other = x[:a], x[a - shared :]
+    bound = ngram_join.apart_at_least(ngram_join.parities(one), ngram_join.parities(other))
+    assert bound <= a + b - 2 * shared
