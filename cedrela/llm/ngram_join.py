@@ -14,12 +14,19 @@ from .common import UPPER_TO_LOWER, chunks, components, forget, joined, mix, pic
 
 #: Words of a shingle.
 WORDS = 5
-#: Cells of the sketch that says which shingles are frequent (a power of two), and into how many rows a task puts it.
-CELLS, SLICES = 1 << 18, 16
+#: Cells of the map that says how frequent shingles are (a power of two; 16 MB, whatever the input's size), and how many
+#: frequent shingles it holds at most: with more, only the most frequent ones count as such.
+CELLS, HEAVY = 1 << 24, 1 << 22
+#: Shingles of so many classes are frequent.
+OFTEN = 8
+#: Orders in which a column's representative is chosen: so many of a group of near copies stand for it, not one.
+ORDERS = 16
+#: Representatives of a column in each turn; columns whose classes have become one component are done with.
+REPRESENTATIVES = (1, 16, 64)
 #: Prefix entries of a block of columns, on average.
 BLOCK = 500_000
 #: Prefix entries that a task gathers before it hands them on.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 #: Bits of the map that says which texts are needed again (a megabyte, whatever the input's size).
 WANTED = 1 << 23
 
@@ -81,35 +88,80 @@ def apart_at_least(x: bytes, y: bytes) -> int:
     return (a ^ int.from_bytes(y, "little")).bit_count()
 
 
-def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, class, parity (parities()) of each document; and for each cell of the sketch, how frequent its shingles are (0: not).
+def describe(docs: DataFrame) -> DataFrame:
+    """doc_id, n, class, parity (parities()) of each document."""
 
-    The sketch has CELLS counters, whatever the input's size. It only orders the shingles, rare ones first: any order gives
-    the same result, a good one keeps frequent passages out of the prefixes.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", 4 << 20):
+            sets = shingles(texts(batch))
+            cols = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(class_of(sets)), pa.array([parities(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "class", "parity"])
+
+    return stage(docs.mapInArrow(run, "doc_id long, n long, class long, parity binary"))
+
+
+class Once:
+    """Lets each class through once (a task remembers a million): copies neither count nor go on."""
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+
+    def __call__(self, sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        for c, s in zip(class_of(sets).tolist(), sets):
+            if len(s) and c not in self.seen:
+                if len(self.seen) < 1_000_000:
+                    self.seen.add(c)
+                yield c, s
+
+
+def frequencies(docs: DataFrame) -> np.ndarray:
+    """For each cell of a map, how frequent its shingles are (0: not), as a level.
+
+    All shingles are counted: each task adds up what it gathers, then each block of shingles is added up by itself. The map
+    only orders the shingles, rare ones first: any order gives the same result, a good one keeps passages that many
+    documents share out of the prefixes.
     """
+    n_blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "class", "parity", "slice", "cells"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-        rows = lambda n, *cols: pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds)], names)
-        cells = np.zeros(CELLS, np.int64)
+        once, parts = Once(), []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+            parts.clear()
+            block = (keys % np.uint64(n_blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            cuts = np.searchsorted(block[order], np.arange(n_blocks + 1))
+            keys, counts = (keys[order] >> np.uint64(32)).astype("<u4"), np.minimum(counts[order], 255).astype(np.uint8)
+            some = np.flatnonzero(np.diff(cuts))
+            cols = [pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary()) for x in (keys, counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), *cols], ["block", "keys", "counts"])
+
         for batch in chunks(batches, "text", 4 << 20):
-            sets = shingles(texts(batch))
-            cells += np.bincount((np.concatenate(sets) >> np.uint64(40)).astype(np.int64) & (CELLS - 1), minlength=CELLS)
-            yield rows(len(sets), batch.column("doc_id"), [len(s) for s in sets], class_of(sets), [parities(s) for s in sets], None, None)
-        if cells.any():
-            yield rows(SLICES, None, None, None, None, range(SLICES), [x.astype("<u4").tobytes() for x in np.split(cells, SLICES)])
+            parts += [s for _, s in once(shingles(texts(batch)))]
+            if sum(map(len, parts)) > 4 * GATHERED:
+                yield from flush()
+        if parts:
+            yield from flush()
 
     def added(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in rows["cells"])
-        return pa.table({"slice": rows["slice"][:1], "cells": pa.array([total.tobytes()], pa.binary())})
-
-    out = stage(docs.mapInArrow(run, "doc_id long, n long, class long, parity binary, slice int, cells binary"))
-    parts = out.where("slice IS NOT NULL").select("slice", "cells").groupBy("slice").applyInArrow(added, "slice int, cells binary").orderBy("slice").collect()
-    cells = np.concatenate([np.frombuffer(r["cells"], np.int64) for r in parts]) if parts else np.zeros(CELLS, np.int64)
-    usual = max(np.median(cells), 1)
-    above = np.maximum((cells - usual) / (6 * math.sqrt(usual)), 0.5)
-    return out.where("slice IS NULL").select("doc_id", "n", "class", "parity"), np.ceil(np.log2(above) + 1).astype(np.uint8)
+        keys, counts = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in rows[c]]) for c, t in (("keys", "<u4"), ("counts", np.uint8)))
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        total = np.add.reduceat(counts[order].astype(np.int64), first)
+        often = total >= OFTEN
+        return pa.table({"cell": pa.array((keys[first] >> np.uint32(8)).astype(np.int64)[often]), "n": pa.array(total[often])})
+
+    found = docs.select("text").mapInArrow(run, "block long, keys binary, counts binary").groupBy("block").applyInArrow(added, "cell long, n long")
+    found = stage(found.groupBy("cell").agg(F.floor(2 * F.log2(F.max("n"))).cast("int").alias("level")))
+    out, held = np.zeros(CELLS, np.uint8), 0
+    for level, n in sorted(found.groupBy("level").count().collect(), reverse=True):
+        if held + n > HEAVY:
+            break
+        held += n
+        out[found.where(F.col("level") == level).select("cell").toArrow()["cell"].to_numpy()] = level
+    return out
 
 
 def incidence(docs: DataFrame, frequent: np.ndarray, n_shingles: int) -> DataFrame:
@@ -124,7 +176,7 @@ def incidence(docs: DataFrame, frequent: np.ndarray, n_shingles: int) -> DataFra
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, seen = held.value, set()
+        often, once = held.value, Once()
         parts: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -138,12 +190,7 @@ def incidence(docs: DataFrame, frequent: np.ndarray, n_shingles: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in packed], pa.int64()), pa.array([x for _, x in packed], pa.binary())], ["block", "rows"])
 
         for batch in chunks(batches, "text", 4 << 20):
-            sets = shingles(texts(batch))
-            for c, s in zip(class_of(sets), sets):
-                if not len(s) or c in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(c)
+            for c, s in once(shingles(texts(batch))):
                 n = len(s)
                 length = n - -(-3 * n // 4) + 1
                 level = often[(s >> np.uint64(40)).astype(np.int64) & (CELLS - 1)]
@@ -258,6 +305,19 @@ def compared(pairs: DataFrame, docs: DataFrame, described: DataFrame) -> DataFra
     return linked(left, sets)
 
 
+def represented(at: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): each class of each column against the representatives of its band of sizes that are of another
+    component. A representative is the first of its share of the classes. The orders in which columns choose it, and the ends of the bands, are others in each turn."""
+    banded = at.withColumn("band", F.floor(F.log("n") / math.log(4 / 3) + turn / 2))
+    order = F.xxhash64("class", F.pmod("shingle", F.lit(ORDERS)), F.lit(turn))
+    slot = F.pmod(F.xxhash64("class", F.lit(-1 - turn)), F.lit(REPRESENTATIVES[turn]))
+    first = banded.groupBy("shingle", "band", slot.alias("slot")).agg(F.min(F.struct(order.alias("order"), "n", "class", "pos", "component")).alias("f"))
+    first = first.select("shingle", "band", "f.n", "f.class", "f.pos", "f.component").toDF("shingle", "band", "n_f", "a", "pos_f", "component_f")
+    fits = 7 * (1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n_f") - F.col("pos_f") - 1)) >= 3 * (F.col("n") + F.col("n_f"))
+    tests = banded.join(first, ["shingle", "band"]).where((F.col("component") != F.col("component_f")) & fits)
+    return stage(tests.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document (doc_id, text).
 
@@ -267,7 +327,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     1. Documents with equal sets are one class; only classes go on.
     2. incidence() leaves the prefix columns that two classes share. In each column, and band of sizes, every class is tested
-       against the smallest one: a group of near copies costs one test for each, not one for each pair.
+       against REPRESENTATIVES, which a column chooses in one of ORDERS orders: a group of near copies costs so many tests for
+       each, not one for each pair. That is done in turns, with more of them in the columns of more than one component.
     3. In columns in which more than one component is left, the classes outside the column's largest component are tested
        against those of other components.
 
@@ -279,26 +340,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ignored; an empty table gives an empty result.
     """
     docs = pick(docs, "doc_id", "text")
-    described, frequent = describe(docs)
+    described = describe(docs)
+    frequent = frequencies(docs)
+    forget(docs.sparkSession)
     total = described.agg(F.sum("n")).first()[0] or 0
     shown = stage(incidence(docs, frequent, total))
     forget(docs.sparkSession)
     overlap = lambda x, y: 7 * (1 + F.least(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1)) >= 3 * (x["n"] + y["n"])
 
-    # Each class against the smallest of its band of sizes.
-    banded = shown.withColumn("band", F.floor(F.log("n") / math.log(4 / 3)))
-    first = banded.groupBy("shingle", "band").agg(F.min(F.struct("n", "class", "pos")).alias("f"))
-    first = first.select("shingle", "band", "f.*").toDF("shingle", "band", "n_f", "a", "pos_f")
-    fits = 7 * (1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n_f") - F.col("pos_f") - 1)) >= 3 * (F.col("n") + F.col("n_f"))
-    tests = stage(banded.join(first, ["shingle", "band"]).where((F.col("class") != F.col("a")) & fits).select("a", F.col("class").alias("b")).distinct())
-    links = stage(compared(tests, docs, described))
-    forget(docs.sparkSession)
-    found = components(links)
+    at, links, tests, found = shown.withColumn("component", F.col("class")), None, None, None
+    for turn in range(len(REPRESENTATIVES)):
+        new = represented(at, turn)
+        tests = new if tests is None else stage(tests.union(new.join(tests, ["a", "b"], "left_anti")))
+        more = stage(compared(new, docs, described))
+        links = more if links is None else links.union(more)
+        forget(docs.sparkSession)
+        # Columns of several components go on.
+        found = components(links)
+        at = at.drop("component").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        several = at.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("shingle")
+        at = stage(at.join(several, "shingle", "left_semi"))
+        forget(docs.sparkSession)
 
-    # What is left in columns of several components.
-    at = shown.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    several = at.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("shingle")
-    at = stage(at.join(several, "shingle", "left_semi"))
     most = at.groupBy("shingle", "component").count().groupBy("shingle").agg(F.max(F.struct("count", "component")).alias("m"))
     at = at.join(most.select("shingle", F.col("m.component").alias("major")), "shingle")
     x, y = at.where("component != major").alias("x"), at.alias("y")
@@ -307,8 +370,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     cols = lambda s: {c: F.col(f"{s}.{c}") for c in ("n", "pos")}
     rest = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(apart & sized & overlap(cols("x"), cols("y")))
     rest = rest.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-    tested = tests.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stage(compared(rest.join(tested, ["a", "b"], "left_anti"), docs, described))
+    more = stage(compared(rest.join(tests, ["a", "b"], "left_anti"), docs, described))
     forget(docs.sparkSession)
     merged = components(links.union(more))
 
