@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{4,}")
 
-#: Terms so many words before and after an entity are its context.
+#: So many terms before and after an entity are its context.
 REACH = 6
 #: A term is tested if it stands beside one entity in so many documents.
 MIN_DOCS = 2
@@ -79,13 +80,15 @@ def entity_of(kind: str, text: str) -> str:
 
 
 def beside(text: str, spans: list[tuple[int, int, str]]) -> set[tuple[str, str]]:
-    """(term, entity) of the terms within REACH words of an entity; words that are part of one don't count."""
+    """(term, entity) of the REACH terms before and after an entity, however far; words that are part of it don't count."""
+    terms = list(TERM.finditer(text))
+    starts, ends = [w.start() for w in terms], [w.end() for w in terms]
     out = set()
     for start, end, kind in spans:
-        before, after = text[max(0, start - 40 * REACH) : start], text[end : end + 40 * REACH]
-        near = [w.group() for w in TERM.finditer(before)][-REACH:] + [w.group() for w in TERM.finditer(after)][:REACH]
+        before, after = bisect_right(ends, start), bisect_left(starts, end)
+        near = terms[max(0, before - REACH) : before] + terms[after : after + REACH]
         entity = entity_of(kind, text[start:end])
-        out.update((w.lower(), entity) for w in near)
+        out.update((w.group().lower(), entity) for w in near)
     return out
 
 

@@ -206,6 +206,13 @@ def test_pii_patterns():
     pii.base_spans("a" * 300_000 + "1" * 300_000 + "+" * 100_000 + "@" * 100_000)  # linear
 
 
+def test_context_has_no_window_of_characters():
+    mail, far = "ana.prueba@example.org", " 12" * 100
+    text = f"uno zeroth first{far} second third fourth fifth sixth {mail}{far} eleventh twelfth " + "x" * 300 + f"{far} fourteenth"
+    near = {"first", "second", "third", "fourth", "fifth", "sixth", "eleventh", "twelfth", "x" * 300, "fourteenth"}
+    assert pii.beside(text, pii.base_spans(text)) == {(w, f"email:{mail}") for w in near}
+
+
 def test_pii_terms(spark, nothing):
     rows = [(i, f"the quiet Zanzibarian wrote from ann@site{i % 2}.example.org with common words {i}") for i in range(4)]
     rows += [(10 + i, "the quiet common words wrote with from nothing else") for i in range(20)]
