@@ -21,14 +21,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id.
+    """One document of each group of near duplicates stays: the one with the smallest doc_id, one without any last.
 
-    Of rows that repeat that doc_id, one stays; rows without a doc_id stay.
+    Groups are of rows, by their texts: rows that repeat a doc_id, or have none, go only as near duplicates.
     """
-    found = ngram_join.near_duplicates(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = ngram_join.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = rows.select("doc_id", "_row").join(found, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,14 @@ def test_stages(spark, tmp_path):
         assert ids.tolist() == [*t.encode(clean[d]["text"], add_special_tokens=False).ids, 0]
 
 
+def test_rows_go_as_near_duplicates_only(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, one), (7, one), (7, two), (7, two), (None, one), (None, "c d e f g h"), (None, "c d e f g h"), (8, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, corpus_pipeline.duplicate_stage(spark, docs, SF).collect()), key=repr)
+    assert got == sorted([(5, one), (7, two), (None, "c d e f g h"), (8, ""), (8, "")], key=repr)
+
+
 def test_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 0")
     for name, step in corpus_pipeline.STAGES:
