@@ -17,6 +17,7 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
+BASE = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -45,20 +46,41 @@ def key_of(url: Column) -> Column:
     return F.regexp_replace(url, r"(?s)#.*$", "")
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """Edges a, b from each page's canonical link and refresh redirect; only absolute targets count."""
-    at = pick(pages, "url", "html").where("url IS NOT NULL AND html IS NOT NULL AND (html ILIKE '%canonical%' OR html ILIKE '%refresh%')")
-    to = F.array(
-        F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1), F.regexp_extract(F.regexp_extract("html", REFRESH, 0), TARGET, 1)
-    )
+def without_dots(path: Column) -> Column:
+    """A path that begins with `/`, its segments `.` and `..` worked off."""
+    parts = F.split(path, "/")
+    dots = lambda x: x.isin(".", "..")
+    step = lambda held, x: F.when(x == ".", held).when(x == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(x)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), step)
+    end = F.when(dots(F.element_at(parts, -1)), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The url that `target` is on a page with the url `base`; null for what has another form (`mailto:`) or is empty."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(base), r"(?s)^/(.*/)", 1))
     return (
-        at.select(key_of(F.col("url")).alias("a"), F.explode(to).alias("b"))
-        .where("b LIKE '%://%'")
-        .select("a", key_of(F.col("b")).alias("b"))
-        .where("a LIKE '%://%'")
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|#|$)"), F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("?"), F.concat(site, path_of(base), target))
+        .when(target.startswith("/"), F.concat(site, without_dots(own), rest))
+        .otherwise(F.concat(site, without_dots(F.concat(folder, own)), rest))
     )
 
 
+def page_links(pages: DataFrame) -> DataFrame:
+    """Edges a, b from each page's canonical links and refresh redirects, resolved against its url or its `<base>`."""
+    at = pick(pages, "url", "html").where("url LIKE '%://%' AND html IS NOT NULL AND (html ILIKE '%canonical%' OR html ILIKE '%refresh%')")
+    every = lambda tag, attribute: F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, attribute, 1))
+    base = F.coalesce(resolved(F.col("url"), F.regexp_extract("html", BASE, 1)), F.col("url"))
+    to = at.select("url", base.alias("base"), F.explode(F.concat(every(CANONICAL, HREF), every(REFRESH, TARGET))).alias("target"))
+    return to.select(key_of(F.col("url")).alias("a"), key_of(resolved(F.col("base"), F.col("target"))).alias("b")).where("b IS NOT NULL")
+
+
 def filter_urls(pages: DataFrame, links: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """page_id, host, path, rule, verdict of every page.
 

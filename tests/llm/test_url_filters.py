@@ -32,6 +32,24 @@ def test_verdicts(pages):
     assert verdict[12] == ("example.com/de/", "block") and (got[12]["host"], got[12]["path"]) == ("www.example.com", "/de/a")
 
 
+def test_targets_that_are_relative_or_not_the_first(spark):
+    link = lambda *us: "".join(f'<link rel=canonical href="{u}">' for u in us)
+    fresh = '<meta http-equiv="refresh" content="0; url=../../b?q=http://x.y#z">'
+    rows = [
+        ("http://www.example.com/a", link("/de/x")), ("https://a.org/", link("//bad.net/x")), ("http://www.example.com/x/y?z", link("../de/./x")), ("http://b.org/c/d/e", fresh),
+        ("http://c.org/", link("http://ok.org/", "http://bad.net/2")), ("http://d.org/x?y", link("?k=1")), ("http://e.org", link("mailto:a@bad.net", "#top", "p")), ("http://f.org/q/", '<base href="/de/">' + link("r")),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    links = url_filters.page_links(df)
+    assert {tuple(r) for r in links.collect()} == {
+        ("http://www.example.com/a", "http://www.example.com/de/x"), ("https://a.org/", "https://bad.net/x"), ("http://www.example.com/x/y?z", "http://www.example.com/de/x"),
+        ("http://b.org/c/d/e", "http://b.org/b?q=http://x.y"), ("http://c.org/", "http://ok.org/"), ("http://c.org/", "http://bad.net/2"), ("http://d.org/x?y", "http://d.org/x?k=1"), ("http://e.org", "http://e.org/p"),
+        ("http://f.org/q/", "http://f.org/de/r"),
+    }
+    got = {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(df, links, url_filters.RULES).collect()}
+    assert [k for k in sorted(got) if got[k] == "block"] == [0, 1, 2, 4]
+
+
 def test_rows(pages):
     assert url_filters.filter_urls(pages, url_filters.page_links(pages), url_filters.RULES).count() == 15
     none = pages.where("page_id < 0")
