@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER_TO_LOWER, chunks, components, forget, joined, mix, pick, stage, table, texts, word_hashes
+from .common import UPPER_TO_LOWER, chunks, components, forget, joined, mix, pick, stage, table, utf8, word_hashes
 
 #: Words of a shingle.
 WORDS = 5
@@ -25,28 +25,35 @@ ORDERS = 16
 REPRESENTATIVES = (1, 16, 64)
 #: Prefix entries of a block of columns, on average.
 BLOCK = 500_000
-#: Prefix entries that a task gathers before it hands them on.
-GATHERED = 1 << 19
+#: Prefix entries that a task gathers before it hands them on, and shingles that it counts before it does.
+GATHERED, COUNTED = 1 << 18, 1 << 20
+#: Bytes of text of which a task holds the shingles at once.
+CHUNK = 1 << 20
 #: Bits of the map that says which texts are needed again (a megabyte, whatever the input's size).
 WANTED = 1 << 23
 
 
 def shingles(values: list[str]) -> list[np.ndarray]:
-    """Each text's set of shingles, as sorted 64-bit hashes.
+    """shingle_sets() of these texts."""
+    return shingle_sets(*joined(x.encode("utf-8", "surrogatepass") for x in values))
+
+
+def shingle_sets(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Each text's set of shingles, as sorted 64-bit hashes; texts as one array, and where each begins.
 
     Words are runs of characters other than space and U+0009 to U+000D, A-Z in lower case. With fewer than WORDS words, the
     whole sequence is the only shingle; without words the set is empty.
     """
-    data, starts = joined(x.encode("utf-8", "surrogatepass") for x in values)
     hashes, text, _, _ = word_hashes(UPPER_TO_LOWER[data], starts)
-    begin = np.searchsorted(text, np.arange(len(values) + 1))
+    begin = np.searchsorted(text, np.arange(len(starts)))
+    del text
     run = np.zeros(0, np.uint64)
     if len(hashes) >= WORDS:
         run = hashes[: len(hashes) - WORDS + 1]
         for k in range(1, WORDS):
             run = mix(run, hashes[k : len(hashes) - WORDS + 1 + k])
     out = []
-    for a, b in zip(begin[:-1], begin[1:]):
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
         if b - a >= WORDS:
             s = np.sort(run[a : b - WORDS + 1])
             out.append(s[np.append(True, s[1:] != s[:-1])])
@@ -92,8 +99,8 @@ def describe(docs: DataFrame) -> DataFrame:
     """doc_id, n, class, parity (parities()) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 4 << 20):
-            sets = shingles(texts(batch))
+        for batch in chunks(batches, "text", CHUNK):
+            sets = shingle_sets(*utf8(batch))
             cols = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(class_of(sets)), pa.array([parities(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "class", "parity"])
 
@@ -101,16 +108,16 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 class Once:
-    """Lets each class through once (a task remembers a million): copies neither count nor go on."""
+    """Lets classes through that weren't among the last ones (a table of 8 MB): most copies neither count nor go on."""
 
     def __init__(self) -> None:
-        self.seen: set[int] = set()
+        self.seen = np.zeros(1 << 20, np.int64)
 
     def __call__(self, sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
         for c, s in zip(class_of(sets).tolist(), sets):
-            if len(s) and c not in self.seen:
-                if len(self.seen) < 1_000_000:
-                    self.seen.add(c)
+            at = c & (len(self.seen) - 1)
+            if len(s) and self.seen[at] != c:
+                self.seen[at] = c
                 yield c, s
 
 
@@ -137,9 +144,9 @@ def frequencies(docs: DataFrame) -> np.ndarray:
             cols = [pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary()) for x in (keys, counts)]
             yield pa.RecordBatch.from_arrays([pa.array(some), *cols], ["block", "keys", "counts"])
 
-        for batch in chunks(batches, "text", 4 << 20):
-            parts += [s for _, s in once(shingles(texts(batch)))]
-            if sum(map(len, parts)) > 4 * GATHERED:
+        for batch in chunks(batches, "text", CHUNK):
+            parts += [s for _, s in once(shingle_sets(*utf8(batch)))]
+            if sum(map(len, parts)) > COUNTED:
                 yield from flush()
         if parts:
             yield from flush()
@@ -189,8 +196,8 @@ def incidence(docs: DataFrame, frequent: np.ndarray, n_shingles: int) -> DataFra
             packed = [(b, rows[order[i:j]].tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in packed], pa.int64()), pa.array([x for _, x in packed], pa.binary())], ["block", "rows"])
 
-        for batch in chunks(batches, "text", 4 << 20):
-            for c, s in once(shingles(texts(batch))):
+        for batch in chunks(batches, "text", CHUNK):
+            for c, s in once(shingle_sets(*utf8(batch))):
                 n = len(s)
                 length = n - -(-3 * n // 4) + 1
                 level = often[(s >> np.uint64(40)).astype(np.int64) & (CELLS - 1)]
@@ -261,8 +268,8 @@ def sets_of(docs: DataFrame, described: DataFrame, classes: DataFrame) -> DataFr
             yield batch.select(["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 4 << 20):
-            sets = shingles(texts(batch))
+        for batch in chunks(batches, "text", CHUNK):
+            sets = shingle_sets(*utf8(batch))
             yield pa.RecordBatch.from_arrays([pa.array(class_of(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "set"])
 
     some = docs.where("doc_id IS NOT NULL").select("doc_id", "text", place.alias("place")).mapInArrow(wanted, "doc_id long, text string")
