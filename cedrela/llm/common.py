@@ -38,14 +38,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Bytes that go to a Python worker in one Arrow batch while a stage is written.
+BATCH_CONF, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """`df` written as Parquet into the shared folder and read again.
 
-    Lineage ends there: a lost executor costs at most the tasks that it ran, and nothing before is computed again.
+    Lineage ends there: a lost executor costs at most the tasks that it ran, and nothing before is computed again. While it
+    is written, Arrow batches are small, so a worker holds BATCH of input, whatever rows weigh.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, BATCH)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -26,9 +26,9 @@ REPRESENTATIVES = (1, 16, 64)
 #: Prefix entries of a block of columns, on average.
 BLOCK = 500_000
 #: Prefix entries that a task gathers before it hands them on, and shingles that it counts before it does.
-GATHERED, COUNTED = 1 << 18, 1 << 20
+GATHERED, COUNTED = 1 << 18, 1 << 19
 #: Bytes of text of which a task holds the shingles at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Bits of the map that says which texts are needed again (a megabyte, whatever the input's size).
 WANTED = 1 << 23
 
