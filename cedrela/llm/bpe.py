@@ -20,8 +20,9 @@ from .common import chunks, pick, table, texts
 #: Characters of which every Unicode version says the same: Latin, Greek, Cyrillic, common punctuation.
 SETTLED = regex.compile(r"[\x00-\u052f\u2010-\u2027\u20ac]*").fullmatch
 
-#: Distinct words whose pieces a task keeps before it forgets them all: a bound of its memory, not of its results.
-KEPT_WORDS = 300_000
+#: Distinct words, and characters of them, whose pieces a task keeps before it forgets them all: bounds of its memory, not of
+#: its results.
+KEPT_WORDS, KEPT_CHARACTERS = 150_000, 2 << 20
 
 
 def byte_letters() -> list[str]:
@@ -139,18 +140,20 @@ def encode_decode(docs: DataFrame, vocabulary_file: str) -> DataFrame:
         v = vocabulary(SparkFiles.get(name))
         ids: dict[str, str] = {}
         decoded: dict[str, str] = {}
+        kept = 0
         for special, i in v.special.items():
             ids[special], decoded[special] = str(i), special
-        for batch in chunks(batches, "text", 4 << 20):
+        for batch in chunks(batches, "text", 1 << 20):
             cut = []
             for text in texts(batch):
                 if v.specials and "<|" in text:
                     cut.append([w for k, part in enumerate(v.specials.split(text)) for w in ([part] if k % 2 else v.cut(part))])
                 else:
                     cut.append(v.cut(text))
-            if len(ids) > KEPT_WORDS:
-                ids, decoded = ({s: x[s] for s in v.special} for x in (ids, decoded))
+            if len(ids) > KEPT_WORDS or kept > KEPT_CHARACTERS:
+                ids, decoded, kept = {s: ids[s] for s in v.special}, {s: decoded[s] for s in v.special}, 0
             new = list({w for words in cut for w in words} - ids.keys())
+            kept += sum(map(len, new))
             for word, found in zip(new, v.merged(new)):
                 ids[word], decoded[word] = " ".join(map(str, found)), " ".join(v.piece[i] for i in found)
             out = [" ".join(map(ids.__getitem__, words)) for words in cut]
