@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pick, stage, table
@@ -15,14 +15,19 @@ LOG_SIZE = 10
 SURE = 6
 
 
+def row_of(text: Column, source: Column) -> Column:
+    """What tells rows of one doc_id apart: rows equal in text and source are one row."""
+    return F.xxhash64(F.struct(text, source))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, source, pos, line (64-bit hash) of every line with more than spaces in it."""
-    parts = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return parts.select("doc_id", "source", "pos", F.trim("line").alias("line")).where("line != ''").withColumn("line", F.xxhash64("line"))
+    """doc_id, row, source, pos, line (64-bit hash) of every line with more than spaces in it."""
+    parts = docs.select("doc_id", "row", "source", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return parts.select("doc_id", "row", "source", "pos", F.trim("line").alias("line")).where("line != ''").withColumn("line", F.xxhash64("line"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """line, first_doc, first_pos of the lines that stand on at least `min_sites` distinct sites.
+    """line, first (doc_id, row, pos) of the lines that stand on at least `min_sites` distinct sites.
 
     A HyperLogLog sketch of the sites is built for each line hash and merged by the aggregation. Estimates clear of the
     threshold decide; the lines near it get their sites counted exactly.
@@ -30,7 +35,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     shown = lines.groupBy("line").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64("source"), LOG_SIZE)).alias("sites"),
         F.count("*").alias("n"),
-        F.min(F.struct("doc_id", "pos")).alias("first"),
+        F.min(F.struct("doc_id", "row", "pos")).alias("first"),
     )
     margin = SURE * 1.04 / (1 << LOG_SIZE) ** 0.5 * min_sites
     open_ = stage(shown.where((F.col("n") >= min_sites) & (F.col("sites") >= min_sites - max(margin, 1))))
@@ -45,7 +50,21 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         .where(F.col("exact") >= min_sites)
     )
     kept = sure.unionByName(near.join(exact.select("line"), "line", "left_semi"))
-    return kept.select("line", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    return kept.select("line", "first")
+
+
+def removed_lines(docs: DataFrame, min_sites: int) -> DataFrame:
+    """doc_id, row, removed (sorted positions, from 0) of the documents (doc_id, row, text, source) that lose lines."""
+    lines = lines_of(docs)
+    hit = lines.select("doc_id", "row", "pos", "line").join(boilerplate(lines, min_sites), "line")
+    gone = hit.where(F.struct("doc_id", "row", "pos") != F.col("first"))
+    return gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+
+
+def kept_of(parts: str, removed: str) -> Column:
+    """The text of the lines `parts` (a column, not an expression: lines are taken out of it by position) without some."""
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), removed)
+    return F.array_join(F.when(F.col(removed).isNull(), F.col(parts)).otherwise(F.transform(stay, lambda i: F.get(parts, i))), "\n")
 
 
 def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -55,38 +74,37 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFram
     boilerplate line, the first occurrence (smallest doc_id, then position) stays and every other is removed.
 
     Cases: a null or empty text has no lines and an empty kept_text. Null sources are no site. A null doc_id comes first and
-    its lines are never removed. Rows that repeat a doc_id are returned once each, with the lines at the positions found
-    for that doc_id removed. Other columns are ignored; an empty table gives an empty result. Work by line is aggregated
-    before it is shuffled; the joins by line and by document are those that Spark splits when a key is hot.
+    its lines are never removed. Rows that repeat a doc_id are judged each by itself, in the order of a hash of text and
+    source; rows equal in all three are one, and lose the same lines. Other columns are ignored; an empty table gives an
+    empty result. Work by line is aggregated before it is shuffled; the joins by line and by document are those that Spark
+    splits when a key is hot.
     """
-    docs = pick(docs, "doc_id", "text", "source")
-    lines = lines_of(docs)
-    found = boilerplate(lines, min_sites)
-    hit = lines.select("doc_id", "pos", "line").join(found, "line")
-    gone = hit.where((F.col("doc_id") != F.col("first_doc")) | (F.col("pos") != F.col("first_pos"))).groupBy("doc_id").agg(F.collect_set("pos").alias("removed"))
-    parts = F.split("text", "\n", -1)
-    return (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(gone, "doc_id", "left")
-        .select(
-            "doc_id",
-            F.when(F.col("text") == "", 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-            F.coalesce(F.array_sort("removed"), F.array().cast("array<int>")).alias("removed"),
-            F.when(F.col("removed").isNull(), F.col("text"))
-            .otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("removed", i)), "\n"))
-            .alias("kept_text"),
-        )
+    docs = pick(docs, "doc_id", "text", "source").withColumn("row", row_of(F.col("text"), F.col("source")))
+    parts = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    out = docs.select("doc_id", "row", parts.alias("parts")).join(removed_lines(docs, min_sites), ["doc_id", "row"], "left")
+    return out.select(
+        "doc_id",
+        F.when(F.col("parts") == F.array(F.lit("")), 0).otherwise(F.size("parts")).cast("long").alias("n_lines"),
+        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
+        kept_of("parts", "removed").alias("kept_text"),
     )
 
 
 def clean_documents(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """The documents, all columns kept, with boilerplate lines removed from text (and n_chars, if there, brought up to date)."""
-    found = without_boilerplate(docs, min_sites).where(F.size("removed") > 0).select(F.col("doc_id").alias("_changed"), F.col("kept_text").alias("_kept"))
-    out = docs.join(found.dropDuplicates(["_changed"]), docs["doc_id"] == F.col("_changed"), "left")
-    out = out.withColumn("text", F.coalesce("_kept", "text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_changed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    """The documents, all columns kept, with the lines that without_boilerplate() finds removed from text (and n_chars, if
+    there, brought up to date where lines went)."""
+    names = docs.columns
+    at = {x: f"c{names.index(x)}" for x in ("doc_id", "text", "source")}
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    rows = plain.withColumn("row", row_of(F.col(at["text"]), F.col(at["source"])))
+    gone = removed_lines(rows.select("row", *[F.col(c).alias(x) for x, c in at.items()]), min_sites).withColumnRenamed("row", "of_row")
+    parts = rows.withColumn(at["text"], F.split(at["text"], "\n", -1))
+    out = parts.join(gone, (F.col(at["doc_id"]) == F.col("doc_id")) & (F.col("row") == F.col("of_row")), "left")
+    out = out.withColumn(at["text"], kept_of(at["text"], "removed"))
+    if "n_chars" in names:
+        size = f"c{names.index('n_chars')}"
+        out = out.withColumn(size, F.when(F.col("removed").isNull(), F.col(size)).otherwise(F.length(at["text"]).cast("long")))
+    return out.select(*plain.columns).toDF(*names)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
