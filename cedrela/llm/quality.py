@@ -182,26 +182,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     return co_train(t[a], m[a], y[a].astype(float), t[b], m[b])
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs (any columns; doc_id, text, lang, source and n_chars are used) with _p_text, _p_meta, _p (the
-    probability of good quality) and _kept added.
+SCORES = ("_p_text", "_p_meta", "_p", "_kept")
 
-    Two classifiers, one of the text's content and one of the page's metadata, are co-trained (fit()) on a documented
-    sample; their calibrated views are combined to score every whole text, in the tasks that read them, without a shuffle.
 
-    Cases: a null text is empty, other nulls are a value of their own. Without enough labels, probabilities are null and
-    all is kept. Repeated rows are all returned; an empty table gives an empty result.
-    """
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs with their columns called c0, c1 ..., and SCORES."""
     names = docs.columns
     model = fit(pick(docs, "doc_id", "text", "lang", "source", "n_chars"), pick(labels, "doc_id", "quality"))
     at = {x: f"c{names.index(x)}" for x in ("text", "lang", "source", "n_chars")}
     held = docs.sparkSession.sparkContext.broadcast(model)
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    out = plain.withColumns({"_p_text": F.lit(None).cast("double"), "_p_meta": F.lit(None).cast("double"), "_p": F.lit(None).cast("double")})
+    out = plain.withColumns({x: F.lit(None).cast("double") for x in SCORES[:3]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for batch in chunks(batches, at["text"], 2 << 20):
+        for batch in chunks(batches, at["text"], 1 << 20):
             if model is None:
                 yield batch
                 continue
@@ -210,8 +205,27 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
             scores = [pa.array(x) for x in model.score(t, m)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *scores], batch.schema.names)
 
-    out = out.mapInArrow(run, out.schema).toDF(*names, "_p_text", "_p_meta", "_p")
-    return out.withColumn("_kept", F.coalesce(F.col("_p") >= THRESHOLD, F.lit(True)))
+    return out.mapInArrow(run, out.schema).withColumn("_kept", F.coalesce(F.col("_p") >= THRESHOLD, F.lit(True)))
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs (any columns; doc_id, text, lang, source and n_chars are used) with _p_text, _p_meta, _p (the
+    probability of good quality) and _kept added.
+
+    Two classifiers, one of the text's content and one of the page's metadata, are co-trained (fit()) on a documented
+    sample; their calibrated views are combined to score every whole text, in the tasks that read them, without a shuffle.
+
+    Cases: a null text is empty, other nulls are a value of their own. Without enough labels, probabilities are null and
+    all is kept. Columns of docs that are called like an added one are left out. Repeated rows are all returned; an empty
+    table gives an empty result.
+    """
+    out = scored(docs, labels)
+    return out.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(docs.columns) if x.lower() not in SCORES], *SCORES)
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that classify() keeps, with all of their columns and no other."""
+    return scored(docs, labels).where("_kept").drop(*SCORES).toDF(*docs.columns)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
