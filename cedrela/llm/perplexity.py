@@ -22,6 +22,9 @@ MODEL_PART = 4 << 20
 #: A document is rejected beyond so many interquartile ranges outside the quartiles of its language.
 SPREAD = 3.0
 
+#: Languages of which numbers are broadcast, some 100 bytes each.
+LANGUAGES_HELD = 10_000
+
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -113,7 +116,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(counts[i : i + 100_000])], ["lang", "gram", "n"])
             held.clear()
 
-        for batch in chunks(batches, "text", 4 << 20):
+        for batch in chunks(batches, "text", 1 << 20):
             langs = np.array(batch.column("lang").to_pylist(), object)
             values = np.array(texts(batch), object)
             for lang in set(langs):
@@ -144,6 +147,12 @@ def discount(n: Column) -> Column:
     return out
 
 
+def by_lang(rows: DataFrame) -> DataFrame:
+    """A table with a row for each language, staged, to be joined by it: broadcast, if it isn't larger than LANGUAGES_HELD."""
+    rows = stage(rows)
+    return F.broadcast(rows) if rows.count() <= LANGUAGES_HELD else rows
+
+
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """lang, gram, value: the model as numbers that add up.
 
@@ -161,7 +170,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     for order in range(1, ORDER + 1):
         seen = levels[order]
         times = seen.groupBy("lang").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"t{k}") for k in (1, 2, 3, 4)], F.count("*").alias("kinds"))
-        seen = seen.join(times, "lang").withColumn("off", discount(F.col("n")))
+        seen = seen.join(by_lang(times), "lang").withColumn("off", discount(F.col("n")))
         seen = seen.withColumn("context", F.shiftrightunsigned("gram", 16) if order > 1 else F.lit(0).cast("long"))
         before = seen.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("off").alias("left"))
         seen = seen.join(before, ["lang", "context"]).withColumn("weight", F.col("left") / F.col("total"))
@@ -229,7 +238,11 @@ SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols lon
 
 
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """The base counts, n_chars and log_p (of the whole text) of every document (doc_id, text, lang)."""
+    """The base counts, n_chars and log_p (of the whole text) of every document (doc_id, text, lang).
+
+    Of a model of several parts, each is held by itself: the texts with what the parts so far add to log_p are written
+    before the next one is broadcast, and a part goes when its texts are scored.
+    """
     spark = docs.sparkSession
     n_parts = math.ceil(model.count() / MODEL_PART) or 1
     out = docs.select("doc_id", "text", "lang").withColumn("log_p", F.lit(0.0))
@@ -239,7 +252,7 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], held=held, last=last) -> Iterator[pa.RecordBatch]:
             arrays = held.value
-            for batch in chunks(batches, "text", 2 << 20):
+            for batch in chunks(batches, "text", 1 << 20):
                 values, langs = texts(batch), np.array(batch.column("lang").to_pylist(), object)
                 log_p = batch.column("log_p").to_numpy().copy()
                 for lang in set(langs) & arrays.keys():
@@ -254,7 +267,8 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
                     ["doc_id", "lang", *counts, "n_chars", "log_p"],
                 )
 
-        out = out.mapInArrow(run, SCORED if last else "doc_id long, text string, lang string, log_p double")
+        out = stage(out.mapInArrow(run, SCORED if last else "doc_id long, text string, lang string, log_p double"))
+        held.destroy()
     return out
 
 
@@ -265,19 +279,20 @@ def judge(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
     logarithm of the perplexity of those that pass the base rules gives each language its quartiles; a document is kept
     within `spread` interquartile ranges outside them.
 
-    Cases: a null text is empty; with no words it fails the base rules. A null lang is a language of its own. A language of
+    Cases: a null text is empty; with no words it fails the base rules. A null lang and an empty one are one language, given back
+    as the empty string. A language of
     which no document passes the base rules has no band, and none of it is kept. Texts are scored whole; repeated rows are
     all counted and returned; other columns are ignored; an empty table gives an empty result.
     """
     docs = pick(docs, "doc_id", "text", "lang").withColumn("lang", F.coalesce("lang", F.lit("")))
-    scored = stage(score(docs, stage(kneser_ney(stage(count_grams(docs))))))
+    scored = score(docs, stage(kneser_ney(stage(count_grams(docs)))))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed).withColumn("entropy", -F.col("log_p") / (F.col("n_chars") + 1))
     quartiles = scored.where("NOT base_failed").groupBy("lang").agg(F.percentile_approx("entropy", [0.25, 0.75], 10_000).alias("q"))
     width = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.01)) * spread
     bands = quartiles.select("lang", (F.col("q")[0] - width).alias("low"), (F.col("q")[1] + width).alias("high"))
     inside = F.coalesce(F.col("entropy").between(F.col("low"), F.col("high")), F.lit(False))
-    return scored.join(bands, "lang", "left").select(
+    return scored.join(by_lang(bands), "lang", "left").select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.exp("entropy").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"), (~F.col("base_failed") & inside).alias("kept"),
     )
