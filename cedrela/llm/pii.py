@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -31,7 +30,9 @@ REACH = 6
 MIN_DOCS = 2
 #: From what share of a term's documents hold the entity beside it the term is generalised, and removed.
 GENERALISE, REMOVE = 0.5, 0.9
-#: Flagged terms that a task holds at once, some 100 bytes each. With more, the texts are gone through part by part.
+#: A term tells so many bits about an entity at least: it makes it four times as likely.
+MIN_BITS = 2.0
+#: Flagged terms that are broadcast, some 100 bytes each. With more, they are joined to the texts' own terms.
 TERM_PART = 200_000
 
 
@@ -95,10 +96,11 @@ def beside(text: str, spans: list[tuple[int, int, str]]) -> set[tuple[str, str]]
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """term, share: terms that reveal an entity.
 
-    One pass over all texts counts, for each term, its documents, and for each term beside an entity, the documents with
-    both; tasks add up before the shuffle. share is the largest estimate of P(entity beside it | term in the document) over
-    entities that the term is seen with in MIN_DOCS documents or more; with that share a term tells the entity's
-    log2(share / P(entity)) bits. Terms from GENERALISE on are returned.
+    One pass over all texts counts documents: of each term, of each entity, of both where the term stands beside the
+    entity, and all; tasks add up before the shuffle. A term's share is P(entity beside it | term in the document), and it
+    tells log2(share / P(entity)) bits about the entity. Pairs count that stand in MIN_DOCS documents or more. A term
+    is returned, with its largest share, if for some entity the share is GENERALISE or more and the bits MIN_BITS or more: an
+    entity that stands in many documents anyway isn't given away by what stands beside it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,34 +116,35 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
             held.clear()
             documents.clear()
 
-        for batch in chunks(batches, "text", 2 << 20):
+        for batch in chunks(batches, "text", 1 << 20):
             for text in texts(batch):
                 documents.update({*TERM.findall(text.lower())})
+                documents[""] += 1
                 if spans := base_spans(text):
                     held.update(beside(text, spans))
-            if len(held) + len(documents) > 400_000:
+                    held.update({("", entity_of(kind, text[a:b])) for a, b, kind in spans})
+            if len(held) + len(documents) > 200_000:
                 yield from flush()
         yield from flush()
 
     counts = docs.select("text").mapInArrow(run, "term string, entity string, n long")
     counts = stage(counts.groupBy("term", "entity").agg(F.sum("n").alias("n")))
-    both = counts.where("entity != ''").groupBy("term").agg(F.max("n").alias("both")).where(F.col("both") >= MIN_DOCS)
-    share = F.least(F.col("both") / F.col("n"), F.lit(1.0))
-    found = both.join(counts.where("entity = ''"), "term").select("term", share.alias("share")).where(F.col("share") >= GENERALISE)
-    return found
-
-
-def spans_of(text: str, carried: str, shares: dict[str, float]) -> str:
-    """The spans found so far (kind:start:end, by commas) with those of flagged terms added."""
-    low = text.lower()
-    if not shares or (len(low) == len(text) and shares.keys().isdisjoint(TERM.findall(low))):
-        return carried
-    spans = []
-    for x in carried.split(",") if carried else []:
-        kind, start, end = x.split(":")
-        spans.append((int(start), int(end), kind))
-    taken = [s for s in spans if s[2] in KINDS]
+    total = (counts.where("term = '' AND entity = ''").first() or {"n": 0})["n"]
+    terms = counts.where("term != '' AND entity = ''").select("term", F.col("n").alias("n_term"))
+    entities = counts.where("term = '' AND entity != ''").select("entity", F.col("n").alias("n_entity"))
+    share = F.least(F.col("n") / F.col("n_term"), F.lit(1.0))
+    both = counts.where(f"term != '' AND entity != '' AND n >= {MIN_DOCS}").join(terms, "term").withColumn("share", share).where(F.col("share") >= GENERALISE)
+    bits = F.log2(F.col("share") * F.lit(float(total)) / F.col("n_entity"))
+    return both.join(entities, "entity").where(bits >= MIN_BITS).groupBy("term").agg(F.max("share").alias("share"))
+
+
+def spans_of(text: str, shares: dict[str, float]) -> str:
+    """Base spans and those of flagged terms, as kind:start:end by commas."""
+    taken = base_spans(text)
     new, k = [], 0
+    low = text.lower() if shares else ""
+    if not shares or (len(low) == len(text) and shares.keys().isdisjoint(TERM.findall(low))):
+        return ",".join(f"{kind}:{start}:{end}" for start, end, kind in taken)
     for m in TERM.finditer(text):
         if (share := shares.get(m.group().lower())) is None:
             continue
@@ -149,7 +152,7 @@ def spans_of(text: str, carried: str, shares: dict[str, float]) -> str:
             k += 1
         if not any(s[0] < m.end() and m.start() < s[1] for s in taken[k : k + len(KINDS)]):
             new.append((*m.span(), "removed" if share >= REMOVE else "general"))
-    return ",".join(f"{kind}:{start}:{end}" for start, end, kind in sorted(spans + new, key=lambda s: (s[0], ORDER[s[2]])))
+    return ",".join(f"{kind}:{start}:{end}" for start, end, kind in sorted(taken + new, key=lambda s: (s[0], ORDER[s[2]])))
 
 
 def sanitised(text: str, spans: str) -> str:
@@ -168,42 +171,80 @@ def sanitised(text: str, spans: str) -> str:
     return "".join(out) + text[past:]
 
 
+def shares_by_row(rows: DataFrame, text: str, flagged: DataFrame) -> DataFrame:
+    """row, terms, shares: the flagged terms of each text that has any, by a join on the term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, text, 1 << 20):
+            for row, x in zip(batch.column("row").to_pylist(), texts(batch, text)):
+                own = pa.array({*TERM.findall(x.lower())} | {w.lower() for w in TERM.findall(x)}, pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(own), pa.int64()), own], ["row", "term"])
+
+    own = rows.select("row", text).mapInArrow(run, "row long, term string")
+    met = own.join(flagged, "term").groupBy("row").agg(F.collect_list(F.struct("term", "share")).alias("met"))
+    return met.select("row", F.col("met.term").alias("terms"), F.col("met.share").alias("shares"))
+
+
+FOUND = ("_spans", "_sanitised")
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """The rows of docs with their columns called c0, c1 ..., and _spans and _sanitised."""
+    spark = docs.sparkSession
+    names = docs.columns
+    at = f"c{names.index('text')}"
+    flagged = stage(disclosing_terms(pick(docs, "doc_id", "text")))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    few = flagged.count() <= TERM_PART
+    held = None
+    if few:
+        got = flagged.toArrow()
+        held = spark.sparkContext.broadcast(dict(zip(got["term"].to_pylist(), got["share"].to_pylist())))
+    else:
+        rows = stage(plain.withColumn("row", F.monotonically_increasing_id()))
+        plain = rows.join(shares_by_row(rows, at, flagged), "row", "left").select(*plain.columns, "terms", "shares")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, at, 1 << 20):
+            values = batch.column(at).to_pylist()
+            if held is not None:
+                shares = [held.value] * len(values)
+            else:
+                shares = [dict(zip(t or (), x or ())) for t, x in zip(*(batch.column(c).to_pylist() for c in ("terms", "shares")))]
+            spans = [spans_of(text or "", x) for text, x in zip(values, shares)]
+            clean = [None if text is None else sanitised(text, s) for text, s in zip(values, spans)]
+            own = batch.select([f"c{i}" for i in range(len(names))])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(spans, pa.string()), pa.array(clean, pa.string())], [*own.schema.names, "_spans", "_sanitised"])
+
+    out = plain.select(*[f"c{i}" for i in range(len(names))], *[F.lit(None).cast("string").alias(c) for c in FOUND]).schema
+    return plain.mapInArrow(run, out)
+
+
 def find(docs: DataFrame) -> DataFrame:
     """The rows of docs (any columns, with doc_id and text) with _spans (kind:start:end in code points, by commas) and
     _sanitised added.
 
     Base kinds are email, ip, card and phone. The method adds terms of which corpus co-occurrence says that they give a
     protected entity away (disclosing_terms()): general from a share of GENERALISE on, removed from REMOVE on. Their
-    places are found in every text, whether or not it holds the entity.
+    places are found in every text, whether or not it holds the entity. Up to TERM_PART flagged terms are broadcast; more
+    are joined to the terms of each text, so no task or driver holds them all.
 
     Cases: a null text is empty, has no spans and stays null when sanitised. Repeated rows are all returned, and count as
-    documents. Texts are processed whole, in linear time. An empty table gives an empty result.
+    documents. Columns of docs that are called like an added one are left out. Texts are processed whole, in linear time. An
+    empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    names = docs.columns
-    at = names.index("text")
-    flagged = stage(disclosing_terms(pick(docs, "doc_id", "text")))
-    n_parts = math.ceil(flagged.count() / TERM_PART) or 1
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    out = plain.withColumn("_spans", F.lit(None).cast("string")).withColumn("_sanitised", F.lit(None).cast("string"))
-    for k in range(n_parts):
-        got = flagged.where(F.pmod(F.xxhash64("term"), F.lit(n_parts)) == k).toArrow()
-        held = spark.sparkContext.broadcast(dict(zip(got["term"].to_pylist(), got["share"].to_pylist())))
+    out = scanned(docs)
+    return out.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(docs.columns) if x.lower() not in FOUND], *FOUND)
+
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, first=k == 0, last=k == n_parts - 1) -> Iterator[pa.RecordBatch]:
-            shares = held.value
-            for batch in chunks(batches, f"c{at}", 4 << 20):
-                values = batch.column(f"c{at}").to_pylist()
-                if first:
-                    base = [",".join(f"{x}:{a}:{b}" for a, b, x in base_spans(text or "")) for text in values]
-                else:
-                    base = batch.column("_spans").to_pylist()
-                spans = [spans_of(text or "", s, shares) for text, s in zip(values, base)]
-                clean = [None if text is None else sanitised(text, s) for text, s in zip(values, spans)] if last else [None] * len(values)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(spans, pa.string()), pa.array(clean, pa.string())], batch.schema.names)
-
-        out = out.mapInArrow(run, out.schema)
-    return out.toDF(*names, "_spans", "_sanitised")
+def clean_documents(docs: DataFrame) -> DataFrame:
+    """The documents, all columns kept, with text sanitised (and n_chars, if there, brought up to date where spans are)."""
+    names = docs.columns
+    out = scanned(docs).withColumn(f"c{names.index('text')}", F.col("_sanitised"))
+    if "n_chars" in names:
+        size = f"c{names.index('n_chars')}"
+        out = out.withColumn(size, F.when(F.col("_spans") != "", F.length("_sanitised").cast("long")).otherwise(F.col(size)))
+    return out.drop(*FOUND).toDF(*names)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
