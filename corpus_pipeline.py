@@ -12,7 +12,7 @@ from cedrela.llm.common import stage, table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go. Without labels nothing goes."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("_kept").select(*docs.columns)
+    return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,23 +25,19 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Groups are of rows, by their texts: rows that repeat a doc_id, or have none, go only as near duplicates.
     """
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = ngram_join.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    first = rows.select("doc_id", "_row").join(found, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
-    return rows.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = (f"c{names.index(x)}" for x in ("doc_id", "text"))
+    rows = stage(plain.withColumn("row", F.monotonically_increasing_id()))
+    found = ngram_join.near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col(text).alias("text"))).withColumnRenamed("doc_id", "row")
+    order = F.struct(F.col(doc_id).isNull(), doc_id, "row")
+    first = rows.select(doc_id, "row").join(found, "row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select("first.row"), "row", "left_semi").select(*plain.columns).toDF(*names)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and disclosing terms are replaced in the texts; every document stays, with n_chars brought up to date."""
-    found = pii.find(docs)
-    changed = F.col("_spans") != ""
-    return found.select(
-        *[
-            F.col("_sanitised").alias("text") if c == "text" else F.when(changed, F.length("_sanitised").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c)
-            for c in docs.columns
-        ]
-    )
+    return pii.clean_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
