@@ -62,6 +62,7 @@ def stage(df: DataFrame) -> DataFrame:
 def forget(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of what is written and done with: it waits for the driver's garbage."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -82,7 +83,7 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = stars.union(stars.select("b", "a")).toDF("a", "b")
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         near = large.join(low, "a")
         small = near.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low)

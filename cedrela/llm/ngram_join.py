@@ -22,7 +22,7 @@ OFTEN = 8
 #: Orders in which a column's representative is chosen: so many of a group of near copies stand for it, not one.
 ORDERS = 16
 #: Representatives of a column in each turn; columns whose classes have become one component are done with.
-REPRESENTATIVES = (1, 16, 64)
+REPRESENTATIVES = (4, 32)
 #: Prefix entries of a block of columns, on average.
 BLOCK = 500_000
 #: Prefix entries that a task gathers before it hands them on, and shingles that it counts before it does.

@@ -66,6 +66,15 @@ def meta_view(langs: list[str | None], sources: list[str | None], sizes: list[in
     return out
 
 
+#: Rows of a matrix of features that are standardised, in double precision, at once.
+ROWS = 1024
+
+
+def blocks(x: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    for at in range(0, len(x), ROWS):
+        yield slice(at, at + ROWS), x[at : at + ROWS].astype(float)
+
+
 @dataclass
 class View:
     """Logistic regression on standardised features, with Platt's calibration."""
@@ -77,22 +86,26 @@ class View:
     shift: float = 0.0
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.spread, -8, 8)
-        return self.slope * (z @ self.weights[:-1] + self.weights[-1]) + self.shift
+        parts = [np.clip((rows - self.mean) / self.spread, -8, 8) @ self.weights[:-1] for _, rows in blocks(x)]
+        return self.slope * (np.concatenate(parts) + self.weights[-1]) + self.shift if parts else np.zeros(0)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def newton(z: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
-    """Weights (the last is the constant) of a logistic regression with a ridge penalty."""
-    z = np.hstack([z, np.ones((len(z), 1))])
-    w, keep = np.zeros(z.shape[1]), np.full(z.shape[1], ridge)
+def newton(x: np.ndarray, y: np.ndarray, ridge: float, mean: np.ndarray | float = 0.0, spread: np.ndarray | float = 1.0) -> np.ndarray:
+    """Weights (the last is the constant) of a logistic regression with a ridge penalty, on standardised rows."""
+    w, keep = np.zeros(x.shape[1] + 1), np.full(x.shape[1] + 1, ridge)
     keep[-1] = 1e-3
     for _ in range(12):
-        p = sigmoid(z @ w)
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(keep), z.T @ (y - p) - keep * w)
+        curve, slope = np.diag(keep), -keep * w
+        for at, rows in blocks(x):
+            z = np.hstack([np.clip((rows - mean) / spread, -8, 8), np.ones((len(rows), 1))])
+            p = sigmoid(z @ w)
+            curve += (z * (p * (1 - p))[:, None]).T @ z
+            slope += z.T @ (y[at] - p)
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -100,8 +113,9 @@ def newton(z: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
 
 
 def fit_view(x: np.ndarray, y: np.ndarray) -> View:
-    mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-    return View(mean, spread, newton(np.clip((x - mean) / spread, -8, 8), y, 5.0))
+    mean = sum(rows.sum(axis=0) for _, rows in blocks(x)) / len(x)
+    spread = np.maximum(np.sqrt(sum(((rows - mean) ** 2).sum(axis=0) for _, rows in blocks(x)) / len(x)), 1e-3)
+    return View(mean, spread, newton(x, y, 5.0, mean, spread))
 
 
 @dataclass
@@ -174,8 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     if not got.num_rows:
         return None
     y = got["label"].to_numpy()
-    matrix = lambda name: np.asarray(got[name].combine_chunks().flatten()).reshape(len(y), -1).astype(float)
+    matrix = lambda name: np.asarray(got[name].combine_chunks().flatten()).reshape(len(y), -1)
     t, m = matrix("t"), matrix("m")
+    del got
     a, b = y >= 0, y < 0
     if a.sum() < 10 or len(set(y[a])) < 2:
         return None
