@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import chunks, pick, table, texts
+from .common import chunks, pick, small_batches, table, texts
 
 #: Characters of which every Unicode version says the same: Latin, Greek, Cyrillic, common punctuation.
 SETTLED = regex.compile(r"[\x00-\u052f\u2010-\u2027\u20ac]*").fullmatch
@@ -133,6 +133,7 @@ def encode_decode(docs: DataFrame, vocabulary_file: str) -> DataFrame:
     special tokens in a text are those tokens. Texts are processed whole, a long one in a batch of its own. Repeated rows
     are all returned; other columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs.sparkSession.sparkContext.addFile(vocabulary_file)
     name = vocabulary_file.rsplit("/", 1)[-1]
 

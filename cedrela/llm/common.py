@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -38,24 +39,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Bytes that go to a Python worker in one Arrow batch while a stage is written.
-BATCH_CONF, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+#: Bytes that go to a Python worker in one Arrow batch.
+BATCH_CONF, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on, the session's Arrow batches hold BATCH bytes at most, so a worker's input is bounded whatever rows weigh."""
+    now = spark.conf.get(BATCH_CONF)
+    if int(re.sub(r"\D", "", now)) > BATCH or not now.rstrip("b").isdigit():
+        spark.conf.set(BATCH_CONF, str(BATCH))
 
 
 def stage(df: DataFrame) -> DataFrame:
     """`df` written as Parquet into the shared folder and read again.
 
-    Lineage ends there: a lost executor costs at most the tasks that it ran, and nothing before is computed again. While it
-    is written, Arrow batches are small, so a worker holds BATCH of input, whatever rows weigh.
+    Lineage ends there: a lost executor costs at most the tasks that it ran, and nothing before is computed again.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH_CONF)
-    spark.conf.set(BATCH_CONF, BATCH)
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(BATCH_CONF, before)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -250,7 +250,7 @@ def possible(pairs: DataFrame, described: DataFrame) -> DataFrame:
 def sets_of(docs: DataFrame, described: DataFrame, classes: DataFrame) -> DataFrame:
     """class, set (sorted hashes) of these classes, from the text of one document of each.
 
-    A map of WANTED bits leaves out most texts that aren't needed before the join by doc_id moves the others.
+    A map of WANTED bits leaves out most texts that aren't needed, and the join by doc_id the others.
     """
     one = stage(described.join(classes, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     place = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED)) + 1  # bitmap functions number their buckets, and the values in them, from 1
@@ -260,20 +260,17 @@ def sets_of(docs: DataFrame, described: DataFrame, classes: DataFrame) -> DataFr
         bits[k - 1] = np.frombuffer(part, np.uint8)
     held = docs.sparkSession.sparkContext.broadcast(bits.reshape(-1))
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for batch in batches:
             at = batch.column("place").to_numpy() - 1
             keep = bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
-            yield batch.select(["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", CHUNK):
-            sets = shingle_sets(*utf8(batch))
-            yield pa.RecordBatch.from_arrays([pa.array(class_of(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "set"])
+            for part in chunks([batch.filter(pa.array(keep.astype(bool)))], "text", CHUNK):
+                sets = shingle_sets(*utf8(part))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(class_of(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "class", "set"])
 
-    some = docs.where("doc_id IS NOT NULL").select("doc_id", "text", place.alias("place")).mapInArrow(wanted, "doc_id long, text string")
-    return some.join(one, "doc_id", "left_semi").select("text").mapInArrow(run, "class long, set binary")
+    some = docs.where("doc_id IS NOT NULL").select("doc_id", "text", place.alias("place")).mapInArrow(run, "doc_id long, class long, set binary")
+    return some.join(one, "doc_id", "left_semi").select("class", "set")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:

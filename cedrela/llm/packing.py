@@ -16,7 +16,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from .bpe import byte_letters
-from .common import chunks, pick, table, texts
+from .common import chunks, pick, small_batches, table, texts
 
 #: Tokens that a task gathers before it packs them: its windows are filled from so many.
 GATHERED = 2 << 20
@@ -178,6 +178,7 @@ def pack(docs: DataFrame, vocabulary_file: str, size: int = 1024, end_id: int =
     Cases: a null text is empty, and an empty document is `end_id` alone. A document longer than a sequence is cut, wherever
     it is. Repeated rows are documents of their own. Other columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs.sparkSession.sparkContext.addFile(vocabulary_file)
     name = vocabulary_file.rsplit("/", 1)[-1]
     kinds = {("ids_crc32" if digest and c == "ids" else c): ("long" if digest and c == "ids" else k) for c, k in KINDS.items()}

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, pick, stage, table, texts
+from .common import chunks, pick, small_batches, stage, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
 ORDER = {kind: i for i, kind in enumerate((*KINDS, "removed", "general"))}
@@ -123,7 +123,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
                 if spans := base_spans(text):
                     held.update(beside(text, spans))
                     held.update({("", entity_of(kind, text[a:b])) for a, b, kind in spans})
-            if len(held) + len(documents) > 200_000:
+            if len(held) + len(documents) > 120_000:
                 yield from flush()
         yield from flush()
 
@@ -190,6 +190,7 @@ FOUND = ("_spans", "_sanitised")
 
 def scanned(docs: DataFrame) -> DataFrame:
     """The rows of docs with their columns called c0, c1 ..., and _spans and _sanitised."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     names = docs.columns
     at = f"c{names.index('text')}"

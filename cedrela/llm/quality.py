@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, joined, mix, pick, table, texts, word_hashes
+from .common import chunks, joined, mix, pick, small_batches, table, texts, word_hashes
 
 #: The classifier is fitted on at most so many labelled documents, and exchanges pseudo-labels over at most so many others.
 MAX_LABELLED, MAX_POOL = 8000, 8000
@@ -162,7 +162,7 @@ def features(docs: DataFrame, label: str) -> DataFrame:
     """Both views' features of few documents, as lists, with a label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 4 << 20):
+        for batch in chunks(batches, "text", 1 << 18):
             a = text_view(texts(batch)).astype(np.float32)
             b = meta_view(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars"))).astype(np.float32)
             lists = [pa.array(list(x), pa.list_(pa.float32())) for x in (a, b)]
@@ -202,6 +202,7 @@ SCORES = ("_p_text", "_p_meta", "_p", "_kept")
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs with their columns called c0, c1 ..., and SCORES."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     model = fit(pick(docs, "doc_id", "text", "lang", "source", "n_chars"), pick(labels, "doc_id", "quality"))
     at = {x: f"c{names.index(x)}" for x in ("text", "lang", "source", "n_chars")}
@@ -211,7 +212,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for batch in chunks(batches, at["text"], 1 << 20):
+        for batch in chunks(batches, at["text"], 1 << 18):
             if model is None:
                 yield batch
                 continue
