@@ -13,8 +13,8 @@ from pyspark.sql import Window
 
 from .common import pick, table
 
-#: Rows of a tile: candidates and queries.
-CANDIDATES, QUERIES = 4096, 4096
+#: Rows of a tile: candidates and queries; and queries of which a task holds the products at once (40 MB).
+CANDIDATES, QUERIES, HELD = 4096, 4096, 256
 
 
 def usable(vector: Column) -> Column:
@@ -48,19 +48,22 @@ def tile(ids: np.ndarray, base: np.ndarray, query_ids: np.ndarray, queries: np.n
     """
     kind = np.float32 if base.shape[1] <= 1000 else np.float64
     small_b, scale_b, off_b = quantised(base)
-    small_q, scale_q, off_q = quantised(queries)
-    rough = (small_q.astype(kind) @ small_b.T.astype(kind)).astype(np.float64) * scale_q[:, None] * scale_b
-    off = off_q[:, None] + off_b * (1 + off_q[:, None]) + 1e-9
-    rough[query_ids[:, None] == ids] = -np.inf
-    low = rough - off
-    bar = np.partition(low, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(queries), -np.inf)
+    turned = small_b.T.astype(kind)
     out = []
-    for i in range(len(queries)):
-        near = np.flatnonzero((rough[i] + off[i] >= bar[i]) & (rough[i] > -np.inf))
-        if len(near):
-            score = cosines(queries[i], base[near])
-            best = heapq.nsmallest(k, zip(-score, ids[near]))
-            out += [(query_ids[i], c, -s) for s, c in best]
+    for at in range(0, len(queries), HELD):
+        own, own_ids = queries[at : at + HELD], query_ids[at : at + HELD]
+        small_q, scale_q, off_q = quantised(own)
+        rough = (small_q.astype(kind) @ turned).astype(np.float64) * scale_q[:, None] * scale_b
+        off = off_q[:, None] + off_b * (1 + off_q[:, None]) + 1e-9
+        rough[own_ids[:, None] == ids] = -np.inf
+        low = rough - off
+        bar = np.partition(low, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(own), -np.inf)
+        for i in range(len(own)):
+            near = np.flatnonzero((rough[i] + off[i] >= bar[i]) & (rough[i] > -np.inf))
+            if len(near):
+                score = cosines(own[i], base[near])
+                best = heapq.nsmallest(k, zip(-score, ids[near]))
+                out += [(own_ids[i], c, -s) for s, c in best]
     return out
 
 
