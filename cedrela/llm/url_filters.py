@@ -102,7 +102,8 @@ def filter_urls(pages: DataFrame, links: DataFrame, rules: Sequence[tuple[str, s
         .where("blocked AND NOT coalesce(allowed, false)")
     )
     blocked = found.join(decided, "component").select(F.col("node").alias("key"), F.lit(True).alias("alias_blocked"))
-    out = own.withColumn("key", key_of(F.col("url"))).join(blocked, "key", "left")
+    spread = F.concat(F.lit("#"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))  # no node has a `#`: urls without a key meet nowhere
+    out = own.withColumn("key", F.coalesce(key_of(F.col("url")), spread)).join(blocked, "key", "left")
     verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("alias_blocked"), "block"), F.lit("allow"))
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"))
 
