@@ -189,7 +189,7 @@ def orphans(rows: DataFrame, parents: DataFrame, key: str, action: str) -> DataF
     """rows whose parent is gone, by a referential action: `cascade` drops them, `set null` clears their key."""
     present = parents.select(F.col("id").alias(key))
     if action == "cascade":
-        kept = rows.join(present, key, "left_semi")
+        kept = rows.join(present, key, "left_semi").select(*rows.columns)
         return kept.unionByName(rows.where(F.col(key).isNull()))
     marked = rows.where(F.col(key).isNotNull()).join(present.withColumn("_present", F.lit(True)), key, "left")
     marked = marked.withColumn(key, F.when(F.col("_present"), F.col(key))).select(*rows.columns)
