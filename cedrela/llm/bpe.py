@@ -20,9 +20,9 @@ from .common import chunks, pick, small_batches, table, texts
 #: Characters of which every Unicode version says the same: Latin, Greek, Cyrillic, common punctuation.
 SETTLED = regex.compile(r"[\x00-\u052f\u2010-\u2027\u20ac]*").fullmatch
 
-#: Distinct words, and characters of them, whose pieces a task keeps before it forgets them all: bounds of its memory, not of
-#: its results.
-KEPT_WORDS, KEPT_CHARACTERS = 150_000, 2 << 20
+#: Distinct words, and characters of them, of which a worker keeps the pieces before it forgets those not met since the last
+#: time: bounds of its memory (twice so many), not of its results.
+KEPT_WORDS, KEPT_CHARACTERS = 200_000, 4 << 20
 
 
 def byte_letters() -> list[str]:
@@ -116,11 +116,41 @@ class Vocabulary:
         return [[s for s in symbol[a:b] if s >= 0] for a, b in zip(begin, ends)]
 
 
+class Pieces:
+    """The ids and the decoded pieces of words, as strings, kept from batch to batch and task to task."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self.fixed = {s: str(i) for s, i in v.special.items()}, {s: s for s in v.special}
+        self.now, self.before, self.characters = ({}, {}), ({}, {}), 0
+
+    def of(self, words: set[str]) -> tuple[dict[str, str], dict[str, str]]:
+        """Two dictionaries that hold these words: their ids and their decoded pieces. Unknown words are merged together."""
+        if len(self.now[0]) > KEPT_WORDS or self.characters > KEPT_CHARACTERS:
+            self.before, self.now, self.characters = self.now, ({}, {}), 0
+        ids, decoded = self.now
+        ids.update(self.fixed[0])
+        decoded.update(self.fixed[1])
+        words = words - ids.keys()
+        self.characters += sum(map(len, words))
+        for word in words & self.before[0].keys():
+            ids[word], decoded[word] = self.before[0][word], self.before[1][word]
+        new = list(words - ids.keys())
+        for word, found in zip(new, self.v.merged(new)):
+            ids[word], decoded[word] = " ".join(map(str, found)), " ".join(self.v.piece[i] for i in found)
+        return ids, decoded
+
+
 @lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(2)
+def pieces(path: str) -> Pieces:
+    return Pieces(vocabulary(path))
+
+
 def encode_decode(docs: DataFrame, vocabulary_file: str) -> DataFrame:
     """doc_id, n_tokens, ids (decimal, one space between), decoded (the ids' pieces, one space between).
 
@@ -139,24 +169,15 @@ def encode_decode(docs: DataFrame, vocabulary_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(SparkFiles.get(name))
-        ids: dict[str, str] = {}
-        decoded: dict[str, str] = {}
-        kept = 0
-        for special, i in v.special.items():
-            ids[special], decoded[special] = str(i), special
-        for batch in chunks(batches, "text", 1 << 20):
+        known = pieces(SparkFiles.get(name))
+        for batch in chunks(batches, "text", 2 << 20):
             cut = []
             for text in texts(batch):
                 if v.specials and "<|" in text:
                     cut.append([w for k, part in enumerate(v.specials.split(text)) for w in ([part] if k % 2 else v.cut(part))])
                 else:
                     cut.append(v.cut(text))
-            if len(ids) > KEPT_WORDS or kept > KEPT_CHARACTERS:
-                ids, decoded, kept = {s: ids[s] for s in v.special}, {s: decoded[s] for s in v.special}, 0
-            new = list({w for words in cut for w in words} - ids.keys())
-            kept += sum(map(len, new))
-            for word, found in zip(new, v.merged(new)):
-                ids[word], decoded[word] = " ".join(map(str, found)), " ".join(v.piece[i] for i in found)
+            ids, decoded = known.of({w for words in cut for w in words})
             out = [" ".join(map(ids.__getitem__, words)) for words in cut]
             yield pa.RecordBatch.from_arrays(
                 [
