@@ -22,7 +22,7 @@ SETTLED = regex.compile(r"[\x00-\u052f\u2010-\u2027\u20ac]*").fullmatch
 
 #: Distinct words, and characters of them, of which a worker keeps the pieces before it forgets those not met since the last
 #: time: bounds of its memory (twice so many), not of its results.
-KEPT_WORDS, KEPT_CHARACTERS = 200_000, 4 << 20
+KEPT_WORDS, KEPT_CHARACTERS = 350_000, 6 << 20
 
 
 def byte_letters() -> list[str]:
@@ -49,6 +49,8 @@ class Vocabulary:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.letter = byte_letters()
         self.byte = {x: i for i, x in enumerate(self.letter)}
+        self.inner, self.final = [self.ids.get(x) for x in self.letter], [self.ids.get(x + self.suffix) for x in self.letter]
+        self.complete = None not in self.inner and None not in self.final
         self.library = Tokenizer.from_file(path)
 
     def cut(self, text: str) -> list[str]:
@@ -66,9 +68,10 @@ class Vocabulary:
 
     def symbols(self, word: str) -> list[int]:
         """A word's first symbols: its bytes, the last of them with the word's end."""
-        letters = [self.letter[b] for b in word.encode()]
-        letters[-1] += self.suffix
-        return [self.ids[x] for x in letters if x in self.ids]
+        raw = word.encode()
+        out = [self.inner[b] for b in raw]
+        out[-1] = self.final[raw[-1]]
+        return out if self.complete else [x for x in out if x is not None]
 
     def merged(self, words: list[str]) -> list[list[int]]:
         """The pieces of many words at once.
@@ -86,8 +89,8 @@ class Vocabulary:
         n, rank = len(symbol), self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         places: dict[tuple[int, int], list[int]] = {}
-        for i in range(n - 1):
-            if (pair := (symbol[i], symbol[i + 1])) in rank:
+        for i, pair in enumerate(zip(symbol, symbol[1:])):
+            if pair in rank:
                 places.setdefault(pair, []).append(i)
         active = [(rank[p][0], p) for p in places]
         heapq.heapify(active)
