@@ -256,7 +256,7 @@ class AS (SELECT doc_id, CASE WHEN cv >= 5 THEN 'hoja_de_vida'
 @C.add(f"WITH folded AS (SELECT doc_id, {fold_only('text')} AS x FROM {corpus.TEXTS_SQL} UNION ALL SELECT -1 - doc_id, {fold_only('text')} FROM documents), {CLASSES} SELECT doc_id, category FROM class")
 def classify_documents(spark: SparkSession, d: str) -> DataFrame:
     both = corpus.texts(spark).select(F.col("doc_id").cast("long"), "text").union(views.read(spark, d, "documents").select(-1 - F.col("doc_id"), "text"))
-    return both.select("doc_id", classify.category(F.col("text")).alias("category"))
+    return classify.classified(both).select("doc_id", "category")
 
 
 @C.add(f"WITH folded AS (SELECT doc_id, {fold_only('text')} AS x FROM {corpus.TEXTS_SQL}), {CLASSES} SELECT CASE category {' '.join(f'WHEN {quoted(k)} THEN {quoted(v)}' for k, v in classify.FORM.items())} ELSE 'unknown' END AS form, count(*) AS n FROM class GROUP BY 1")

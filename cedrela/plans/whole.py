@@ -69,7 +69,7 @@ def name_split_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @C.add(texts_sql(documents.C, "document_form"))
 def document_form_documents(spark: SparkSession, d: str) -> DataFrame:
-    return texts(spark, d).groupBy(classify.form(classify.category(F.col("text"))).alias("form")).agg(F.count("*").alias("n"))
+    return classify.classified(texts(spark, d)).groupBy(classify.form(F.col("category")).alias("form")).agg(F.count("*").alias("n"))
 
 
 @C.add(texts_sql(documents.C, "parse_id_card"))
