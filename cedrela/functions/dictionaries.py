@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import bind, fold
@@ -67,15 +69,27 @@ def skills(text: Column, taxonomy: dict[str, list[str]] | None = None) -> Column
 
 
 def fuzzy_lookup(rows: DataFrame, column: str, terms: DataFrame, most: float = 0.18) -> DataFrame:
-    """id, term, distance: each row's nearest term of a table (id, term) of any size, within `most` of the longer length.
+    """id, term, distance: each row's nearest term of a table of any size (term), within `most` of the longer length; ties go
+    to the smaller term.
 
-    Two texts within that distance share one of their first letters' blocks: pairs meet by length band and by one of three
-    pieces of the text, so nothing is compared with everything.
+    A term that allows k edits is cut into k + 1 segments. One of them stands unchanged in each text within that distance, at
+    most k places away: pairs meet by segment, and lengths and places are compared before the distance is. Equal texts and
+    equal terms meet once, whatever the number of their rows. Null and empty texts and terms find nothing.
     """
-    piece = lambda c: F.array(*[F.concat(F.lit(f"{k}:"), F.substring(c, 1 + k * 2, 2)) for k in range(3)])
-    left = rows.select("id", F.col(column).alias("x")).withColumn("block", F.explode(F.array_union(piece(F.col("x")), F.array(F.concat(F.lit("e:"), F.right(F.col("x"), F.lit(3)))))))
-    right = terms.select("term").withColumn("block", F.explode(F.array_union(piece(F.col("term")), F.array(F.concat(F.lit("e:"), F.right(F.col("term"), F.lit(3)))))))
-    pairs = left.join(right, "block").where(F.abs(F.length("x") - F.length("term")) <= most * F.greatest(F.length("x"), F.length("term"))).select("id", "x", "term").distinct()
-    scored = pairs.withColumn("distance", F.levenshtein("x", "term")).where(F.col("distance") <= most * F.greatest(F.length("x"), F.length("term")))
-    best = F.row_number().over(Window.partitionBy("id").orderBy("distance", "term"))
-    return scored.withColumn("nth", best).where("nth = 1").select("id", "term", "distance")
+    texts = rows.select(F.col(column).alias("x")).where("x != ''").distinct()
+    wanted = terms.select("term").where("term != ''").distinct()
+    # The longer text has at most n / (1 - most) letters, n those of the term.
+    edits = F.floor(most * F.length("term") / (1 - most) + 1e-9).cast("int")
+    cut = wanted.select("term", edits.alias("k"), F.posexplode(F.sequence(F.lit(0), edits)).alias("i", "_"))
+    at = F.floor(F.col("i") * F.length("term") / (F.col("k") + 1)).cast("int")
+    end = F.floor((F.col("i") + 1) * F.length("term") / (F.col("k") + 1)).cast("int")
+    segments = cut.select("term", "k", at.alias("at"), F.substring("term", at + 1, end - at).alias("segment"))
+    longest = F.lit(math.ceil((1 - most) / most) + 2)
+    lengths = F.sequence(F.lit(1), F.least(F.length("x"), longest))
+    places = texts.select("x", F.explode(lengths).alias("n")).select("x", "n", F.explode(F.sequence(F.lit(0), F.length("x") - F.col("n"))).alias("place"))
+    places = places.select("x", "place", F.substring("x", F.col("place") + 1, F.col("n")).alias("segment"))
+    near = (F.abs(F.col("place") - F.col("at")) <= F.col("k")) & (F.abs(F.length("x") - F.length("term")) <= F.col("k"))
+    pairs = places.join(segments, "segment").where(near).select("x", "term").distinct()
+    scored = pairs.withColumn("distance", F.levenshtein("x", "term")).where(F.col("distance") <= most * F.greatest(F.length("x"), F.length("term")) + 1e-9)
+    best = scored.groupBy("x").agg(F.min(F.struct("distance", "term")).alias("b"))
+    return rows.select("id", F.col(column).alias("x")).join(best, "x").select("id", F.col("b.term").alias("term"), F.col("b.distance").alias("distance"))

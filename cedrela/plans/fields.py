@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, shapes
+from .. import views
+from ..functions import dates, dictionaries, shapes
 from ..operators import labels, lines
 from . import Catalogue, corpus
 from .whole import listed, texts
@@ -133,3 +134,19 @@ def header_lines_documents(spark: SparkSession, d: str) -> DataFrame:
 @C.add()
 def contract_parties_documents(spark: SparkSession, d: str) -> DataFrame:
     return labels.contract_parties(forms(spark, d))
+
+
+MISREAD = ["small rnig", "red widgett", "blue boltt", "smal gear", "large", "redwidget", "zzzzzzzzz", "", None, "red  widget", "smlal rnig"]
+ALL_NAMES = f"(SELECT p_partkey AS id, p_name || ' ' || p_type AS x FROM part UNION ALL SELECT -1 - id, x FROM {corpus.listed_sql(MISREAD)}) v"
+
+
+@C.add(rf"""WITH v AS (SELECT * FROM {ALL_NAMES}), t AS (SELECT DISTINCT p_name AS term FROM part UNION SELECT DISTINCT p_name || ' ' || reverse(p_type) FROM part UNION SELECT DISTINCT p_name || 's ' || p_type FROM part),
+p AS (SELECT x, term, levenshtein(x, term) AS distance FROM (SELECT DISTINCT x FROM v WHERE x != ''), t WHERE levenshtein(x, term) <= 0.18 * greatest(length(x), length(term))),
+b AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY distance, term) AS n FROM p) SELECT id, term, distance FROM v JOIN b USING (x) WHERE n = 1""")
+def fuzzy_lookup_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest of a table of terms for every name of a part, and for some misread names."""
+    part = views.read(spark, d, "part")
+    rows = part.select(F.col("p_partkey").cast("long").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("x"))
+    mine = corpus.listed(spark, MISREAD).select((-1 - F.col("id")).cast("long"), "x")
+    terms = part.select(F.explode(F.array("p_name", F.concat_ws(" ", "p_name", F.reverse("p_type")), F.concat(F.col("p_name"), F.lit("s "), F.col("p_type")))).alias("term"))
+    return dictionaries.fuzzy_lookup(rows.union(mine), "x", terms)

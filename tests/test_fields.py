@@ -1,9 +1,11 @@
 """Shapes of values and fields by labels against rows written out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from cedrela.functions import classify, shapes
+from cedrela.functions import classify, dictionaries, shapes
 from cedrela.operators import labels, lines
 
 CONTRACT = "CONTRATO\nEmpleador: Industrias Ejemplo SAS\nNIT: 900.123.456-7\nCorreo: jefe@firma.co\nTrabajador:\nMARTHA CAICEDO RUIZ\nIdentificacion: C.C. 1.098.765.432\nCorreo: marta@correo.co\nFecha de inicio\n01/02/2024\nCARGO\nAuxiliar de aseo\nSALARIOO: $ 1.500.000"
@@ -113,3 +115,35 @@ def test_signs_of_a_cropped_cv(spark):
     got = classify.classified(docs(spark, *texts)).orderBy("doc_id")
     assert [r["category"] for r in got.collect()] == ["hoja_de_vida", "desconocido", "hoja_de_vida", "desconocido", "hoja_de_vida", "desconocido"]
     assert [r[0] for r in got.select(classify.category(F.col("text"))).collect()] == [r["category"] for r in got.collect()]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_fuzzy_lookup_against_all_pairs(spark):
+    chance = random.Random(5)
+    terms = ["".join(chance.choices("abcd", k=chance.randint(1, 26))) for _ in range(60)] + ["abcdefghijklmnopqrstuvwx"]
+
+    def misread(t):
+        t = list(t)
+        for _ in range(chance.randint(0, max(1, len(t) // 5))):
+            at = chance.randrange(len(t) + 1)
+            t[at : at + chance.randint(0, 1)] = chance.choices("abcdX", k=chance.randint(0, 1))
+        return "".join(t)
+
+    texts = [misread(t) for t in terms * 6] + ["aXcXeXghijklmnopqrstuvwX", "", None]
+    want = set()
+    for i, x in enumerate(texts):
+        found = [(distance(x, t), t) for t in terms if distance(x, t) <= 0.18 * max(len(x), len(t))] if x else []
+        if found:
+            d, t = min(found)
+            want.add((i, t, d))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, x string")
+    got = dictionaries.fuzzy_lookup(rows, "x", spark.createDataFrame([(t,) for t in [*terms, None]], "term string"))
+    assert {tuple(r) for r in got.collect()} == want
