@@ -218,7 +218,7 @@ def match_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @C.add(f"WITH {SCORES} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vacancy_id ORDER BY score DESC, candidate_id) AS place FROM score) WHERE place <= 10")
 def match_top10(spark: SparkSession, d: str) -> DataFrame:
-    return matching.top_matches(match_scores(spark, d))
+    return matching.best_matches(candidates(spark, d), requirements(spark))
 
 
 @C.add(f"""{with_views('employees')} SELECT facet, value, count(*) AS n FROM (SELECT 'area' AS facet, area AS value FROM employees UNION ALL SELECT 'city', city FROM employees UNION ALL SELECT 'status', status FROM employees) WHERE length(value) > 1 GROUP BY 1, 2""")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cedrela.functions import classify, dictionaries, shapes
-from cedrela.operators import labels, lines
+from cedrela.operators import labels, lines, matching
 
 CONTRACT = "CONTRATO\nEmpleador: Industrias Ejemplo SAS\nNIT: 900.123.456-7\nCorreo: jefe@firma.co\nTrabajador:\nMARTHA CAICEDO RUIZ\nIdentificacion: C.C. 1.098.765.432\nCorreo: marta@correo.co\nFecha de inicio\n01/02/2024\nCARGO\nAuxiliar de aseo\nSALARIOO: $ 1.500.000"
 
@@ -147,3 +147,16 @@ def test_fuzzy_lookup_against_all_pairs(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, x string")
     got = dictionaries.fuzzy_lookup(rows, "x", spark.createDataFrame([(t,) for t in [*terms, None]], "term string"))
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_best_matches_are_the_best_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK", 2)
+    chance = random.Random(3)
+    words = ["excel", "sql", "bodega", "ventas", "ingles"]
+    people = [(i, " ".join(chance.sample(words, chance.randint(0, 3))), chance.choice([*words, None]), None, "Cali") for i in range(40)]
+    asked = [(v, chance.choice([*words, "nada", " ", "Cali"]), chance.choice([None, 1, 3, 9000]), chance.choice(["habilidad", "experiencia", "otro", "x", None])) for v in range(6) for _ in range(3)]
+    c = spark.createDataFrame(people, "id int, skills string, headline string, education string, city string")
+    r = spark.createDataFrame([*asked, (9, " ", 1, "otro"), (8, "nada", 1, "otro")], "vacancy_id int, skill_or_req string, weight int, req_type string")
+    columns = ["vacancy_id", "place", "candidate_id", "score", "n_matched"]
+    want = {tuple(x) for x in matching.top_matches(matching.match_scores(c, r), 7).select(columns).collect()}
+    assert {tuple(x) for x in matching.best_matches(c, r, 7).select(columns).collect()} == want
