@@ -34,7 +34,16 @@ def amount(x: Column) -> Column:
 
 def labelled_amount(folded: Column, label: str) -> Column:
     """The amount after a label (a pattern), over 0."""
-    found = amount(_found(folded, rf"(?:{label})\s*[:#.-]?\s*{AMOUNT}"))
+    return positive(after_label(folded, label))
+
+
+def after_label(folded: Column, label: str) -> Column:
+    """What stands after a label and may be an amount, as written."""
+    return _found(folded, rf"(?:{label})\s*[:#.-]?\s*{AMOUNT}")
+
+
+def positive(written: Column) -> Column:
+    found = amount(written)
     return F.when(found > 0, found)
 
 

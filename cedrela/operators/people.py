@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, dictionaries, names, numbers, repair
 from ..functions.text import fold, fold_only, strip_bullets
 from . import lines
-from .parsers import EMPLOYER, POSITION, WORKER, _get, labelled_date
+from .parsers import EMPLOYER, POSITION, WORKER, _get, after_date_label, found_first
 
 LANGUAGES = ["espanol", "ingles", "frances", "aleman", "italiano", "portugues", "chino", "japones", "ruso"]
 LEVELS = "basico|intermedio|avanzado|nativo|a1|a2|b1|b2|c1|c2"
@@ -92,28 +92,35 @@ def contract_records(docs: DataFrame, default_notice: int = 30, max_trial: int =
     An end that isn't written follows from start and months; months that aren't written follow from the dates. The type is
     what the text says, a fixed term if it says nothing. No employer is made up.
     """
-    x = fold_only(F.col("text"))
+    x = F.col("folded")
     kind = F.lit("termino_fijo")
     for phrase, name in reversed(CONTRACT_TYPES):
         kind = F.when(F.contains(x, F.lit(phrase)), name).otherwise(kind)
-    start = F.coalesce(labelled_date(x, r"fecha\s+de\s+(?:inicio|ingreso)|inicio"), dates.textual_date(x)).try_cast("date")
-    end = labelled_date(x, r"fecha\s+de\s+(?:terminacion|vencimiento|fin)|vence").try_cast("date")
-    months = dates.term_months(x)
-    trial = F.regexp_extract(x, r"periodo\s+de\s+prueba[^0-9\n]{0,30}([0-9]{1,3})\s*(dia|mes)", 1)
-    unit = F.regexp_extract(x, r"periodo\s+de\s+prueba[^0-9\n]{0,30}([0-9]{1,3})\s*(dia|mes)", 2)
-    days = F.when(trial != "", F.least(trial.try_cast("int") * F.when(unit == "mes", 30).otherwise(1), F.lit(max_trial)))
-    notice = F.regexp_extract(x, r"(?:preaviso|antelacion|anticipacion)[^0-9\n]{0,40}([0-9]{1,3})\s*dia", 1)
-    return docs.select(
+    trial = r"periodo\s+de\s+prueba[^0-9\n]{0,30}([0-9]{1,3})\s*(dia|mes)"
+    month = F.lit(False)
+    for m in dates.MONTH_NUMBER:
+        month = month | F.contains(x, F.lit(m))
+    found = found_first(
+        docs,
+        employer=_get(x, EMPLOYER), worker=_get(x, WORKER), document=numbers.document_in_text(F.regexp_replace(x, numbers.SALARY, " ")), job=_get(x, POSITION), kind=kind, pay=F.regexp_extract(x, numbers.SALARY, 0),
+        begun=after_date_label(x, r"fecha\s+de\s+(?:inicio|ingreso)|inicio"), in_words=F.when(month, F.regexp_extract(x, dates.TEXTUAL, 0)), ended=after_date_label(x, r"fecha\s+de\s+(?:terminacion|vencimiento|fin)|vence"),
+        term=F.regexp_extract(x, dates.TERM, 0), trial=F.regexp_extract(x, trial, 0), notice=F.regexp_extract(x, r"(?:preaviso|antelacion|anticipacion)[^0-9\n]{0,40}([0-9]{1,3})\s*dia", 1),
+    )
+    start = F.coalesce(dates.normal_date(F.col("begun")), dates.textual_date(F.col("in_words"))).try_cast("date")
+    length, unit = (F.regexp_extract("trial", trial, k) for k in (1, 2))
+    days = F.when(length != "", F.least(length.try_cast("int") * F.when(unit == "mes", 30).otherwise(1), F.lit(max_trial)))
+    dated = found.select("*", start.alias("start_date"), dates.normal_date(F.col("ended")).try_cast("date").alias("last_day"), dates.term_months(F.col("term")).alias("n_months"))
+    return dated.select(
         "doc_id",
-        names.title_case(_get(x, EMPLOYER)).alias("employer_name"),
-        names.title_case(_get(x, WORKER)).alias("worker_name"),
-        numbers.document_in_text(F.regexp_replace(x, numbers.SALARY, " ")).alias("worker_document_number"),
-        names.title_case(_get(x, POSITION)).alias("position"),
-        kind.alias("contract_type"),
-        numbers.salary(x).alias("salary"),
-        start.alias("start_date"),
-        F.coalesce(end, F.when(kind != "termino_indefinido", F.add_months(start, months))).alias("end_date"),
-        F.coalesce(months, dates.months_between(start, end)).alias("months"),
+        names.title_case(F.col("employer")).alias("employer_name"),
+        names.title_case(F.col("worker")).alias("worker_name"),
+        F.col("document").alias("worker_document_number"),
+        names.title_case(F.col("job")).alias("position"),
+        F.col("kind").alias("contract_type"),
+        numbers.salary(F.col("pay")).alias("salary"),
+        "start_date",
+        F.coalesce("last_day", F.when(F.col("kind") != "termino_indefinido", F.add_months("start_date", F.col("n_months")))).alias("end_date"),
+        F.coalesce("n_months", dates.months_between(F.col("start_date"), F.col("last_day"))).alias("months"),
         days.alias("trial_days"),
-        F.coalesce(F.nullif(notice, F.lit("")).try_cast("int"), F.lit(default_notice)).alias("notice_days"),
+        F.coalesce(F.nullif("notice", F.lit("")).try_cast("int"), F.lit(default_notice)).alias("notice_days"),
     )
