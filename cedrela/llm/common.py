@@ -128,6 +128,25 @@ def chunks(batches: Iterable[pa.RecordBatch], name: str, limit: int) -> Iterator
             yield batch.slice(at, end - at)
 
 
+#: Bytes of a text that runs() splits at once.
+RUNS = 1 << 20
+
+
+def kept_bytes(kept: bytes) -> bytes:
+    """A table for runs(): A-Z as a-z, `kept` and all bytes of characters beyond ASCII as they are, others as spaces."""
+    return bytes(c + 32 if 65 <= c <= 90 else c if c in kept or c >= 128 else 32 for c in range(256))
+
+
+def runs(text: bytes, table: bytes) -> Iterator[list[bytes]]:
+    """The runs of bytes that `table` keeps, in order, in lists of about RUNS bytes of the text each."""
+    text, at = text.translate(table), 0
+    while at < len(text):
+        end = text.find(b" ", at + RUNS)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
+
+
 MULTIPLY_A, MULTIPLY_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 WIDTH_A, WIDTH_B = np.uint64(29), np.uint64(32)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, line_dedup, ngram_join, packing, perplexity, pii, quality, suffix_dedup, url_filters
+from . import ann, bpe, divergence, line_dedup, ngram_join, packing, perplexity, pii, quality, suffix_dedup, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_url_filters": url_filters.op9_url_filters,
         "op10_bpe": bpe.op10_bpe,
+        "op11_source_divergence": divergence.op11_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.OP5_SQL, "op9_url_filters": url_filters.OP9_SQL}
+    return {"op5_line_dedup": line_dedup.OP5_SQL, "op9_url_filters": url_filters.OP9_SQL, "op11_source_divergence": divergence.OP11_SQL}

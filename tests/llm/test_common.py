@@ -30,3 +30,12 @@ def test_bytes_of_a_slice(kind):
     assert [data[a:b].tobytes().decode() for a, b in zip(starts, starts[1:])] == ["", "", "é", "xyz"]
     assert [b.num_rows for b in common.chunks([batch, batch.slice(0, 0)], "text", 2)] == [3, 1]
     assert np.array_equal(common.utf8(batch.slice(0, 0))[1], [0])
+
+
+@pytest.mark.parametrize("size", [1, 3, 1 << 20])
+def test_runs_do_not_depend_on_slices(size, monkeypatch):
+    monkeypatch.setattr(common, "RUNS", size)
+    table = common.kept_bytes(b"abcdefghijklmnopqrstuvwxyz")
+    for text in ["", " ", "Ab9cÉé\n\x0b~ü", "x" * 50 + " Y", "\x00a\x7fb@C[`"]:
+        want = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        assert [w.decode() for words in common.runs(text.encode(), table) for w in words] == want
