@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontaminate, divergence, line_dedup, ngram_join, packing, perplexity, pii, quality, suffix_dedup, url_filters
+from . import ann, bpe, centroids, decontaminate, divergence, line_dedup, ngram_join, packing, perplexity, pii, quality, suffix_dedup, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filters": url_filters.op9_url_filters,
         "op10_bpe": bpe.op10_bpe,
         "op11_source_divergence": divergence.op11_source_divergence,
+        "op12_centroid_clusters": centroids.op12_centroid_clusters,
         "op13_decontamination": decontaminate.op13_decontamination,
     }
 
@@ -31,5 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": line_dedup.OP5_SQL,
         "op9_url_filters": url_filters.OP9_SQL,
         "op11_source_divergence": divergence.OP11_SQL,
+        "op12_centroid_clusters": centroids.OP12_SQL,
         "op13_decontamination": decontaminate.OP13_SQL,
     }
