@@ -80,6 +80,11 @@ def entity_of(kind: str, text: str) -> str:
     return f"{kind}:{text.lower() if kind in ('email', 'ip') else ''.join(c for c in text if c.isdigit())}"
 
 
+def terms_of(text: str) -> set[str]:
+    """The terms of a text, each in lower case by itself: in a text as a whole, a letter may become two."""
+    return {*TERM.findall(text.lower())} if text.isascii() else {w.lower() for w in {*TERM.findall(text)}}
+
+
 def beside(text: str, spans: list[tuple[int, int, str]]) -> set[tuple[str, str]]:
     """(term, entity) of the REACH terms before and after an entity, however far; words that are part of it don't count."""
     terms = list(TERM.finditer(text))
@@ -118,7 +123,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
 
         for batch in chunks(batches, "text", 1 << 20):
             for text in texts(batch):
-                documents.update({*TERM.findall(text.lower())})
+                documents.update(terms_of(text))
                 documents[""] += 1
                 if spans := base_spans(text):
                     held.update(beside(text, spans))
@@ -142,8 +147,7 @@ def spans_of(text: str, shares: dict[str, float]) -> str:
     """Base spans and those of flagged terms, as kind:start:end by commas."""
     taken = base_spans(text)
     new, k = [], 0
-    low = text.lower() if shares else ""
-    if not shares or (len(low) == len(text) and shares.keys().isdisjoint(TERM.findall(low))):
+    if not shares or shares.keys().isdisjoint(terms_of(text)):
         return ",".join(f"{kind}:{start}:{end}" for start, end, kind in taken)
     for m in TERM.finditer(text):
         if (share := shares.get(m.group().lower())) is None:
@@ -177,7 +181,7 @@ def shares_by_row(rows: DataFrame, text: str, flagged: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text, 1 << 20):
             for row, x in zip(batch.column("row").to_pylist(), texts(batch, text)):
-                own = pa.array({*TERM.findall(x.lower())} | {w.lower() for w in TERM.findall(x)}, pa.string())
+                own = pa.array(terms_of(x), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([row] * len(own), pa.int64()), own], ["row", "term"])
 
     own = rows.select("row", text).mapInArrow(run, "row long, term string")

@@ -233,6 +233,20 @@ def test_pii_terms(spark, nothing):
     assert pii.find(nothing).count() == 0
 
 
+def test_pii_terms_whose_lower_case_is_longer(spark):
+    """A dotted capital I is two code points in lower case; the term is the same wherever it stands, and whichever way terms are held."""
+    rows = [(i, f"İlbankası ann{0}@site.example.org {i} ΣΑΣ'Α") for i in range(4)] + [(10 + i, "nothing of the kind here") for i in range(20)] + [(40, "ask İlbankası alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    limit = pii.TERM_PART
+    try:
+        for pii.TERM_PART in (limit, 0):
+            got = {r["doc_id"]: r for r in pii.find(df).collect()}
+            assert got[40]["_spans"] == "general:4:13" and got[40]["_sanitised"] == "ask [term] alone"
+            assert got[0]["_spans"].startswith("general:0:9,email:10:") and got[10]["_spans"] == ""
+    finally:
+        pii.TERM_PART = limit
+
+
 def test_line_dedup(spark, frame, nothing, docs):
     lines = [(i, f"shared\n own {i}\n\nshared\n{'long' if i < 8 else 'short'}", None, f"s{i % 9}" if i else None, 1, "r", 1) for i in range(40)]
     lines += [(99, None, None, None, None, None, None), (100, "", None, "s1", 0, None, None)]
