@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import components, pick, table
 
@@ -14,11 +17,22 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed rules of the query: host and path in one string, verdict.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
-CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-BASE = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+LINK, META, BASE = (rf"(?is)<{tag}\b[^>]*>" for tag in ("link", "meta", "base"))
+TARGET = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)"""
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute as it is written, without what quotes it; empty if it isn't there."""
+    found = lambda value: F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*{value}""", 1)
+    one, two, bare = found('"([^"]*)"'), found("'([^']*)'"), found(r"""([^"'\s>]+)""")
+    return F.trim(F.when(one != "", one).when(two != "", two).otherwise(bare))
+
+
+@F.pandas_udf(StringType())
+def unescaped(values: pd.Series) -> pd.Series:
+    """Character references decoded, as in attributes of HTML."""
+    return values.map(html.unescape, na_action="ignore")
 
 
 def host_of(url: Column) -> Column:
@@ -46,6 +60,14 @@ def key_of(url: Column) -> Column:
     return F.regexp_replace(url, r"(?s)#.*$", "")
 
 
+def node_of(url: Column) -> Column:
+    """What makes urls the same page: scheme and host in any case, no default port, no fragment, an empty path like `/`."""
+    site = F.translate(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), UPPER, LOWER)
+    site = F.regexp_replace(site, r"^(?:(http://.*):80|(https://.*):443)$", "$1$2")
+    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
+    return F.when(url.contains("://"), F.concat(site, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))).otherwise(key_of(url))
+
+
 def without_dots(path: Column) -> Column:
     """A path that begins with `/`, its segments `.` and `..` worked off."""
     parts = F.split(path, "/")
@@ -73,19 +95,28 @@ def resolved(base: Column, target: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Edges a, b from each page's canonical links and refresh redirects, resolved against its url or its `<base>`."""
+    """Edges a, b from each page's canonical links and refresh redirects, resolved against its url or its first `<base>`.
+
+    Comments aren't read. A link is canonical if that is one of its `rel` words, in any case; character references in
+    attributes are decoded; every link and redirect of a page counts.
+    """
     at = pick(pages, "url", "html").where("url LIKE '%://%' AND html IS NOT NULL AND (html ILIKE '%canonical%' OR html ILIKE '%refresh%')")
-    every = lambda tag, attribute: F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, attribute, 1))
-    base = F.coalesce(resolved(F.col("url"), F.regexp_extract("html", BASE, 1)), F.col("url"))
-    to = at.select("url", base.alias("base"), F.explode(F.concat(every(CANONICAL, HREF), every(REFRESH, TARGET))).alias("target"))
-    return to.select(key_of(F.col("url")).alias("a"), key_of(resolved(F.col("base"), F.col("target"))).alias("b")).where("b IS NOT NULL")
+    at = at.withColumn("html", F.regexp_replace("html", COMMENT, ""))
+    tags = lambda tag: F.regexp_extract_all("html", F.lit(tag), F.lit(0))
+    links = F.filter(tags(LINK), lambda x: F.array_contains(F.split(F.lower(attribute(x, "rel")), r"\s+"), "canonical"))
+    turns = F.filter(tags(META), lambda x: F.lower(attribute(x, "http-equiv")) == "refresh")
+    targets = F.concat(F.transform(links, lambda x: attribute(x, "href")), F.transform(turns, lambda x: F.regexp_extract(x, TARGET, 1)))
+    to = at.select("url", attribute(F.coalesce(F.try_element_at(tags(BASE), F.lit(1)), F.lit("")), "href").alias("base"), F.explode(targets).alias("target"))
+    to = to.withColumns({"base": unescaped("base"), "target": unescaped("target")})
+    base = F.coalesce(resolved(F.col("url"), F.col("base")), F.col("url"))
+    return to.select(key_of(F.col("url")).alias("a"), key_of(resolved(base, F.col("target"))).alias("b")).where("b IS NOT NULL")
 
 
 def filter_urls(pages: DataFrame, links: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """page_id, host, path, rule, verdict of every page.
 
-    links (a, b: urls without fragment): redirect and canonical edges. Distributed connected components over them give the
-    aliases of a url. A page with a rule of its own has that rule's verdict. Another page is allowed if an alias has an
+    links (a, b: urls): redirect and canonical edges. Distributed connected components over them give the aliases of a url,
+    urls being the same page as node_of() says. A page with a rule of its own has that rule's verdict. Another page is allowed if an alias has an
     explicit allow, else blocked if an alias has a block, else allowed. Aliases count whether or not they are pages.
 
     Cases: a null url, or one without `://`, has empty host and path, no rule and no alias, and is allowed. Repeated rows
@@ -94,7 +125,7 @@ def filter_urls(pages: DataFrame, links: DataFrame, rules: Sequence[tuple[str, s
     """
     own = pick(pages, "page_id", "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     own = own.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
-    found = components(links)
+    found = components(links.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")))
     judged = found.withColumn("own", rule_of(host_of(F.col("node")), path_of(F.col("node")), rules))
     decided = (
         judged.groupBy("component")
@@ -103,7 +134,7 @@ def filter_urls(pages: DataFrame, links: DataFrame, rules: Sequence[tuple[str, s
     )
     blocked = found.join(decided, "component").select(F.col("node").alias("key"), F.lit(True).alias("alias_blocked"))
     spread = F.concat(F.lit("#"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))  # no node has a `#`: urls without a key meet nowhere
-    out = own.withColumn("key", F.coalesce(key_of(F.col("url")), spread)).join(blocked, "key", "left")
+    out = own.withColumn("key", F.coalesce(node_of(F.col("url")), spread)).join(blocked, "key", "left")
     verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("alias_blocked"), "block"), F.lit("allow"))
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"))
 
@@ -113,18 +144,35 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, page_links(pages), RULES)
 
 
+#: Of targets that aren't absolute, only those from the host's root and without dots; of references, the five named ones.
 OP9_SQL = r"""
 WITH RECURSIVE own AS (
-  SELECT page_id, url, html,
+  SELECT page_id, url, regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g') AS html,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages
+), tag AS (
+  SELECT url, 'rel' AS kind, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) AS tag FROM own WHERE url LIKE '%://%'
+  UNION ALL SELECT url, 'http-equiv', unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*>')) FROM own WHERE url LIKE '%://%'
+), said AS (
+  SELECT url, tag, kind, lower(trim(CASE kind
+    WHEN 'rel' THEN regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*("[^"]*"|''[^'']*''|[^"''\s>]+)', 1)
+    ELSE regexp_extract(tag, '(?is)[\s"''/]http-equiv\s*=\s*("[^"]*"|''[^'']*''|[^"''\s>]+)', 1) END, '"'' ')) AS value FROM tag
 ), target AS (
-  SELECT url, unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-                      regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS b
-  FROM pages WHERE url LIKE '%://%'
-), link AS (
-  SELECT regexp_replace(url, '(?s)#.*$', '') AS a, regexp_replace(b, '(?s)#.*$', '') AS b FROM target WHERE b LIKE '%://%'
+  SELECT url, replace(replace(replace(replace(replace(CASE kind
+      WHEN 'rel' THEN trim(regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*("[^"]*"|''[^'']*''|[^"''\s>]+)', 1), '"'' ')
+      ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1) END,
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS b
+  FROM said WHERE kind = 'rel' AND list_contains(regexp_split_to_array(value, '\s+'), 'canonical') OR kind = 'http-equiv' AND value = 'refresh'
+), end_of AS (
+  SELECT url AS a, CASE WHEN b LIKE '%://%' THEN b WHEN b LIKE '//%' THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || b
+    WHEN b LIKE '/%' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || b END AS b FROM target
+), spelled AS (
+  SELECT url, regexp_replace(translate(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^(?:(http://.*):80|(https://.*):443)$', '\1\2') AS site,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS rest
+  FROM (SELECT a AS url FROM end_of UNION SELECT b FROM end_of UNION SELECT url FROM own) WHERE url LIKE '%://%'
+), same AS (SELECT url, site || CASE WHEN rest LIKE '/%' THEN rest ELSE '/' || rest END AS node FROM spelled
+), link AS (SELECT x.node AS a, y.node AS b FROM end_of e JOIN same x ON x.url = e.a JOIN same y ON y.url = e.b
 ), edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link
 ), reach AS (SELECT a AS node, b AS other FROM edge UNION SELECT r.node, e.b FROM reach r JOIN edge e ON r.other = e.a
 ), url_of AS (SELECT DISTINCT other AS url FROM reach
@@ -146,5 +194,5 @@ WITH RECURSIVE own AS (
 )
 SELECT d.page_id, d.host, d.path, d.rule,
   CASE WHEN r.rverdict IS NOT NULL THEN r.rverdict WHEN a.blocked AND NOT a.allowed THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled d LEFT JOIN rule r ON r.rule = d.rule LEFT JOIN alias a ON a.node = regexp_replace(d.url, '(?s)#.*$', '')
+FROM ruled d LEFT JOIN rule r ON r.rule = d.rule LEFT JOIN same ON same.url = d.url LEFT JOIN alias a ON a.node = same.node
 """

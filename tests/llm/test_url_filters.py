@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,42 @@ def test_targets_that_are_relative_or_not_the_first(spark):
     assert [k for k in sorted(got) if got[k] == "block"] == [0, 1, 2, 4]
 
 
+HUBS = [
+    (1, "http://a.org/1", '<link rel="canonical" href="http://HUB.org/p">'), (2, "HTTP://hub.org/p", '<link rel=canonical href="http://bad.net/p">'),
+    (3, "http://a.org/3", '<link rel="canonical" href="http://hub2.org/p?a=1&amp;b=2">'), (4, "http://hub2.org/p?a=1&b=2", '<LINK REL="alternate Canonical" HREF=" http://bad.net/q ">'),
+    (5, "http://a.org/5", '<!-- <link rel="canonical" href="http://bad.net/r"> -->'), (6, "http://a.org/6", '<!-- open <link rel="canonical" href="http://bad.net/r">'),
+    (7, "http://a.org/7", '<link rel="alternate" href="http://bad.net/s"><link rel="uncanonical" href="http://bad.net/s"><meta name="canonical">'),
+    (8, "https://a.org:443", '<link data-href="http://ok.org/" rel="canonical" href="//bad.net/t">'), (9, "https://A.org/", None),
+    (10, "http://a.org/10", "<meta content='3;URL=http://bad.net/u' http-equiv='Refresh'>"), (11, "http://www.Example.com/", '<link rel="canonical" href="/de/x">'),
+]
+
+
+def test_hosts_references_comments_and_words(spark):
+    df = spark.createDataFrame(HUBS, "page_id long, url string, html string")
+    got = url_filters.filter_urls(df, url_filters.page_links(df), url_filters.RULES)
+    assert sorted(r["page_id"] for r in got.where("verdict = 'block'").collect()) == [1, 2, 3, 4, 8, 9, 10, 11]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", HUBS)
+    want = con.sql(url_filters.OP9_SQL)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_numeric_references(spark):
+    df = spark.createDataFrame([(1, "http://a.org/", '<link rel="canonical" href="http:&#x2F;&#47;bad.net/">')], "page_id long, url string, html string")
+    assert url_filters.filter_urls(df, url_filters.page_links(df), url_filters.RULES).first()["verdict"] == "block"
+
+
+def test_query_and_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    df = url_filters.op9_url_filters(spark, sf)
+    want = con.sql(url_filters.OP9_SQL)
+    assert sorted(df.columns) == sorted(want.columns)
+    assert sorted(map(repr, map(tuple, df.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def test_rows(pages):
     assert url_filters.filter_urls(pages, url_filters.page_links(pages), url_filters.RULES).count() == 15
     none = pages.where("page_id < 0")
