@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import work_dir
 from ..sources import sinks
-from ..streaming import replay
+from ..streaming import employment, ordered, queue, replay
 from .. import views
 from . import Catalogue
 
@@ -70,3 +70,94 @@ def upsert_by_key(spark: SparkSession, d: str) -> DataFrame:
 @C.add("SELECT CAST(r_regionkey AS VARCHAR) AS record_id, 'create' AS action, 'regions' AS table_name, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS payload FROM region")
 def change_log_rows(spark: SparkSession, d: str) -> DataFrame:
     return sinks.change_log(views.read(spark, d, "region"), "create", "regions", "r_regionkey").select("record_id", "action", "table_name", "payload")
+
+
+#: Documents as items of a queue: taken in second by second, taken up at once unless they are long, ended by their label.
+LONG_TEXT, TIMEOUT = 8000, 300
+QUEUE = f"""item AS (
+  SELECT d.doc_id, d.source, d.lang, coalesce(n_chars, 0) AS n, l.quality, TIMESTAMP '2024-01-01' + to_seconds(d.doc_id) AS taken FROM documents d LEFT JOIN labels l USING (doc_id)
+), started AS (SELECT *, taken + INTERVAL 30 SECOND AS up, CASE WHEN quality IS NOT NULL AND n * 100 <= {TIMEOUT * 1000} THEN n * 100 END AS took FROM item WHERE n <= {LONG_TEXT})"""
+
+
+def queue_events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Events of the queue's items, and the items that an earlier session left pending: those in German."""
+    labels = views.read(spark, d, "labels").select("doc_id", "quality")
+    second = lambda x: F.make_dt_interval(secs=x)
+    item = views.read(spark, d, "documents").join(labels, "doc_id", "left").select(
+        "doc_id", "source", "lang", F.coalesce("n_chars", F.lit(0)).alias("n"), "quality",
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("doc_id"))).alias("taken"),
+    )
+    event = lambda rows, ts, kind, detail=F.lit(None): rows.select(F.col("doc_id").alias("item"), ts.alias("ts"), (F.col("doc_id") * 3 + {"intake": 0, "start": 1}.get(kind, 2)).alias("id"), F.lit(kind).alias("event"), detail.cast("string").alias("detail"))
+    up = F.col("taken") + second(F.lit(30))
+    end = up + second(F.col("n") / 10)
+    short = item.where(F.col("n") <= LONG_TEXT)
+    parts = [
+        event(item.where("lang != 'de'"), F.col("taken"), "intake"), event(short, up, "start"),
+        event(short.where("quality = 1"), end, "finish", F.col("source")), event(short.where("quality = 0"), end, "fail", F.lit("calidad")),
+    ]
+    events = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    left = item.where("lang = 'de'").select(F.col("doc_id").alias("item"), F.lit(queue.PENDING).alias("status"), F.unix_micros("taken").alias("since"))
+    return events, left
+
+
+def heartbeat(events: DataFrame, key: str, ts: str = "2200-01-01") -> DataFrame:
+    """A row that belongs to no key and only moves the watermark: all that waits is folded."""
+    at = {key: F.lit(None), "ts": F.lit(ts).cast("timestamp"), "id": F.lit(0)}
+    return events.sparkSession.range(1).select(*[at.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in events.dtypes])
+
+
+def streamed(events: DataFrame, key: str, fold: ordered.Fold, out: str, batches: int, initial: DataFrame | None = None) -> DataFrame:
+    """The rows of a fold over events that come in several files, in no order, and a last one with the heartbeat."""
+    spark = events.sparkSession
+    queue.folder(events, f"{out}/in", "id", batches)
+    heartbeat(events, key).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    stream = queue.watched(spark, f"{out}/in", events.schema)
+    rows = ordered.in_order(stream, key, fold, "30000 days", initial)
+    ordered.to_files(rows, f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
+@C.add(
+    f"""WITH {QUEUE}
+SELECT doc_id AS item, 'pending' AS status, taken AS at, NULL AS detail FROM item WHERE lang != 'de'
+UNION ALL SELECT doc_id, 'processing', up, NULL FROM started
+UNION ALL SELECT doc_id, CASE WHEN took IS NULL OR quality = 0 THEN 'error' ELSE 'done' END, CASE WHEN took IS NULL THEN up + INTERVAL {TIMEOUT} SECOND ELSE up + to_milliseconds(took) END,
+  CASE WHEN took IS NULL THEN 'timeout' WHEN quality = 0 THEN 'calidad' ELSE source END FROM started"""
+)
+def batch_queue_states(spark: SparkSession, d: str) -> DataFrame:
+    events, left = queue_events(spark, d)
+    rows = streamed(events, "item", queue.queue(TIMEOUT), work_dir(spark, "queue"), 4, left)
+    return rows.select("item", "status", F.timestamp_micros("at").cast("timestamp_ntz").alias("at"), "detail")
+
+
+STAFF = """staff AS (
+  SELECT user_id AS k, event_id AS id, ts, CASE WHEN event_type IN ('signup', 'purchase') THEN 'alta' WHEN event_type = 'click' THEN 'termina' WHEN CAST(json_extract(props, '$.k') AS INT) < 50 THEN 'cancela' ELSE 'retiro' END AS event
+  FROM events WHERE event_type != 'view'
+), seen AS (
+  SELECT *, lag(event) OVER w AS before FROM staff WHERE event != 'termina' WINDOW w AS (PARTITION BY k ORDER BY ts, id)
+), moved AS (
+  SELECT *, event = 'alta' AND coalesce(before, '') != 'alta' AS starts, event != 'alta' AND before = 'alta' AS leaves FROM seen
+), told AS (
+  SELECT s.k, s.id, s.ts, s.event, coalesce(m.starts, false) AS starts, coalesce(m.leaves, false) AS leaves FROM staff s LEFT JOIN moved m ON m.k = s.k AND m.id = s.id
+), numbered AS (
+  SELECT *, count(*) FILTER (WHERE starts) OVER w AS spell, min(CASE WHEN starts THEN ts END) OVER (PARTITION BY k) AS first FROM told WINDOW w AS (PARTITION BY k ORDER BY ts, id ROWS UNBOUNDED PRECEDING)
+), closing AS (
+  SELECT *, max(CASE WHEN starts THEN id END) OVER (PARTITION BY k, spell) AS contract, row_number() OVER (PARTITION BY k, spell, event IN ('cancela', 'termina') ORDER BY ts, id) AS nth FROM numbered
+)"""
+
+
+@C.add(
+    f"""WITH {STAFF}
+SELECT k AS employee_id, 'employees' AS table_name, NULL AS record_id, 'activo' AS status, CASE WHEN spell = 1 THEN 'contratado' ELSE 'reingreso' END AS reason, first AS since, NULL AS ended, ts AS stamp FROM closing WHERE starts
+UNION ALL SELECT k, 'contracts', id, 'vigente', NULL, ts, NULL, ts FROM closing WHERE starts
+UNION ALL SELECT k, 'employees', NULL, 'inactivo', CASE WHEN event = 'cancela' THEN 'despido_justificado' ELSE 'retiro' END, first, ts, ts FROM closing WHERE leaves
+UNION ALL SELECT k, 'contracts', contract, 'terminado', event, NULL, ts, ts FROM closing WHERE event IN ('cancela', 'termina') AND spell > 0 AND nth = 1
+UNION ALL SELECT k, 'memoranda', id, 'archivado', NULL, NULL, NULL, ts FROM closing WHERE event = 'cancela'"""
+)
+def employment_cascade(spark: SparkSession, d: str) -> DataFrame:
+    events = views.read(spark, d, "events").where("event_type != 'view'")
+    hired = F.col("event_type").isin("signup", "purchase")
+    kind = F.when(hired, employment.HIRE).when(F.col("event_type") == "click", employment.END).when(views.event_key() < 50, employment.CANCEL).otherwise(employment.EXIT)
+    events = events.select(F.col("user_id").alias("employee_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), kind.alias("event"))
+    rows = streamed(events, "employee_id", employment.employment(), work_dir(spark, "employment"), 5)
+    return rows.withColumns({c: F.timestamp_micros(c).cast("timestamp_ntz") for c in ("since", "ended", "stamp")})
