@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from .common import chunks, joined, mix, pick, small_batches, table, texts, word_hashes
+from .common import chunks, joined, mix, pick, small_batches, stage, table, texts, utf8, word_hashes
 
-#: The classifier is fitted on at most so many labelled documents, and exchanges pseudo-labels over at most so many others.
-MAX_LABELLED, MAX_POOL = 8000, 8000
+#: The classifier is fitted on at most so many labelled documents; it exchanges pseudo-labels over all others.
+MAX_LABELLED = 8000
+#: Numbers of labelled documents that are broadcast (8 bytes each); more are joined.
+MAX_KNOWN = 2_000_000
 #: Rounds of co-training, documents that a view hands to the other in each, and how sure it must be of them.
 ROUNDS, EXCHANGED, SURE = 4, 200, 0.95
 #: Documents below this probability of being good are rejected.
@@ -130,34 +133,118 @@ class CoTrained:
         return sigmoid(a), sigmoid(b), sigmoid(a + b - self.prior)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> CoTrained:
-    """Co-training on labelled rows (y 0 or 1) and a pool without labels.
+#: By view (0, 1) and label: the documents of which the view is surest, with the other view's features, surest first.
+Surest = dict[tuple[int, int], list[tuple[int, np.ndarray]]]
+
+
+def co_trained(text: np.ndarray, meta: np.ndarray, y: np.ndarray, surest: Callable[[list[View]], Surest]) -> CoTrained:
+    """Co-training on labelled rows (y 0 or 1) and documents without labels, which surest() looks through.
 
     A fifth of the labelled rows is set aside for calibration. In every round, each view is fitted on its rows and hands
-    the documents of the pool of which it is surest, with its label, to the other view.
+    the documents of which it is surest, with its label, to the other view.
     """
     held = np.arange(len(y)) % 5 == 4
-    views = [(text, pool_text), (meta, pool_meta)]
-    taken: list[dict[int, int]] = [{}, {}]
+    views = [text, meta]
+    taken: list[dict[int, tuple[int, np.ndarray]]] = [{}, {}]
     fitted: list[View] = []
     for _ in range(ROUNDS):
         fitted = []
-        for (x, pool), more in zip(views, taken):
-            rows, labels = np.array(list(more), int), np.array(list(more.values()), float)
-            fitted.append(fit_view(np.vstack([x[~held], pool[rows]]), np.append(y[~held], labels)))
-        for i in (0, 1):
-            p = sigmoid(fitted[i].logit(views[i][1])) if len(pool_text) else np.zeros(0)
-            for label, sure in ((1, p), (0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[:EXCHANGED]
-                for row in best[sure[best] >= SURE]:
-                    taken[1 - i].setdefault(int(row), label)
+        for x, more in zip(views, taken):
+            labels = np.array([label for label, _ in more.values()], float)
+            fitted.append(fit_view(np.vstack([x[~held], *[row[None] for _, row in more.values()]]), np.append(y[~held], labels)))
+        found = surest(fitted)
+        for (i, label), best in sorted(found.items(), key=lambda x: (x[0][0], -x[0][1])):
+            for key, row in best:
+                taken[1 - i].setdefault(key, (label, row))
     base = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
-    for view, (x, _) in zip(fitted, views):
+    for view, x in zip(fitted, views):
         z = view.logit(x[held])
         view.slope, view.shift = newton(z[:, None], y[held], 1.0)
     return CoTrained(fitted[0], fitted[1], float(base))
 
 
+def best_of(keys: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Places of the EXCHANGED surest distinct keys, surest first, ties by key; only those that are sure enough."""
+    at = np.flatnonzero(sure >= SURE)
+    at = at[np.lexsort((keys[at], -sure[at]))]
+    return at[np.sort(np.unique(keys[at], return_index=True)[1])][:EXCHANGED]
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> CoTrained:
+    """co_trained() with the documents without labels as arrays."""
+    pool, keys = (pool_text, pool_meta), np.arange(len(pool_text))
+
+    def surest(fitted: list[View]) -> Surest:
+        p = [sigmoid(v.logit(x)) if len(x) else np.zeros(0) for v, x in zip(fitted, pool)]
+        return {(i, label): [(int(k), pool[1 - i][k]) for k in best_of(keys, p[i] if label else 1 - p[i])] for i in (0, 1) for label in (0, 1)}
+
+    return co_trained(text, meta, y, surest)
+
+
+def unlabelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """key, doc_id, t, m (features as bytes of 32-bit floats) of the documents that have no label.
+
+    The numbers of the labelled ones are broadcast if they are few, so that no text is shuffled to leave them out; else
+    they are taken off by a join on what is much smaller than the texts.
+    """
+    few = known.count() <= MAX_KNOWN
+    held = docs.sparkSession.sparkContext.broadcast(np.sort(known.select("doc_id").toArrow()["doc_id"].to_numpy()) if few else np.zeros(0, np.int64))
+    key = F.xxhash64("doc_id", "text", "lang", "source", "n_chars").alias("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", 1 << 18):
+            ids = batch.column("doc_id")
+            batch = batch.filter(pa.array(~np.isin(ids.fill_null(0).to_numpy(), held.value) | ids.is_null().to_numpy(zero_copy_only=False)))
+            if batch.num_rows:
+                a = text_view(texts(batch)).astype("<f4")
+                b = meta_view(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars"))).astype("<f4")
+                rows = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (a, b)]
+                yield pa.record_batch([batch.column("key"), batch.column("doc_id"), *rows], ["key", "doc_id", "t", "m"])
+
+    pool = docs.select(key, "doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, "key long, doc_id long, t binary, m binary")
+    return pool if few else pool.join(known.select("doc_id"), "doc_id", "left_anti")
+
+
+def surest_of(pool: DataFrame, fitted: list[View]) -> Surest:
+    """The EXCHANGED documents of each label of which each view is surest, out of all. Tasks give their own best, which are
+    ranked in parts by key and then as a whole; what reaches the driver are 4 * EXCHANGED rows."""
+    held = pool.sparkSession.sparkContext.broadcast(fitted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("key").to_numpy()
+            x = [utf8(batch, c)[0].view("<f4").reshape(len(keys), -1) for c in ("t", "m")]
+            for i in (0, 1):
+                p = sigmoid(held.value[i].logit(x[i]))
+                for label, sure in ((1, p), (0, 1 - p)):
+                    at = best_of(keys, sure)
+                    new = keys[at], sure[at], x[1 - i][at]
+                    if (i, label) in best:
+                        new = tuple(np.concatenate(pair) for pair in zip(best[i, label], new))
+                        at = best_of(new[0], new[1])
+                        new = tuple(values[at] for values in new)
+                    best[i, label] = new
+        for (i, label), (keys, sure, rows) in best.items():
+            n = len(keys)
+            yield pa.record_batch(
+                [pa.array([i] * n, pa.int32()), pa.array([label] * n, pa.int32()), pa.array(keys, pa.int64()), pa.array(sure, pa.float64()), pa.array([r.tobytes() for r in rows], pa.binary())],
+                ["view", "label", "key", "sure", "other"],
+            )
+
+    out = pool.mapInArrow(run, "view int, label int, key long, sure double, other binary").withColumn("part", F.pmod("key", F.lit(64)))
+    for by in (("view", "label", "part"), ("view", "label")):
+        out = out.dropDuplicates(["view", "label", "key"]) if "part" in by else out
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("sure"), "key"))
+        out = out.withColumn("nth", nth).where(F.col("nth") <= EXCHANGED).drop("nth")
+    found: Surest = {}
+    for r in sorted(out.collect(), key=lambda r: (-r["sure"], r["key"])):
+        found.setdefault((r["view"], r["label"]), []).append((r["key"], np.frombuffer(r["other"], "<f4")))
+    return found
+
+
 def features(docs: DataFrame, label: str) -> DataFrame:
     """Both views' features of few documents, as lists, with a label."""
 
@@ -174,16 +261,17 @@ def features(docs: DataFrame, label: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     """The classifier for documents (doc_id, text, lang, source, n_chars) and labels (doc_id, quality).
 
-    At most MAX_LABELLED labelled and MAX_POOL other documents are taken, those with the smallest hash of their doc_id; the
-    driver holds their features only. None if there are fewer than ten labelled documents, or of one class.
+    At most MAX_LABELLED labelled documents are taken, those with the smallest hash of their doc_id; the driver holds their
+    features only. The exchange of pseudo-labels looks through all documents without a label in every round; their features
+    are staged. Rows equal in all columns count once there. None if there are fewer than ten labelled documents, or of one
+    class.
     """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     place = F.xxhash64("doc_id", F.lit(17))
     ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
     # The sample is chosen by id first; texts are read for the chosen alone.
     chosen = ids.join(known, "doc_id").orderBy(place, "doc_id").limit(MAX_LABELLED)
-    others = ids.join(known, "doc_id", "left_anti").orderBy(place, "doc_id").limit(MAX_POOL).withColumn("quality", F.lit(-1))
-    few = docs.join(F.broadcast(chosen.union(others)), "doc_id").dropDuplicates(["doc_id"])
+    few = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     got = features(few, "quality").toArrow().sort_by("doc_id")
     if not got.num_rows:
         return None
@@ -191,10 +279,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     matrix = lambda name: np.asarray(got[name].combine_chunks().flatten()).reshape(len(y), -1)
     t, m = matrix("t"), matrix("m")
     del got
-    a, b = y >= 0, y < 0
-    if a.sum() < 10 or len(set(y[a])) < 2:
+    if len(y) < 10 or len(set(y)) < 2:
         return None
-    return co_train(t[a], m[a], y[a].astype(float), t[b], m[b])
+    pool = stage(unlabelled(docs, known))
+    return co_trained(t, m, y.astype(float), lambda fitted: surest_of(pool, fitted))
 
 
 SCORES = ("_p_text", "_p_meta", "_p", "_kept")

@@ -135,3 +135,33 @@ def test_names_that_clash(spark):
     clean = pii.clean_documents(docs)
     assert clean.columns == docs.columns and clean.where("_spans = 'z' AND TERMS = 'z'").count() == 60
     assert pii.find(docs).columns == [c for c in docs.columns if c not in pii.FOUND] + list(pii.FOUND)
+
+
+def test_pseudo_labels_come_from_all_documents_without_a_label(spark, monkeypatch):
+    """Each view's surest, over every document, against sorting them all; copies count once, labelled ones don't."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.union(docs.limit(40)).union(spark.createDataFrame([(None, "free text", None, None, None), (None, None, "en", "s", 3)], docs.schema)).repartition(7)
+    known = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    rng = np.random.default_rng(8)
+    width = quality.text_view(["a b"]).shape[1], quality.meta_view(["a"], ["b"], [1]).shape[1]
+    fitted = [quality.View(np.zeros(n), np.ones(n), rng.normal(size=n + 1) * 3) for n in width]
+    labelled = {r["doc_id"] for r in known.collect()}
+    keyed = docs.withColumn("key", F.xxhash64(*docs.columns)).collect()
+    rows = {tuple(r)[:-1]: r["key"] for r in keyed if r["doc_id"] not in labelled}
+    place = {key: i for i, key in enumerate(rows.values())}
+    x = [quality.text_view([r[1] or "" for r in rows]).astype("<f4"), quality.meta_view(*([r[i] for r in rows] for i in (2, 3, 4))).astype("<f4")]
+    longest = 0
+    for limit in (quality.MAX_KNOWN, 0):
+        monkeypatch.setattr(quality, "MAX_KNOWN", limit)
+        found = quality.surest_of(quality.unlabelled(docs, known), fitted)
+        for i in (0, 1):
+            p = quality.sigmoid(fitted[i].logit(x[i]))
+            for label, sure in ((1, p), (0, 1 - p)):
+                want = sorted(-s for s in sure if s >= quality.SURE)[: quality.EXCHANGED]
+                got = found.get((i, label), [])
+                assert len(got) == len(want) == len({k for k, _ in got})
+                mine = [float(sure[place[k]]) for k, _ in got]
+                assert all(np.array_equal(x[1 - i][place[k]], row) for k, row in got)
+                longest = max(longest, len(want))
+                assert np.allclose(sorted(-s for s in mine), want, atol=1e-6)
+    assert longest == quality.EXCHANGED
