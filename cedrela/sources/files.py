@@ -61,29 +61,40 @@ def word_texts(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
 
 
-def unzipped(files: DataFrame) -> DataFrame:
-    """path (`archive!member`), length, content of an archive's members that can be read, in order; hidden files and
-    resource forks aside. A broken archive gives one row without content."""
+def members(path: str, content: bytes) -> list[tuple[str, int, bytes | None]]:
+    """path (`archive!member`), length, content of what can be read in an archive, in order; one row without content for a
+    broken one."""
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+    except zipfile.BadZipFile:
+        return [(path, 0, None)]
+    rows = []
+    for name in archive.namelist():
+        last = name.rsplit("/", 1)[-1]
+        if last and not last.startswith(".") and "__MACOSX" not in name and last.rsplit(".", 1)[-1].lower() in METHOD:
+            data = archive.read(name)
+            rows.append((f"{path}!{name}", len(data), data))
+    return rows
+
+
+def opened(files: DataFrame, others: bool = True) -> DataFrame:
+    """path, length, content of files, with archives replaced by their members (hidden files and resource forks aside).
+    others: files that are no archives stay as they are; else everything is taken for an archive."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                rows = []
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    yield pd.DataFrame([(path, 0, None)], columns=["path", "length", "content"])
-                    continue
-                for name in archive.namelist():
-                    last = name.rsplit("/", 1)[-1]
-                    if last and not last.startswith(".") and "__MACOSX" not in name and last.rsplit(".", 1)[-1].lower() in METHOD:
-                        data = archive.read(name)
-                        rows.append((f"{path}!{name}", len(data), data))
-                yield pd.DataFrame(rows, columns=["path", "length", "content"])
+                plain = others and not path.lower().endswith(".zip")
+                yield pd.DataFrame([(path, len(content), content)] if plain else members(path, content), columns=["path", "length", "content"])
 
     return files.select("path", "content").mapInPandas(run, "path string, length long, content binary")
 
 
+def unzipped(files: DataFrame) -> DataFrame:
+    """path, length, content of the members of archives."""
+    return opened(files, others=False)
+
+
 def data_uri(files: DataFrame, mime: str) -> DataFrame:
     """path, uri of files up to MAX_BYTES."""
     return files.where(F.col("length") <= MAX_BYTES).select("path", F.concat(F.lit(f"data:{mime};base64,"), F.base64("content")).alias("uri"))

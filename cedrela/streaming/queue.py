@@ -58,7 +58,5 @@ def intake(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
     Archives are opened: their members are documents by `archive!member`. An archive that can't be read is a row without
     content, so that it ends in error and not in silence.
     """
-    given = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(path)
-    given = given.select("path", "length", "content")
-    packed = F.lower("path").endswith(".zip")
-    return files.routed(given.where(~packed).unionByName(files.unzipped(given.where(packed))))
+    given = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return files.routed(files.opened(given.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(path)))
