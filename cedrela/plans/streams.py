@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import work_dir
 from ..sources import sinks
 from ..streaming import employment, ordered, queue, replay
+from ..streaming import store as stores
 from .. import views
 from . import Catalogue
 
@@ -161,3 +162,49 @@ def employment_cascade(spark: SparkSession, d: str) -> DataFrame:
     events = events.select(F.col("user_id").alias("employee_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), kind.alias("event"))
     rows = streamed(events, "employee_id", employment.employment(), work_dir(spark, "employment"), 5)
     return rows.withColumns({c: F.timestamp_micros(c).cast("timestamp_ntz") for c in ("since", "ended", "stamp")})
+
+
+#: Which of the tables of a batch an event changes, and how.
+TABLES = ["employees", "contracts", "settlements", "case_documents", "memoranda", "health", "id_cards", "alerts"]
+SAVED = """saved AS (
+  SELECT user_id AS id, event_id AS seq, ts, k, value, CASE event_type WHEN 'signup' THEN 'employees' WHEN 'purchase' THEN 'contracts' WHEN 'click' THEN 'settlements' WHEN 'view' THEN 'case_documents'
+      ELSE CASE WHEN k < 20 THEN 'memoranda' WHEN k < 40 THEN 'health' WHEN k < 60 THEN 'id_cards' ELSE 'alerts' END END AS table_name,
+    CASE WHEN value >= 150 THEN 'delete' WHEN value >= 60 THEN 'create' ELSE 'update' END AS action, CASE WHEN k < 70 THEN 'n' || k END AS name, CASE WHEN value < 90 THEN value END AS base, CASE WHEN k >= 30 THEN k END AS extra, k = 99 AND value < 60 AS clears
+  FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)
+), reset AS (
+  SELECT *, max(CASE WHEN action != 'update' THEN seq END) OVER (PARTITION BY table_name, id) AS since FROM saved
+)"""
+
+
+def changes(events: DataFrame) -> DataFrame:
+    """Events as changes of records: id, seq, action, record (with a nested part), cleared, and the table they go to."""
+    k, value = views.event_key(), F.col("value")
+    by_error = F.when(k < 20, "memoranda").when(k < 40, "health").when(k < 60, "id_cards").otherwise("alerts")
+    table = F.create_map(*[F.lit(x) for x in ("signup", "employees", "purchase", "contracts", "click", "settlements", "view", "case_documents")])[F.col("event_type")]
+    action = F.when(value >= 150, stores.DELETE).when(value >= 60, stores.CREATE).otherwise(stores.UPDATE)
+    amounts = F.struct(F.when(value < 90, value).alias("base"), F.when(k >= 30, k).alias("extra"))
+    record = F.struct(F.when(k < 70, F.concat(F.lit("n"), k)).alias("name"), amounts.alias("amounts"), F.col("ts").alias("updated_at"))
+    cleared = F.when((k == 99) & (value < 60), F.array(F.lit("amounts.base"), F.lit("name"))).alias("cleared")
+    return events.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), action.alias("action"), record.alias("record"), cleared, F.coalesce(table, by_error).alias("table_name"))
+
+
+@C.add(
+    f"""WITH {SAVED}, live AS (SELECT * FROM reset WHERE since IS NOT NULL AND seq >= since), has AS (SELECT table_name, id FROM live WHERE seq = since AND action = 'create')
+SELECT table_name, id, arg_max_null(CASE WHEN NOT clears THEN name END, seq) FILTER (WHERE name IS NOT NULL OR clears) AS name, arg_max_null(CASE WHEN NOT clears THEN base END, seq) FILTER (WHERE base IS NOT NULL OR clears) AS base,
+  arg_max(extra, seq) FILTER (WHERE extra IS NOT NULL) AS extra, arg_max(ts, seq) AS updated_at FROM live SEMI JOIN has USING (table_name, id) GROUP BY table_name, id"""
+)
+def batch_save_tables(spark: SparkSession, d: str) -> DataFrame:
+    out = work_dir(spark, "save")
+    events = views.read(spark, d, "events")
+    queue.folder(events, f"{out}/in", "event_id", 4)
+    stream = changes(queue.watched(spark, f"{out}/in", events.schema))
+    store = stores.Store(spark, f"{out}/store")
+    taken = lambda table: lambda batch: batch.where(F.col("table_name") == table).drop("table_name")
+    logged = lambda batch: batch.select(F.col("id").cast("string").alias("record_id"), "action", "table_name", F.to_json("record").alias("payload"))
+    stores.save_batches(stream, {t: taken(t) for t in TABLES} | {"change_log": logged}, store, f"{out}/checkpoint")
+    store.compact(TABLES)
+    parts = [stores.merged(store.changes(t)).select(F.lit(t).alias("table_name"), "id", "record.name", "record.amounts.base", "record.amounts.extra", "record.updated_at") for t in TABLES]
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return rows
