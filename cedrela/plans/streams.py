@@ -202,7 +202,7 @@ def batch_save_tables(spark: SparkSession, d: str) -> DataFrame:
     taken = lambda table: lambda batch: batch.where(F.col("table_name") == table).drop("table_name")
     logged = lambda batch: batch.select(F.col("id").cast("string").alias("record_id"), "action", "table_name", F.to_json("record").alias("payload"))
     stores.save_batches(stream, {t: taken(t) for t in TABLES} | {"change_log": logged}, store, f"{out}/checkpoint")
-    store.compact(TABLES)
+    store.compact(dict.fromkeys(TABLES, stores.alive))
     parts = [stores.merged(store.changes(t)).select(F.lit(t).alias("table_name"), "id", "record.name", "record.amounts.base", "record.amounts.extra", "record.updated_at") for t in TABLES]
     rows = parts[0]
     for more in parts[1:]:

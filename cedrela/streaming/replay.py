@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from . import store
+
 
 def latest(changes: DataFrame) -> DataFrame:
     """changes (record_id, seq, action, payload) to the rows that are left: each record's last change, deletions aside.
@@ -20,24 +22,19 @@ def latest(changes: DataFrame) -> DataFrame:
 
 
 def replay(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Replays what is there and stops. Every batch folds its changes into the snapshot before it and writes the next one
-    under the batch's number; a batch that is repeated after a failure writes the same snapshot again. Deletions stay in the
-    snapshot as tombstones, so that a late older change can't bring a row back."""
+    """Replays what is there and stops. Every batch adds the last change of each of its records to the store; nothing that
+    was written before is written again. Deletions stay as tombstones, so that a late older change can't bring a row back."""
+    store.save_batches(stream, {"rows": latest}, store.Store(stream.sparkSession, out), checkpoint)
 
-    def fold(batch: DataFrame, number: int) -> None:
-        before = batch
-        if number:
-            before = batch.unionByName(batch.sparkSession.read.parquet(f"{out}/{number - 1}"))
-        latest(before).write.mode("overwrite").parquet(f"{out}/{number}")
 
-    stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def snapshot(spark: SparkSession, out: str) -> DataFrame:
+    """The rows that are left after all batches."""
+    return latest(store.Store(spark, out).changes("rows")).where("action != 'delete'")
 
 
-def snapshot(spark: SparkSession, out: str) -> DataFrame:
-    """The rows of the last snapshot."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    names = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
-    return spark.read.parquet(f"{out}/{max(map(int, names))}").where("action != 'delete'")
+def compact(spark: SparkSession, out: str) -> None:
+    """Writes the last change of each record as one set of files in place of those of all batches."""
+    store.Store(spark, out).compact({"rows": latest})
 
 
 def route(stream: DataFrame, sinks: Mapping[str, Column], out: str, checkpoint: str) -> None:

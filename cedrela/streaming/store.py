@@ -105,14 +105,15 @@ class Store:
         paths = [m["tables"][table] for m in self.manifests() if table in m["tables"]]
         return self.spark.read.parquet(*paths) if paths else None
 
-    def compact(self, tables: list[str]) -> None:
-        """Leaves out what later changes made void. Tombstones stay, so that an older change can't bring a record back."""
+    def compact(self, tables: Mapping[str, Callable[[DataFrame], DataFrame]]) -> None:
+        """Writes each table's files as one set, less what its function (alive(), say) leaves out. Tombstones must stay, so
+        that an older change can't bring a record back."""
         before = self.manifests()
         paths = {}
         for table in {t for m in before for t in m["tables"]}:
             rows = self.spark.read.parquet(*[m["tables"][table] for m in before if table in m["tables"]])
             paths[table] = f"{self.out}/data/{table}/compact-{uuid.uuid4().hex}"
-            (alive(rows) if table in tables else rows).write.parquet(paths[table])
+            tables.get(table, lambda x: x)(rows).write.parquet(paths[table])
         # What the replaced manifests replaced must stay out, too.
         gone = [r["name"] for r in self.spark.read.schema("name string").json(f"{self.out}/manifest").collect()]
         self.commit(f"compact-{uuid.uuid4().hex}", paths, gone)

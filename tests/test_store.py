@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cedrela.streaming import queue
-from cedrela.streaming.store import Store, merged, save_batches
+from cedrela.streaming import queue, replay
+from cedrela.streaming.store import Store, alive, merged, save_batches
 
 SCHEMA = "id long, seq long, action string, record struct<name:string,part:struct<a:int,b:int>>, cleared array<string>"
 
@@ -80,7 +80,7 @@ def test_compaction_leaves_the_answer_and_late_changes_right(spark, tmp_path):
     same = {"records": lambda b: b, "log": lambda b: b.select("seq")}
     store.save(spark.createDataFrame(early, SCHEMA), 0, same)
     for number in (1, 2):
-        store.compact(["records"])
+        store.compact({"records": alive})
         assert len(store.manifests()) == 1 and rows_of(merged(store.changes("records"))) == (plain(early) if number == 1 else plain(changes))
         if number == 1:
             assert store.changes("records").count() < len(early) and store.changes("log").count() == len(early)
@@ -93,3 +93,16 @@ def test_updates_of_what_is_not_there_and_ties_of_types(spark):
     df = spark.createDataFrame([(1, 1, "update", ("x", (1, 2)), None), (2, 1, "create", None, None), (2, 2, "update", ("y", (None, 5)), ["part.a"]), (3, 5, "delete", None, None), (3, 4, "create", ("z", (1, 1)), None)], SCHEMA)
     assert rows_of(merged(df)) == [(2, "y", None, 5)]
     assert merged(df.where(F.lit(False))).count() == 0
+
+
+def test_replay_adds_deltas_only(spark, tmp_path):
+    out = str(tmp_path)
+    rows = [(f"r{i % 7}", i, "delete" if i % 11 == 10 else "update", float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "record_id string, seq long, action string, value double")
+    queue.folder(df, f"{out}/in", "seq", 4)
+    replay.replay(queue.watched(spark, f"{out}/in", df.schema), f"{out}/rows", f"{out}/checkpoint")
+    want = sorted(map(repr, replay.latest(df).where("action != 'delete'").collect()))
+    for _ in range(2):
+        assert sorted(map(repr, replay.snapshot(spark, f"{out}/rows").collect())) == want
+        replay.compact(spark, f"{out}/rows")
+    assert Store(spark, f"{out}/rows").changes("rows").count() == 7
