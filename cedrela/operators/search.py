@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dictionaries import job_family
+
 ALL = "todos"
 
 
@@ -37,3 +39,17 @@ def facet_values(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def city_of(place: Column) -> Column:
     return F.trim(F.split_part(place, F.lit(","), F.lit(1)))
+
+
+def in_locale_order(values: DataFrame, within: Sequence[str], column: str, locale: str = "es") -> DataFrame:
+    """values with nth (from 1): their place within each group in the order of a locale, not of code points: accents and case
+    count only where letters are the same, ñ comes after n; values equal there go by code points."""
+    order = Window.partitionBy(*within).orderBy(F.collate(column, locale), column)
+    return values.withColumn("nth", F.row_number().over(order).cast("long"))
+
+
+def job_facet(rows: DataFrame, job: str = "job", headline: str = "headline") -> DataFrame:
+    """facet, value, n of the derived facet: the family of the latest job (else of the headline), or what it says if it is of
+    no known family; as facet_values() has it."""
+    said = F.coalesce(F.nullif(F.trim(job), F.lit("")), F.nullif(F.trim(headline), F.lit("")))
+    return facet_values(rows.select(F.coalesce(job_family(said), said).alias("job")), ["job"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import search
+
 # What is read, and how far each way of reading is trusted.
 IMAGES = ["jpg", "jpeg", "png", "webp", "bmp", "gif", "tif", "tiff"]
 METHOD = {"txt": "txt", "text": "txt", "docx": "docx", "pdf": "pdf_text", "zip": "zip"} | {x: "ocr" for x in IMAGES}
@@ -28,6 +31,17 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
 
+def people_folders(files: DataFrame, root: str) -> DataFrame:
+    """name, kind (carpeta or zip), files (paths, in order), nth: one row for each folder right below root that has images
+    somewhere below it, and for each archive in root, named without its ending; nth is the place in Spanish order."""
+    rest = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.rstrip("/").split(":")[-1]) + "/", "")
+    at = files.select("path", rest.alias("rest")).withColumn("top", F.regexp_extract("rest", "^([^/]+)/", 1))
+    image = F.lower(F.regexp_extract("rest", r"\.([^./]+)$", 1)).isin(IMAGES)
+    folders = at.where((F.col("top") != "") & image).groupBy(F.col("top").alias("name")).agg(F.array_sort(F.collect_list("path")).alias("files")).withColumn("kind", F.lit("carpeta"))
+    zips = at.where((F.col("top") == "") & F.lower("rest").endswith(".zip")).select(F.regexp_replace("rest", r"(?i)\.zip$", "").alias("name"), F.array("path").alias("files"), F.lit("zip").alias("kind"))
+    return search.in_locale_order(folders.unionByName(zips).withColumn("_all", F.lit(0)), ["_all"], "name").select("name", "kind", "files", "nth")
+
+
 def routed(files: DataFrame) -> DataFrame:
     """files with extension, method (null: not supported, for a quarantine) and prior confidence."""
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
