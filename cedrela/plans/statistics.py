@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .. import views
 from ..functions.text import fold
 from ..operators import order_statistics as ranks
-from ..operators import search
-from . import Catalogue
+from ..operators import reparse, search
+from . import Catalogue, documents, whole
 from .fields import FOLD
 
 C = Catalogue()
@@ -47,3 +47,15 @@ def facet_order_documents(spark: SparkSession, d: str) -> DataFrame:
     words = F.explode(F.split(F.lower("text"), "[^a-zñáéíóúüäößàâçèêëîïôùû]+"))
     values = views.read(spark, d, "documents").select(F.col("lang").alias("facet"), words.alias("value")).where(F.length("value") > 3).distinct()
     return search.in_locale_order(values.withColumn("letter", fold(F.col("value")).substr(1, 1)), ["facet", "letter"], "value").drop("letter")
+
+
+#: What is taken out of each kind's record, and the query whose SQL parses that kind.
+SHOWN = {"cedula": ("parse_id_card", "document_number"), "salud": ("parse_health", "worker_name"), "liquidacion": ("parse_settlement", "employer_name"), "memorando": ("parse_memo", "subject"), "llamado_atencion": ("parse_memo", "subject"), "funciones": ("parse_functions", "position")}
+PARSED = " UNION ALL ".join(f"SELECT c.doc_id, c.category, CAST(p.{field} AS VARCHAR) AS shown FROM class c JOIN ({whole.C.sql[f'{query}_documents']}) p ON p.doc_id = c.doc_id WHERE c.category = '{kind}'" for kind, (query, field) in SHOWN.items())
+
+
+@C.add(f"WITH folded AS (SELECT doc_id, {documents.fold_only('text')} AS x FROM {whole.ALL_TEXTS}), {documents.CLASSES} {PARSED}")
+def reparsed_documents(spark: SparkSession, d: str) -> DataFrame:
+    found = reparse.reparsed(whole.texts(spark, d))
+    shown = F.coalesce(*[F.when(F.col("category") == kind, F.try_variant_get("record", f"$.{field}", "string")) for kind, (_, field) in SHOWN.items()])
+    return found.select("doc_id", "category", shown.alias("shown"))
