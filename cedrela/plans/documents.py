@@ -73,7 +73,7 @@ def edit_distance(spark: SparkSession, d: str) -> DataFrame:
 
 @C.add(
     f"""WITH t AS (SELECT id, i, term, {similarity('lower(x)', 'lower(term)')} AS score FROM {corpus.listed_sql(corpus.WORDS)}, {corpus.sql_values(list(enumerate(corpus.LEXICON)), 'i, term').replace(' v(', ' w(')})
-SELECT id, CASE WHEN max(score) >= 0.82 THEN arg_max(lower(term), score * 1000 - i / 1000.0) END AS term, CASE WHEN max(score) >= 0.82 THEN max(score) END AS score FROM t GROUP BY id"""
+SELECT id, CASE WHEN max(score) >= 0.82 THEN arg_max(lower(term), score * 1000 - i / 1000.0) END AS term, CASE WHEN max(score) >= 0.82 THEN max(score) END AS score FROM t GROUP BY id""", aside=True
 )
 def best_match_dictionary(spark: SparkSession, d: str) -> DataFrame:
     m = text.best_match(F.lower("x"), [t.lower() for t in corpus.LEXICON])
@@ -185,7 +185,7 @@ FIRST = f"{full_year(get('f', dates.DAY_FIRST, 3))}"
 @C.add(
     f"""SELECT id, {normal_date('f')} AS form_a, {loose_date('trim(f)')} AS form_b,
 (CASE WHEN {get('f', dates.DAY_FIRST, 3)} IS NOT NULL THEN ({FIRST}) || '-' || lpad({get('f', dates.DAY_FIRST, 2)}, 2, '0') || '-' || lpad({get('f', dates.DAY_FIRST, 1)}, 2, '0') END) AS first_in_text,
-{get('f', dates.RANGE, 1)} AS range_start, CASE WHEN {get('f', dates.RANGE, 3)} IS NOT NULL THEN 'Actual' ELSE {get('f', dates.RANGE, 2)} END AS range_end FROM {DATES}"""
+{get('f', dates.RANGE, 1)} AS range_start, CASE WHEN {get('f', dates.RANGE, 3)} IS NOT NULL THEN 'Actual' ELSE {get('f', dates.RANGE, 2)} END AS range_end FROM {DATES}""", aside=True
 )
 def text_dates(spark: SparkSession, d: str) -> DataFrame:
     f = text.fold_only(F.col("x"))
@@ -204,7 +204,7 @@ SALARY = amount_sql(f"replace({get('f', numbers.SALARY)}, ' ', '')")
 EXPECTED = f"CASE WHEN length({digits('x')}) BETWEEN 1 AND 11 AND CAST({digits('x')} AS BIGINT) BETWEEN 200000 AND 99000000 THEN CAST({digits('x')} AS BIGINT) END"
 
 
-@C.add(f"SELECT id, {amount_sql('x')} AS amount, CASE WHEN ({SALARY}) > 1000 THEN ({SALARY}) END AS salary, {EXPECTED} AS expected FROM (SELECT id, x, {fold_only('x')} AS f FROM {corpus.listed_sql(corpus.AMOUNTS)})")
+@C.add(f"SELECT id, {amount_sql('x')} AS amount, CASE WHEN ({SALARY}) > 1000 THEN ({SALARY}) END AS salary, {EXPECTED} AS expected FROM (SELECT id, x, {fold_only('x')} AS f FROM {corpus.listed_sql(corpus.AMOUNTS)})", aside=True)
 def text_amounts(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("x")
     return corpus.listed(spark, corpus.AMOUNTS).select("id", numbers.amount(x).alias("amount"), numbers.salary(text.fold_only(x)).alias("salary"), numbers.expected_salary(x).alias("expected"))
@@ -224,7 +224,7 @@ def name_sql(titles: bool) -> str:
     return f"array_to_string({w}[1:({cut})], ' ') AS first_{'a' if titles else 'b'}, array_to_string({w}[({cut}) + 1:], ' ') AS last_{'a' if titles else 'b'}"
 
 
-@C.add(f"SELECT id, {name_sql(True)}, {name_sql(False)} FROM {corpus.listed_sql(corpus.NAMES)}")
+@C.add(f"SELECT id, {name_sql(True)}, {name_sql(False)} FROM {corpus.listed_sql(corpus.NAMES)}", aside=True)
 def name_split(spark: SparkSession, d: str) -> DataFrame:
     a, b = names.split_name(F.col("x")), names.split_name_plain(F.col("x"))
     return corpus.listed(spark, corpus.NAMES).select("id", a["first_names"].alias("first_a"), a["last_names"].alias("last_a"), b["first_names"].alias("first_b"), b["last_names"].alias("last_b"))
@@ -259,7 +259,7 @@ def classify_documents(spark: SparkSession, d: str) -> DataFrame:
     return classify.classified(both).select("doc_id", "category")
 
 
-@C.add(f"WITH folded AS (SELECT doc_id, {fold_only('text')} AS x FROM {corpus.TEXTS_SQL}), {CLASSES} SELECT CASE category {' '.join(f'WHEN {quoted(k)} THEN {quoted(v)}' for k, v in classify.FORM.items())} ELSE 'unknown' END AS form, count(*) AS n FROM class GROUP BY 1")
+@C.add(f"WITH folded AS (SELECT doc_id, {fold_only('text')} AS x FROM {corpus.TEXTS_SQL}), {CLASSES} SELECT CASE category {' '.join(f'WHEN {quoted(k)} THEN {quoted(v)}' for k, v in classify.FORM.items())} ELSE 'unknown' END AS form, count(*) AS n FROM class GROUP BY 1", aside=True)
 def document_form(spark: SparkSession, d: str) -> DataFrame:
     return corpus.texts(spark).groupBy(classify.form(classify.category(F.col("text"))).alias("form")).agg(F.count("*").alias("n"))
 
@@ -277,7 +277,7 @@ FOLDED = f"(SELECT doc_id, text, {fold_only('text')} AS x FROM {corpus.TEXTS_SQL
 
 @C.add(
     f"""SELECT doc_id, {digits(f"coalesce({get('x', parsers.ID_NUMBER)}, {get('x', '(?:^|[^0-9])([1-9][0-9]{6,9})(?:$|[^0-9])')})")} AS document_number, {titled(get('x', parsers.FIRST_NAMES))} AS first_names,
-{titled(get('x', parsers.LAST_NAMES))} AS last_names, {normal_date(get('x', parsers.BIRTH))} AS birth_date, {titled(get('x', parsers.ISSUED))} AS expedition_place FROM {FOLDED}"""
+{titled(get('x', parsers.LAST_NAMES))} AS last_names, {normal_date(get('x', parsers.BIRTH))} AS birth_date, {titled(get('x', parsers.ISSUED))} AS expedition_place FROM {FOLDED}""", aside=True
 )
 def parse_id_card(spark: SparkSession, d: str) -> DataFrame:
     return parsers.id_card(corpus.texts(spark))
@@ -290,7 +290,7 @@ def known(x: str, terms: list[str]) -> str:
 
 @C.add(
     f"""SELECT doc_id, {known('x', parsers.EPS)} AS eps, CASE WHEN contains(x, 'subsidiado') THEN 'Subsidiado' ELSE 'Contributivo' END AS regime, 'ARL ' || {known('x', parsers.ARL)} AS arl, {known('x', parsers.PENSION)} AS pension,
-{known('x', parsers.COMPENSATION)} AS compensation, {titled(get('x', parsers.MEMBER))} AS worker_name, {id_sql('x')} AS document_number FROM {FOLDED}"""
+{known('x', parsers.COMPENSATION)} AS compensation, {titled(get('x', parsers.MEMBER))} AS worker_name, {id_sql('x')} AS document_number FROM {FOLDED}""", aside=True
 )
 def parse_health(spark: SparkSession, d: str) -> DataFrame:
     return parsers.health(corpus.texts(spark))
@@ -313,7 +313,7 @@ OTHER = f"""list_filter(list_transform(string_split(x, chr(10)), lambda l: {{'co
     f"""SELECT doc_id, {titled(get('x', parsers.WORKER))} AS worker_name, {id_sql('x')} AS worker_document_number, {titled(get('x', parsers.EMPLOYER))} AS employer_name, {titled(get('x', parsers.POSITION))} AS position,
 {dated('fecha' + chr(92) + 's+de' + chr(92) + 's+ingreso|ingreso')} AS hire_date, {dated('fecha' + chr(92) + 's+de' + chr(92) + 's+(?:retiro|salida|terminacion)|retiro|salida')} AS exit_date, nullif(CAST({get('x', parsers.DAYS)} AS INT), 0) AS days,
 {', '.join(f'{labelled(label)} AS {name}' for name, label in parsers.CONCEPTS.items())}, coalesce({', '.join(labelled(t) for t in parsers.TOTALS)}) AS total,
-len({OTHER}) AS n_other, coalesce(list_sum(list_transform({OTHER}, lambda p: p.amount)), 0)::BIGINT AS other_amount FROM {FOLDED}"""
+len({OTHER}) AS n_other, coalesce(list_sum(list_transform({OTHER}, lambda p: p.amount)), 0)::BIGINT AS other_amount FROM {FOLDED}""", aside=True
 )
 def parse_settlement(spark: SparkSession, d: str) -> DataFrame:
     return parsers.settlement(corpus.texts(spark))
@@ -328,7 +328,7 @@ BODY = "trim(regexp_extract(text, '(?is)asunto\\s*:[^\\n]*\\n(.*)$', 1))"
 
 @C.add(
     f"""SELECT doc_id, {header('para')} AS "to", {header('de')} AS "from", {header('asunto')} AS subject, CASE WHEN contains(x, 'llamado de atencion') THEN 'llamado_atencion' WHEN contains(x, 'amonestacion disciplinaria') THEN 'amonestacion_disciplinaria'
-WHEN contains(x, 'amonestaci') THEN 'amonestacion_preventiva' ELSE 'otro' END AS memo_type, coalesce({dated('fecha')}, {textual('x')}) AS memo_date, {id_sql('x')} AS document_number, nullif(substr({BODY}, 1, 2000), '') AS body FROM {FOLDED}"""
+WHEN contains(x, 'amonestaci') THEN 'amonestacion_preventiva' ELSE 'otro' END AS memo_type, coalesce({dated('fecha')}, {textual('x')}) AS memo_date, {id_sql('x')} AS document_number, nullif(substr({BODY}, 1, 2000), '') AS body FROM {FOLDED}""", aside=True
 )
 def parse_memo(spark: SparkSession, d: str) -> DataFrame:
     return parsers.memo(corpus.texts(spark))
@@ -338,7 +338,7 @@ FUNCTIONS = f"""list_filter(list_transform(string_split(text, chr(10)), lambda t
   lambda t: length(t) >= 4 AND NOT regexp_matches({fold_only('t')}, {quoted(parsers.NO_FUNCTION)}))"""
 
 
-@C.add(f"SELECT doc_id, {titled(get('x', parsers.POSITION))} AS position, array_to_string(list_transform({FUNCTIONS}, lambda t: {title('t')}), '|') AS functions FROM {FOLDED}")
+@C.add(f"SELECT doc_id, {titled(get('x', parsers.POSITION))} AS position, array_to_string(list_transform({FUNCTIONS}, lambda t: {title('t')}), '|') AS functions FROM {FOLDED}", aside=True)
 def parse_functions(spark: SparkSession, d: str) -> DataFrame:
     return parsers.job_functions(corpus.texts(spark)).withColumn("functions", F.array_join("functions", "|"))
 
@@ -358,7 +358,7 @@ def months_between(spark: SparkSession, d: str) -> DataFrame:
 _TERM = f"CAST({get('x', dates.TERM)} AS INT)"
 
 
-@C.add(f"SELECT doc_id, CASE WHEN {_TERM} BETWEEN 1 AND 120 THEN {_TERM} END AS months FROM {FOLDED}")
+@C.add(f"SELECT doc_id, CASE WHEN {_TERM} BETWEEN 1 AND 120 THEN {_TERM} END AS months FROM {FOLDED}", aside=True)
 def term_bounds(spark: SparkSession, d: str) -> DataFrame:
     return corpus.texts(spark).select("doc_id", dates.term_months(text.fold_only(F.col("text"))).alias("months"))
 

@@ -26,7 +26,7 @@ EMAILS = ["escribir a ana.prueba@Example.org ya", "pedro.muestraCgmail.com", "lu
 GLUED = ["TERMINOFIJO del contrato", "CESANTIASDOBLES y vacaciones", "palabra normal", "nombrecedula\ncargoauxiliar", None, ""]
 
 
-@C.add()
+@C.add(aside=True)
 def parse_cv(spark: SparkSession, d: str) -> DataFrame:
     return people.cv_records(spark.createDataFrame(list(CV.items()), "doc_id int, text string"))
 
@@ -37,17 +37,17 @@ def parse_cv_documents(spark: SparkSession, d: str) -> DataFrame:
     return people.cv_records(views.read(spark, d, "documents")).select("doc_id", "email", "phone", "document_number", F.size("skills").alias("n_skills"))
 
 
-@C.add()
+@C.add(aside=True)
 def parse_contract(spark: SparkSession, d: str) -> DataFrame:
     return people.contract_records(spark.createDataFrame(list(CONTRACTS.items()), "doc_id int, text string"))
 
 
-@C.add()
+@C.add(aside=True)
 def email_repair(spark: SparkSession, d: str) -> DataFrame:
     return corpus.listed(spark, EMAILS).select("id", repair.email_in(F.col("x")).alias("email"))
 
 
-@C.add()
+@C.add(aside=True)
 def segment_words(spark: SparkSession, d: str) -> DataFrame:
     return corpus.listed(spark, GLUED).select("id", repair.segmented(F.col("x")).alias("s")).select("id", "s.*")
 

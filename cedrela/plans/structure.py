@@ -74,7 +74,7 @@ pair AS (SELECT doc_id, pos, nth, {fold("split_part(part, ':', 1)")} AS label, t
 near AS (SELECT doc_id, pos, lead(text, 1) OVER w AS n1, lead(text, 2) OVER w AS n2 FROM line WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 r AS (SELECT p.doc_id, p.pos, p.nth, CASE WHEN value != '' THEN value WHEN NOT regexp_matches(n1, ':\\s*$') THEN n1 WHEN NOT regexp_matches(n2, ':\\s*$') THEN n2 END AS value,
   CASE WHEN label IN ({', '.join(map(quoted, LABELS))}) THEN 0 WHEN {' OR '.join(f"starts_with(label, '{x} ') OR ends_with(label, ' {x}')" for x in LABELS)} THEN 1 END AS rank FROM pair p LEFT JOIN near n USING (doc_id, pos))
-SELECT doc_id, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, pos, nth) AS n FROM r WHERE rank IS NOT NULL AND value IS NOT NULL) WHERE n = 1"""
+SELECT doc_id, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, pos, nth) AS n FROM r WHERE rank IS NOT NULL AND value IS NOT NULL) WHERE n = 1""", aside=True
 )
 def label_lookup(spark: SparkSession, d: str) -> DataFrame:
     return lines.label_value(lines.of_text(corpus.texts(spark)), LABELS)
@@ -90,7 +90,7 @@ def family_sql(x: str) -> str:
     return f"CASE {exact} {within} END"
 
 
-@C.add(f"SELECT id, {family_sql('f')} AS family FROM (SELECT id, {fold('x')} AS f FROM {corpus.listed_sql(TITLES)})")
+@C.add(f"SELECT id, {family_sql('f')} AS family FROM (SELECT id, {fold('x')} AS f FROM {corpus.listed_sql(TITLES)})", aside=True)
 def job_family(spark: SparkSession, d: str) -> DataFrame:
     return corpus.listed(spark, TITLES).select("id", dictionaries.job_family(F.col("x")).alias("family"))
 
@@ -102,7 +102,7 @@ SPOTS = ["Vivo en Cúcuta, Norte de Santander", "Villa del Rosario", "de Santand
     f"""WITH s AS (SELECT id, ' ' || regexp_replace({fold('x')}, '[^a-z0-9]+', ' ', 'g') || ' ' AS f FROM {corpus.listed_sql(SPOTS)}), p AS (SELECT * FROM {corpus.sql_values([(p, dictionaries._folded(p)) for p in dictionaries.PLACES], 'place, k')})
 SELECT s.id, (SELECT place FROM p WHERE contains(f, ' ' || k || ' ') ORDER BY position(' ' || k || ' ' IN f), -length(place), place LIMIT 1) AS place,
 (SELECT place FROM (SELECT place, levenshtein(w, k) AS d, i, length(place) AS n FROM p, (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT list_filter(string_split_regex(f, '[^a-z]+'), lambda w: length(w) >= 4) AS ws)) t WHERE NOT contains(place, ' '))
- WHERE d <= greatest(1, n // 8) ORDER BY d, i, place LIMIT 1) AS fuzzy FROM s"""
+ WHERE d <= greatest(1, n // 8) ORDER BY d, i, place LIMIT 1) AS fuzzy FROM s""", aside=True
 )
 def place_lookup(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("x")
@@ -114,7 +114,7 @@ ALL_SKILLS = [(c, s) for c, ss in dictionaries.SKILLS.items() for s in ss]
 
 
 @C.add(
-    f"SELECT id, category, skill FROM (SELECT id, {fold('x')} AS f FROM {corpus.listed_sql(KNOW)}), {corpus.sql_values(ALL_SKILLS, 'category, skill').replace(' v(', ' w(')} WHERE regexp_matches(f, '(?:^|[^a-z0-9])' || skill || '(?:$|[^a-z0-9])')"
+    f"SELECT id, category, skill FROM (SELECT id, {fold('x')} AS f FROM {corpus.listed_sql(KNOW)}), {corpus.sql_values(ALL_SKILLS, 'category, skill').replace(' v(', ' w(')} WHERE regexp_matches(f, '(?:^|[^a-z0-9])' || skill || '(?:$|[^a-z0-9])')", aside=True
 )
 def skills_tagging(spark: SparkSession, d: str) -> DataFrame:
     found = corpus.listed(spark, KNOW).select("id", F.explode(dictionaries.skills(F.col("x"))).alias("s"))
@@ -179,7 +179,7 @@ t AS (SELECT *, nullif(regexp_replace(document_number, '[.\\s-]', '', 'g'), '')
 known AS (SELECT k, arg_min(name, pos) AS name, arg_min(w, pos) AS w, min(pos) AS pos FROM t WHERE k IS NOT NULL AND name IS NOT NULL GROUP BY k),
 m AS (SELECT t.doc_id, arg_min(known.k, known.pos * 1000) AS found FROM t JOIN known ON t.k IS NULL AND len(list_intersect(t.w, known.w)) > 0
   AND ({fold('t.name')} = {fold('known.name')} OR least(len(t.w), len(known.w)) > 0 AND len(list_intersect(t.w, known.w)) >= least(least(len(t.w), len(known.w)), 2)) GROUP BY 1)
-SELECT t.doc_id, CASE WHEN t.k IS NOT NULL THEN 'id:' || t.k WHEN found IS NOT NULL THEN 'id:' || found WHEN len(w) > 0 THEN 'name:' || array_to_string(list_sort(w), ' ') ELSE 'sin identificar' END AS "group" FROM t LEFT JOIN m USING (doc_id)"""
+SELECT t.doc_id, CASE WHEN t.k IS NOT NULL THEN 'id:' || t.k WHEN found IS NOT NULL THEN 'id:' || found WHEN len(w) > 0 THEN 'name:' || array_to_string(list_sort(w), ' ') ELSE 'sin identificar' END AS "group" FROM t LEFT JOIN m USING (doc_id)""", aside=True
 )
 def entity_groups(spark: SparkSession, d: str) -> DataFrame:
     return grouping.entity_groups(spark.createDataFrame(PEOPLE, "doc_id int, pos int, name string, document_number string"))
