@@ -215,7 +215,7 @@ BIRTH_LABELS = ["fecha de nacimiento", "fecha nacimiento", "nacimiento"]
 START_LABELS, END_LABELS = ["fecha de inicio", "fecha de iniciacion", "fecha de ingreso", "iniciacion de labores"], ["fecha de terminacion", "fecha de vencimiento", "fecha de finalizacion", "vencimiento"]
 
 
-def contract_parties(docs: DataFrame, not_from: tuple[str, ...] = ()) -> DataFrame:
+def contract_parties(docs: DataFrame, not_from: tuple[str, ...] = (), rows: DataFrame | None = None, pairs: DataFrame | None = None, dated: DataFrame | None = None) -> DataFrame:
     """doc_id, employer_name, employer_tax_id, employer_email, employer_address, worker_name, worker_document_number,
     worker_email, worker_address, position, salary, start_date, end_date of every document (doc_id, text).
 
@@ -223,8 +223,10 @@ def contract_parties(docs: DataFrame, not_from: tuple[str, ...] = ()) -> DataFra
     from the lines above the data of a person, an e-mail of the worker's part that isn't the employer's, a tax number and an
     identity number anywhere, the job and the pay from a sentence. not_from: beginnings of numbers that are no person's.
     Nothing is filled in that the text doesn't hold. A null or empty text has nulls only; repeated doc_ids are one document.
+    Where lines have places on pages, rows are these lines with their scope, pairs what geometry adds to candidates(), dated
+    the lines in which dates are looked for (geometry.label_pairs()); else all are taken from the text.
     """
-    rows = in_scopes(lines.of_text(docs))
+    rows = in_scopes(lines.of_text(docs)) if rows is None else rows
     number = lambda v: F.regexp_replace(F.regexp_extract(v, r"^[^(;]*", 0), "[^0-9]", "")
     mail = lambda v: F.lower(shapes.found(v, shapes.ADDRESS, 0))
     named = lambda v: ~shapes.is_notice(v) & ~shapes.is_address(v) & (shapes.is_person(v) | shapes.is_firm(v))
@@ -237,11 +239,12 @@ def contract_parties(docs: DataFrame, not_from: tuple[str, ...] = ()) -> DataFra
         "worker_document_number": identity, "worker_email": lambda v: mail(v).isNotNull(), "position": lambda v: ~v.rlike("[0-9]"), "salary": lambda v: pay(v).isNotNull(),
     }
     scopes = {f: f.split("_")[0] for f in PARTY_LABELS if f.split("_")[0] in ("employer", "worker")}
-    found = labelled_fields(candidates(rows), PARTY_LABELS, scopes, valid)
+    said = candidates(rows)
+    found = labelled_fields(said if pairs is None else said.unionByName(pairs), PARTY_LABELS, scopes, valid)
     above = name_above(rows, BIRTH_LABELS + ["domicilio del trabajador", "correo del trabajador"]).withColumnRenamed("name", "above")
     others = F.array_sort(F.collect_list(F.when((F.col("scope") == "worker") & F.col("m").isNotNull(), F.struct("pos", "m"))))
     mails = rows.withColumn("m", mail(F.col("text"))).groupBy("doc_id").agg(F.transform(others, lambda s: s["m"]).alias("mails"))
-    start, end = date_near(rows, START_LABELS).withColumnRenamed("day", "start_date"), date_near(rows, END_LABELS).withColumnRenamed("day", "end_date")
+    start, end = date_near(rows if dated is None else dated, START_LABELS).withColumnRenamed("day", "start_date"), date_near(rows if dated is None else dated, END_LABELS).withColumnRenamed("day", "end_date")
     out = docs.select("doc_id", "text").dropDuplicates(["doc_id"])
     for part in (found, above, mails, start, end):
         out = out.join(part, "doc_id", "left")

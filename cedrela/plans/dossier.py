@@ -143,10 +143,10 @@ def base(spark: SparkSession, d: str) -> DataFrame:
     return views.read(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars").union(mine)
 
 
-def records(spark: SparkSession, d: str) -> DataFrame:
-    """The records, with the candidate of those that are CVs as one column."""
+def records(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    """The records, with the candidate of those that are CVs (every: of all) as one column."""
     candidate = F.struct(*[F.expr(e).alias(n) for n, e in CANDIDATE.items()], *[F.array_compact(F.array(F.expr(e))).alias(n) for n, e in LISTS.items()])
-    return base(spark, d).select(*[F.expr(e).alias(n) for n, e in RECORD.items()], F.when(F.col("doc_id") % 4 == 0, candidate).alias("candidate"))
+    return base(spark, d).select(*[F.expr(e).alias(n) for n, e in RECORD.items()], F.when(F.lit(every) | (F.col("doc_id") % 4 == 0), candidate).alias("candidate"))
 
 
 INDEXED = next(s for s in C.sql["document_kinds"].split("AS loose,\n") if s.startswith("  CASE")).split(" AS indexed")[0]
@@ -274,9 +274,9 @@ def referential_actions(spark: SparkSession, d: str) -> DataFrame:
 
 @C.add(f"""WITH {RECORDS_SQL} SELECT file, coalesce(first_names, '') != '' AND coalesce(last_names, '') != '' AND (coalesce(email, '') != '' OR coalesce(phone, '') != '' OR coalesce(document_number, '') != '' OR experience IS NOT NULL OR education IS NOT NULL) AS is_cv,
   len(list_filter(string_split(concat_ws(' ', first_names, last_names), ' '), lambda w: w != '')) >= 2 AND (coalesce(document_number, '') != '' OR coalesce(email, '') != '' OR coalesce(phone, '') != '' OR coalesce(headline, '') != '') AS is_person,
-  salary IS NOT NULL OR coalesce(subject, '') != '' AS has_values FROM r WHERE is_cv""")
+  salary IS NOT NULL OR coalesce(subject, '') != '' AS has_values FROM r""")
 def cv_evidence(spark: SparkSession, d: str) -> DataFrame:
-    rows = records(spark, d).where("candidate IS NOT NULL")
+    rows = records(spark, d, every=True)
     c = lambda f: F.col("candidate")[f]
     sizes = [F.size(c(f)) for f in ("experience", "education")]
     return rows.select(

@@ -52,19 +52,19 @@ def alerts_probation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def existing_alerts(spark: SparkSession, d: str) -> DataFrame:
-    """Alerts on file: a fixed part of the contracts' ones, some of them resolved, and memo alerts."""
-    c = views.contracts(spark, d).where("id % 3 = 0 AND employee_id IS NOT NULL")
+    """Alerts on file: one for each contract with an employee, some of them resolved, and a memo alert for each employee."""
+    c = views.contracts(spark, d).where("employee_id IS NOT NULL")
     kind = F.when(F.col("id") % 2 == 0, "contrato_vencido").otherwise("vencimiento_contrato")
     mine = c.select(F.col("id"), "employee_id", F.col("id").alias("contract_id"), kind.alias("alert_type"), F.when(F.col("id") % 9 == 0, "resuelta").otherwise("pendiente").alias("status"))
-    e = views.employees(spark, d).where("id % 5 = 0")
+    e = views.employees(spark, d)
     memo = e.select((-F.col("id") - 1).alias("id"), (F.col("id") + F.when(F.col("id") % 100 == 0, 1_000_000_000).otherwise(0)).alias("employee_id"), F.lit(None).cast("long").alias("contract_id"), F.lit("memorandos").alias("alert_type"), F.lit("pendiente").alias("status"))
     return mine.union(memo)
 
 
 EXISTING = """existing AS (
   SELECT id, employee_id, id AS contract_id, CASE WHEN id % 2 = 0 THEN 'contrato_vencido' ELSE 'vencimiento_contrato' END AS alert_type, CASE WHEN id % 9 = 0 THEN 'resuelta' ELSE 'pendiente' END AS status
-  FROM contracts WHERE id % 3 = 0 AND employee_id IS NOT NULL
-  UNION ALL SELECT -id - 1, id + CASE WHEN id % 100 = 0 THEN 1000000000 ELSE 0 END, NULL, 'memorandos', 'pendiente' FROM employees WHERE id % 5 = 0)"""
+  FROM contracts WHERE employee_id IS NOT NULL
+  UNION ALL SELECT -id - 1, id + CASE WHEN id % 100 = 0 THEN 1000000000 ELSE 0 END, NULL, 'memorandos', 'pendiente' FROM employees)"""
 
 
 @C.add(

@@ -59,11 +59,11 @@ def stream_multi_sink(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").groupBy("sink").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@C.add("SELECT CAST(p_partkey AS VARCHAR) AS record_id, p_name AS name, p_size + CASE WHEN p_partkey % 3 = 0 THEN 100 ELSE 0 END AS size FROM part UNION ALL SELECT 'n' || s_suppkey, s_name, s_nationkey FROM supplier")
+@C.add("SELECT CAST(p_partkey AS VARCHAR) AS record_id, p_name AS name, p_size + CASE WHEN p_size > 25 THEN 100 ELSE 0 END AS size FROM part UNION ALL SELECT 'n' || s_suppkey, s_name, s_nationkey FROM supplier")
 def upsert_by_key(spark: SparkSession, d: str) -> DataFrame:
     part, supplier = views.read(spark, d, "part"), views.read(spark, d, "supplier")
     stored = part.select(F.col("p_partkey").cast("string").alias("record_id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
-    newer = stored.where("record_id % 3 = 0").select("record_id", F.lit("otro").alias("name"), (F.col("size") + 100).alias("size"))
+    newer = stored.where("size > 25").select("record_id", F.lit("otro").alias("name"), (F.col("size") + 100).alias("size"))
     new = supplier.select(F.concat(F.lit("n"), "s_suppkey").alias("record_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("size"))
     return replay.upsert(stored, newer.union(new), "record_id", keep=["name"])
 

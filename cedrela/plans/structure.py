@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import compare, dictionaries, text
-from ..operators import accuracy, grouping, layout, lines
+from ..operators import accuracy, geometry, grouping, layout, lines
 from . import Catalogue, corpus
 from .documents import fold, fold_only, like, quoted, similarity
 
@@ -235,3 +235,23 @@ def spatial_counterpart(spark: SparkSession, d: str) -> DataFrame:
     n, y = F.col("l_linenumber"), (F.col("l_linenumber") * 10 + F.col("l_quantity") % 7).cast("double")
     boxes = views.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 3).alias("page"), (n % 2).alias("col"), (n * 1000 + F.col("l_partkey") % 1000).alias("pos"), y.alias("y"), (y + 12).alias("y2"))
     return layout.counterpart(boxes, F.col("col") == 0).distinct()
+
+
+PLACED = "box AS (SELECT DISTINCT l_orderkey AS doc_id, l_suppkey % 2 AS page, l_partkey % 2 AS col, ((l_linenumber * 1000000 + l_partkey) * 2 + l_suppkey % 2) * 100 + CAST(l_quantity AS BIGINT) AS pos, CAST(l_linenumber * 23 + l_quantity AS DOUBLE) AS y, CAST(l_linenumber * 23 + l_quantity + 6 + l_partkey % 9 AS DOUBLE) AS y2, l_returnflag = 'N' AS label FROM lineitem)"
+
+
+@C.add(
+    f"""WITH {PLACED}, j AS (
+  SELECT a.doc_id, a.pos AS label_pos, b.pos AS value_pos, b.y AS top, least(a.y2 + {geometry.REACH}, b.y2) - greatest(a.y - {geometry.REACH}, b.y) AS shared, (a.y2 - a.y) * {geometry.HEIGHTS} + {geometry.SLACK} AS reach, a.y AS ay, a.y2 AS ay2, b.y2 AS by2
+  FROM box a JOIN box b ON a.doc_id = b.doc_id AND a.page = b.page AND a.col != b.col WHERE a.label
+), k AS (SELECT *, CASE WHEN shared >= {geometry.SHARED} THEN 'row' WHEN top >= ay2 - {geometry.TOUCH} AND top - ay2 < reach THEN 'below' WHEN by2 <= ay + {geometry.TOUCH} AND ay2 - top < reach THEN 'above' END AS way FROM j
+), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label_pos ORDER BY CASE way WHEN 'row' THEN 0 WHEN 'below' THEN 1 ELSE 2 END, CASE way WHEN 'row' THEN -shared WHEN 'below' THEN top ELSE -top END, value_pos) AS nth FROM k WHERE way IS NOT NULL)
+SELECT doc_id, label_pos, value_pos, way FROM r WHERE nth = 1"""
+)
+def box_partners(spark: SparkSession, d: str) -> DataFrame:
+    y = (F.col("l_linenumber") * 23 + F.col("l_quantity")).cast("double")
+    boxes = views.read(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 2).alias("page"), (F.col("l_partkey") % 2).alias("col"), (((F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")) * 2 + F.col("l_suppkey") % 2) * 100 + F.col("l_quantity").cast("long")).alias("pos"),
+        y.alias("y"), (y + 6 + F.col("l_partkey") % 9).alias("y2"), (F.col("l_returnflag") == "N").alias("label"),
+    )
+    return geometry.partners(boxes.distinct(), F.col("label"))

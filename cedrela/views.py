@@ -49,7 +49,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = contracts(spark, sf_dir).where("status = 'terminado' AND id % 4 = 0")
+    done = contracts(spark, sf_dir).where("status = 'terminado'")
     return done.select("id", "employee_id", "worker_document_number", F.date_add("start_date", 200).alias("exit_date"), F.col("salary").alias("base_salary"))
 
 
@@ -87,7 +87,7 @@ SQL = {
     CASE o_orderpriority WHEN '1-URGENT' THEN 'obra_labor' WHEN '4-NOT SPECIFIED' THEN 'prestacion_servicios' WHEN '5-LOW' THEN 'termino_indefinido' ELSE 'termino_fijo' END AS contract_type
   FROM (SELECT *, CAST(o_custkey + 10000000 AS VARCHAR) AS d FROM orders))""",
     "settlements": """settlements AS (
-  SELECT id, employee_id, worker_document_number, start_date + 200 AS exit_date, salary AS base_salary FROM contracts WHERE status = 'terminado' AND id % 4 = 0)""",
+  SELECT id, employee_id, worker_document_number, start_date + 200 AS exit_date, salary AS base_salary FROM contracts WHERE status = 'terminado')""",
     "memoranda": """memoranda AS (
   SELECT event_id AS id, user_id AS employee_id, ts, CAST(json_extract(props, '$.k') AS INT) AS k FROM events
   WHERE event_type = 'error' AND CAST(json_extract(props, '$.k') AS INT) < 20)""",
