@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates, dictionaries, names, numbers, repair
+from ..functions import dates, dictionaries, names, numbers, repair, shapes
 from ..functions.text import fold, fold_only, strip_bullets
 from . import lines
 from .parsers import EMPLOYER, POSITION, WORKER, _get, after_date_label, found_first
@@ -60,7 +60,7 @@ def cv_records(docs: DataFrame) -> DataFrame:
     label = lambda names_: lines.label_value(all_lines, names_)
     first, last = label(["nombres", "nombre"]).withColumnRenamed("value", "l_first"), label(["apellidos", "apellido"]).withColumnRenamed("value", "l_last")
     city = label(["ciudad", "municipio", "residencia", "direccion"]).withColumnRenamed("value", "l_city")
-    shaped = all_lines.where((F.col("pos") <= 12) & names.looks_like_name(x) & (F.size(F.split(f, " ")) >= 2) & lines.heading_kind(x).isNull() & ~f.rlike("hoja de vida|curriculum"))
+    shaped = all_lines.where((F.col("pos") <= 12) & names.looks_like_name(x) & (F.size(F.split(f, " ")) >= 2) & lines.heading_kind(x).isNull() & ~f.rlike("hoja de vida|curriculum") & ~shapes.is_job_not_city(x) & ~shapes.has_job(x))
     shaped = shaped.groupBy("doc_id").agg(F.min_by("text", "pos").alias("shaped"))
     summary = found.where("section = 'perfil' AND heading IS NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("s"))
     summary = summary.select("doc_id", F.substring(F.array_join(F.transform("s", lambda r: r["text"]), " "), 1, 900).alias("summary")).where(F.length("summary") >= 20)

@@ -13,7 +13,8 @@ LISTED = {
     "best_match_dictionary": corpus.WORDS, "text_dates": corpus.DATES, "text_amounts": corpus.AMOUNTS, "name_split": corpus.NAMES, "job_family": structure.TITLES,
     "place_lookup": structure.SPOTS, "skills_tagging": structure.KNOW, "email_repair": people.EMAILS, "segment_words": people.GLUED,
 }
-QUERIES = entry.queries()
+#: With those over the texts alone, which aren't registered.
+QUERIES = entry.queries() | {name: part.C.queries[name] for part in entry.PARTS for name in part.C.aside}
 
 
 def documents(spark, tmp_path, rows):
