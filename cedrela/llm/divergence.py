@@ -113,22 +113,33 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, width: int | None = N
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, by_group in counted(batches, ["lang", "source"], True):
-            for (lang, source), c in by_group.items():
-                if not c:
+            langs = defaultdict(list)
+            for lang, source in by_group:
+                langs[lang].append(source)
+            for lang, sources in langs.items():
+                terms = list({t: None for source in sources for t in by_group[lang, source]})
+                if not terms:
                     continue
-                terms = list(c)
                 at = cells(lang, terms, width)
                 fine = ((bits.value[at >> 3] << (at & 7).astype(np.uint8)) & 128).all(axis=0)
-                terms = [terms[i] for i in np.flatnonzero(fine)]
-                own = n[lang, source]
-                yield pa.record_batch(
-                    [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()),
-                     pa.array([own[t] for t in terms], pa.int64()), pa.array([c[t] for t in terms], pa.int64())],
-                    ["lang", "source", "term", "n", "docs"],
-                )
-
-    found = docs.mapInArrow(survivors, "lang string, source string, term string, n long, docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+                place = dict(zip(terms, range(len(terms))))
+                rows = []
+                for i, source in enumerate(sources):
+                    c, own = by_group[lang, source], n[lang, source]
+                    of = np.fromiter(map(place.__getitem__, c), np.int64, len(c))
+                    each = (of, np.full(len(c), i), np.fromiter(map(own.__getitem__, c), np.int64, len(c)), np.fromiter(c.values(), np.int64, len(c)))
+                    rows.append([x[fine[of]] for x in each])
+                of, source, times, docs = (np.concatenate(x) for x in zip(*rows))
+                order = np.argsort(of, kind="stable")
+                kept, first = np.unique(of[order], return_index=True)
+                ends = pa.array(np.append(first, len(of)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(sources, pa.string()).take(pa.array(source[order])), pa.array(times[order]), pa.array(docs[order]))]
+                yield pa.record_batch([pa.array([lang] * len(kept), pa.string()), pa.array([terms[i] for i in kept], pa.binary()).cast(pa.string()), *lists], ["lang", "term", "source", "n", "docs"])
+
+    found = docs.mapInArrow(survivors, "lang string, term string, source array<string>, n array<long>, docs array<long>")
+    # A task gives each term once, with its sources; they meet by term, and only then are they taken apart.
+    spread = F.explode(F.arrays_zip("source", "n", "docs")).alias("x")
+    return found.repartition("lang", "term").select("lang", "term", spread).groupBy("lang", "term", F.col("x.source").alias("source")).agg(F.sum("x.n").alias("n"), F.sum("x.docs").alias("docs")).select("lang", "source", "term", "n", "docs")
 
 
 def share(n: Column | str, total: Column | str, kept: Column | str) -> Column:
