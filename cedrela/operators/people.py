@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import dates, dictionaries, names, numbers, repair, shapes
 from ..functions.text import fold, fold_only, strip_bullets
 from . import lines
-from .parsers import EMPLOYER, POSITION, WORKER, _get, after_date_label, found_first
+from .parsers import EMPLOYER, EMPLOYER_WORDS, POSITION, POSITION_WORDS, WORKER, WORKER_WORDS, _get, after_date_label, found_first, if_said
 
 LANGUAGES = ["espanol", "ingles", "frances", "aleman", "italiano", "portugues", "chino", "japones", "ruso"]
 LEVELS = "basico|intermedio|avanzado|nativo|a1|a2|b1|b2|c1|c2"
 DEGREES = [("posgrado|maestria|especializa|doctorad", "posgrado"), ("tecnolog", "tecnologo"), ("tecnic", "tecnico"), ("bachiller|secundaria", "bachillerato"), ("primaria", "primaria")]
 COMPANY = r"(?:s\.?a\.?s\.?|ltda\.?|s\.?a\.?|e\.?s\.?p\.?)$"
+#: Words of which one stands in each match of numbers.SALARY.
+PAY_WORDS = ("salario", "sueldo", "remuneracion", "asignacion")
 CONTRACT_TYPES = [("indefinido", "termino_indefinido"), ("termino fijo", "termino_fijo"), ("obra o labor", "obra_labor"), ("prestacion de servicios", "prestacion_servicios"), ("aprendizaje", "aprendizaje")]
 
 
@@ -102,9 +104,11 @@ def contract_records(docs: DataFrame, default_notice: int = 30, max_trial: int =
         month = month | F.contains(x, F.lit(m))
     found = found_first(
         docs,
-        employer=_get(x, EMPLOYER), worker=_get(x, WORKER), document=numbers.document_in_text(F.regexp_replace(x, numbers.SALARY, " ")), job=_get(x, POSITION), kind=kind, pay=F.regexp_extract(x, numbers.SALARY, 0),
-        begun=after_date_label(x, r"fecha\s+de\s+(?:inicio|ingreso)|inicio"), in_words=F.when(month, F.regexp_extract(x, dates.TEXTUAL, 0)), ended=after_date_label(x, r"fecha\s+de\s+(?:terminacion|vencimiento|fin)|vence"),
-        term=F.regexp_extract(x, dates.TERM, 0), trial=F.regexp_extract(x, trial, 0), notice=F.regexp_extract(x, r"(?:preaviso|antelacion|anticipacion)[^0-9\n]{0,40}([0-9]{1,3})\s*dia", 1),
+        employer=if_said(x, _get(x, EMPLOYER), *EMPLOYER_WORDS), worker=if_said(x, _get(x, WORKER), *WORKER_WORDS), job=if_said(x, _get(x, POSITION), *POSITION_WORDS), kind=kind,
+        document=numbers.document_in_text(F.coalesce(if_said(x, F.regexp_replace(x, numbers.SALARY, " "), *PAY_WORDS), x)), pay=F.coalesce(if_said(x, F.regexp_extract(x, numbers.SALARY, 0), *PAY_WORDS), F.lit("")),
+        begun=if_said(x, after_date_label(x, r"fecha\s+de\s+(?:inicio|ingreso)|inicio"), "inicio", "ingreso"), in_words=F.when(month, F.regexp_extract(x, dates.TEXTUAL, 0)),
+        ended=if_said(x, after_date_label(x, r"fecha\s+de\s+(?:terminacion|vencimiento|fin)|vence"), "fecha", "vence"), term=F.regexp_extract(x, dates.TERM, 0), trial=F.coalesce(if_said(x, F.regexp_extract(x, trial, 0), "prueba"), F.lit("")),
+        notice=F.coalesce(if_said(x, F.regexp_extract(x, r"(?:preaviso|antelacion|anticipacion)[^0-9\n]{0,40}([0-9]{1,3})\s*dia", 1), "preaviso", "antelacion", "anticipacion"), F.lit("")),
     )
     start = F.coalesce(dates.normal_date(F.col("begun")), dates.textual_date(F.col("in_words"))).try_cast("date")
     length, unit = (F.regexp_extract("trial", trial, k) for k in (1, 2))
