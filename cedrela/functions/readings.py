@@ -61,3 +61,30 @@ def is_labelled_table(text: Column) -> Column:
     """Whether so many lines are of the form `label: value` that the text comes from a table."""
     lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
     return bind(lines, lambda x: (F.size(x) > 0) & (F.size(F.filter(x, lambda y: y.rlike(LABELLED))) >= TABLE_SHARE * F.size(x)))
+
+
+# Of a probe the least characters, what is clear, how much better and how sure a turn must be; sizes of images.
+PROBE_CHARS, CLEAR, MARGIN, LEAST_SURE = 60, 85, 10, 60
+RENDER_DPI, PDF_DPI, RENDER_PIXELS, WORK_WIDTH, WORK_PIXELS = 300, 72, 4_500_000, 2400, 12_000_000
+
+
+def render_scale(width: Column, height: Column) -> Column:
+    """How much a page is enlarged to be read: to 300 dots an inch, less where that is too many pixels, 1.5 at least."""
+    wanted = F.lit(RENDER_DPI / PDF_DPI)
+    return F.when(width * height * wanted * wanted <= RENDER_PIXELS, wanted).otherwise(F.greatest(F.lit(1.5), F.sqrt(RENDER_PIXELS / (width * height))))
+
+
+def working_scale(width: Column, height: Column) -> Column:
+    """How much an image is enlarged to be worked on: to the wanted width, less where that is too many pixels, a quarter at least."""
+    wanted = F.greatest(F.lit(1.0), WORK_WIDTH / width)
+    return F.greatest(F.lit(0.25), F.when(width * height * wanted * wanted > WORK_PIXELS, F.sqrt(WORK_PIXELS / (width * height))).otherwise(wanted))
+
+
+def plausible_turns(width: Column, height: Column) -> Column:
+    """An upright page may be upside down; a lying one may be turned to either side."""
+    return F.when(height >= width, F.array(F.lit(0), F.lit(180))).otherwise(F.array(F.lit(0), F.lit(90), F.lit(270)))
+
+
+def probe_value(chars: Column, confidence: Column) -> Column:
+    """A probe with hardly any text tells nothing, however sure it is."""
+    return F.when(chars < PROBE_CHARS, 0.0).otherwise(confidence.cast("double"))

@@ -194,3 +194,19 @@ def orphans(rows: DataFrame, parents: DataFrame, key: str, action: str) -> DataF
     marked = rows.where(F.col(key).isNotNull()).join(present.withColumn("_present", F.lit(True)), key, "left")
     marked = marked.withColumn(key, F.when(F.col("_present"), F.col(key))).select(*rows.columns)
     return marked.unionByName(rows.where(F.col(key).isNull()))
+
+
+def orientations(probes: DataFrame) -> DataFrame:
+    """page_id, turn: by how many degrees a page is turned, by probes (page_id, turn, chars, confidence, width, height): one of
+    each turn.
+
+    Only turns that the upright probe's shape allows count. The best (ties: the smallest turn) must be better than upright by
+    a margin and sure enough; an upright page that is clear stays. Pages without an upright probe are left out.
+    """
+    value = readings.probe_value(F.col("chars"), F.col("confidence"))
+    upright = probes.where("turn = 0").select("page_id", readings.plausible_turns(F.col("width"), F.col("height")).alias("turns"), value.alias("upright"), (F.col("chars") >= readings.PROBE_CHARS).alias("read"))
+    met = probes.join(upright, "page_id").where(F.array_contains("turns", F.col("turn")))
+    best = met.groupBy("page_id", "upright", "read", F.size("turns").alias("n")).agg(F.max_by(F.struct("turn", "confidence"), F.struct(value, -F.col("turn"))).alias("b"), F.max(value).alias("top"))
+    clear = (F.col("n") == 2) & F.col("read") & (F.col("upright") >= readings.CLEAR)
+    turned = ~clear & (F.col("top") >= F.col("upright") + readings.MARGIN) & (F.col("b.confidence") >= readings.LEAST_SURE)
+    return best.select("page_id", F.when(turned, F.col("b.turn")).otherwise(0).alias("turn"))

@@ -129,3 +129,17 @@ def counterpart(lines: DataFrame, is_label: Column) -> DataFrame:
     both = a.join(b, ["doc_id", "page"]).where((F.col("c") != F.col("col")) & (F.col("b1") <= F.col("a2")) & (F.col("b2") >= F.col("a1"))).withColumn("shared", shared).where("shared >= 2")
     best = F.row_number().over(Window.partitionBy("doc_id", "label_pos").orderBy(F.desc("shared"), "value_pos"))
     return both.withColumn("nth", best).where("nth = 1").select("doc_id", "label_pos", "value_pos")
+
+
+def document_layouts(lines: DataFrame, words: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_pages, columns (of each page, in order), text, font_size (median of the lines), confidence (mean of the
+    words; one that isn't stated is 1) of each document: lines as reading_order() gives them, words with page and confidence.
+
+    All but the text is aggregated before the shuffle; a document's lines are gathered as its text.
+    """
+    pages = lines.groupBy("doc_id", "page").agg(F.when(F.max("col") > 0, 2).otherwise(1).alias("columns"))
+    pages = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.transform(F.array_sort(F.collect_list(F.struct("page", "columns"))), lambda x: x["columns"]).alias("columns"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
+    out = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), joined.alias("text"), F.percentile("font_size", 0.5).alias("font_size"))
+    sure = words.groupBy("doc_id").agg(F.avg(F.coalesce("confidence", F.lit(1.0))).alias("confidence"))
+    return out.join(pages, "doc_id").join(sure, "doc_id", "left").fillna(1.0, ["confidence"])

@@ -53,3 +53,25 @@ def job_facet(rows: DataFrame, job: str = "job", headline: str = "headline") ->
     no known family; as facet_values() has it."""
     said = F.coalesce(F.nullif(F.trim(job), F.lit("")), F.nullif(F.trim(headline), F.lit("")))
     return facet_values(rows.select(F.coalesce(job_family(said), said).alias("job")), ["job"])
+
+
+def contracts(rows: DataFrame, query: str) -> DataFrame:
+    """Contracts that mention the query in the worker's name or number, the position, or the type."""
+    return rows.where(mentions(query, "worker_name", "worker_document_number", "position", "contract_type"))
+
+
+def vacancies(rows: DataFrame, query: str) -> DataFrame:
+    """Vacancies that mention the query in title, department, location or status; missing ones are empty."""
+    return rows.where(mentions(query, "title", "department", "location", "status"))
+
+
+def named_settlements(rows: DataFrame, employees: DataFrame) -> DataFrame:
+    """Settlements with person_name: the employee's by id, else the one that was read, else the number, else `Sin identificar`."""
+    names = employees.select(F.col("id").alias("employee_id"), F.col("full_name").alias("_name"))
+    person = F.coalesce("_name", F.nullif("worker_name", F.lit("")), F.nullif("worker_document_number", F.lit("")), F.lit("Sin identificar"))
+    return rows.join(names, "employee_id", "left").withColumn("person_name", person).drop("_name")
+
+
+def settlements(rows: DataFrame, employees: DataFrame, query: str) -> DataFrame:
+    """Settlements (named) that mention the query in the person's name, the number or the position, whatever the case."""
+    return named_settlements(rows, employees).where(mentions(query, "person_name", "worker_document_number", "position"))
