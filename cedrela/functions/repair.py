@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import EMAIL, fold_only
+from .evidence import plausible_email
+from .shapes import DOMAIN_SHAPE, KNOWN_DOMAIN, joined_mail
+from .text import EMAIL, bind, fold_only
 
 # Mail domains that are known, letters an @ is read as, and what words score.
 DOMAINS = ["gmail", "hotmail", "outlook", "yahoo", "live", "icloud"]
@@ -72,3 +74,34 @@ def segmented(text: Column, seeds: list[str] | None = None) -> Column:
         return pd.DataFrame(out, columns=["text", "n"])
 
     return run(text)
+
+
+#: Letters and signs that an at sign is read as, in a rebuilt address.
+AT_SIGNS = "CGOQE0©()@"
+
+
+def rebuilt_email(text: Column, strict: bool = False) -> Column:
+    """The first address, in lower case, that can be rebuilt from a text whose at sign was misread: line by line, first out of
+    two neighbouring words (joined_mail()), then out of one word with the sign inside, its user and domain being ones.
+
+    Within a word, each place from the left is tried; the domain must be known, or have the shape of one beside a user with a
+    full stop. strict: the address must be plausible by itself, for texts without a label. Null where there is none.
+    """
+    words = lambda line: F.filter(F.split(line, r"[ \t]+"), lambda w: w != "")
+    pairs = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: joined_mail(F.element_at(w, i), F.element_at(w, i + 1), AT_SIGNS)))
+
+    def inside(word: Column) -> Column:
+        def cut(i: Column) -> Column:
+            user, domain = F.substring(word, F.lit(1), i), F.substring(word, i + 2, F.length(word))
+            own = user.rlike("^[A-Za-z0-9_.+-]{2,}$") & user.rlike("[A-Za-z]")
+            fits = domain.rlike(KNOWN_DOMAIN) | (domain.rlike(DOMAIN_SHAPE) & F.contains(user, F.lit(".")))
+            return F.when(F.contains(F.lit(AT_SIGNS), F.substring(word, i + 1, F.lit(1))) & own & fits, F.concat(user, F.lit("@"), domain))
+
+        return F.when(word.rlike(r"\.[A-Za-z]{2,}$") & (F.length(word) > 4), F.transform(F.sequence(F.lit(1), F.length(word) - 4), cut))
+
+    none = F.array().cast("array<string>")
+    of_line = lambda line: bind(words(line), lambda w: F.concat(F.coalesce(pairs(w), none), F.flatten(F.transform(w, lambda x: F.coalesce(inside(x), none)))))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[A-Za-z0-9-]\.[A-Za-z]{2,}"))
+    found = F.transform(F.flatten(F.transform(lines, of_line)), lambda x: F.lower(x))
+    kept = F.filter(found, lambda x: x.isNotNull() & (plausible_email(x) if strict else F.lit(True)))
+    return F.when(text.rlike(r"[A-Za-z0-9-]\.[A-Za-z]{2,}"), F.try_element_at(kept, F.lit(1)))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import names, shapes
+from ..functions import names, repair, shapes
 from ..functions.text import fold, strip_bullets
-from . import geometry, labels, lines, people
+from . import experience, geometry, labels, lines, people
 
 # Labels of a CV's fields.
 LABELS = {
@@ -84,6 +84,12 @@ def cvs(docs: DataFrame, placed: DataFrame | None = None, page_height: float = 8
     found = lines.sections(rows, lines.heading_kind(F.col("text")))
     head = labels.header_rows(found) if placed is None else geometry.header_rows(found, F.lit(page_height))
     record = people.cv_records(docs)
+    # Lines under the heading of jobs count, or all where there is no such heading.
+    worked = Window.partitionBy("doc_id")
+    part = found.withColumn("_any", F.max(F.col("section") == "experiencia").over(worked)).where((F.col("section") == "experiencia") | ~F.col("_any")).where(F.col("heading").isNull() & ~F.col("section").isin("educacion", "certificaciones"))
+    each = experience.jobs(part.select("doc_id", "pos", "text")).where("company IS NOT NULL OR position IS NOT NULL")
+    jobs = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("nth", "company", "position", "start", "end", "is_current", "duties"))).alias("jobs"))
+    record = record.drop("experience").join(jobs, "doc_id", "left")
     said, context = labelled(rows.select("doc_id", "pos", "text")), labels.context_fields(rows)
     held = record.join(said, "doc_id", "left").join(context.select("doc_id", *[F.col(c).alias(f"c_{c}") for c in context.columns if c != "doc_id"]), "doc_id", "left")
     if placed is not None:
@@ -98,10 +104,10 @@ def cvs(docs: DataFrame, placed: DataFrame | None = None, page_height: float = 8
     city = F.coalesce("city", F.when(shapes.may_be_city(F.col("c_city")), F.col("c_city")))
     links = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SOCIAL), F.lit(0)), lambda x: F.when(F.lower(x).startswith("http"), x).otherwise(F.concat(F.lit("https://"), x)))
     out = held.select(
-        "doc_id", first.alias("first_names"), last.alias("last_names"), F.coalesce("document_number", "c_document_number", shaped("document_number")).alias("document_number"), F.coalesce("email", "c_email", shaped("email")).alias("email"),
+        "doc_id", first.alias("first_names"), last.alias("last_names"), F.coalesce("document_number", "c_document_number", shaped("document_number")).alias("document_number"), F.coalesce("email", "c_email", shaped("email"), repair.rebuilt_email(F.col("text"), strict=True)).alias("email"),
         F.coalesce("phone", "c_phone", shaped("phone")).alias("phone"), city.alias("city"), F.coalesce("address", "c_address").alias("address"), F.coalesce("nationality", "c_nationality").alias("nationality"), "birth_place", "birth_date",
         F.coalesce("marital_status", "c_marital_status").alias("marital_status"), F.coalesce("gender", "c_gender").alias("gender"), "salary", "availability", "driver_license", "military_card", "professional_card", F.array_distinct(links).alias("social_links"),
-        *[c for c in ("experience", "education", "skills", "languages", "certifications", "references", "summary")],
+        F.col("jobs").alias("experience"), *[c for c in ("education", "skills", "languages", "certifications", "references", "summary")],
     )
     named = out.select("doc_id", F.nullif(F.trim(F.concat_ws(" ", "first_names", "last_names")), F.lit("")).alias("name"))
     return out.join(headlines(head.select("doc_id", "pos", "text"), named, out.select("doc_id", "city")), "doc_id", "left")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import views
-from ..functions import readings
-from ..operators import case_file, dossier, layout, search
+from ..functions import readings, repair
+from ..operators import case_file, contracts, cv, dossier, layout, search
 from ..views import key_sql, with_views
-from . import Catalogue
+from . import Catalogue, people, whole
 
 C = Catalogue()
 
@@ -99,3 +99,24 @@ SELECT id, round(CASE WHEN w * h * (300 / 72.0) * (300 / 72.0) <= 4500000 THEN 3
 def page_scales(spark: SparkSession, d: str) -> DataFrame:
     w, h = (100 + F.col("p_size") * 60).cast("double"), 100 + F.col("p_retailprice")
     return views.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(readings.render_scale(w, h), 6).alias("render"), F.round(readings.working_scale(w, h), 6).alias("working"))
+
+
+@C.add()
+def cv_record_documents(spark: SparkSession, d: str) -> DataFrame:
+    """One record for each text; tests/test_cv.py has literal ones."""
+    mine = spark.createDataFrame(list(people.CV.items()), "doc_id int, text string")
+    out = cv.cvs(whole.texts(spark, d, mine))
+    return out.withColumns({c: F.to_json(c) for c, kind in out.dtypes if kind.startswith("array")})
+
+
+@C.add()
+def contract_record_documents(spark: SparkSession, d: str) -> DataFrame:
+    """One record for each text; tests/test_geometry.py has literal ones."""
+    mine = spark.createDataFrame(list(people.CONTRACTS.items()), "doc_id int, text string")
+    return contracts.contracts(whole.texts(spark, d, mine))
+
+
+@C.add()
+def rebuilt_email_documents(spark: SparkSession, d: str) -> DataFrame:
+    """tests/test_experience.py holds the rule against plain Python."""
+    return whole.listed(spark, d, people.EMAILS).select("id", repair.rebuilt_email(F.col("x"), strict=True).alias("email"))
