@@ -62,14 +62,13 @@ SIGNED = r"atentamente|cordialmente|gerencia|firm[ao]\b|talento\s+humano|recurso
 
 
 @C.add(rf"""WITH v AS (SELECT c_custkey AS id, c_name AS x FROM customer UNION ALL SELECT -1 - id, x FROM {corpus.listed_sql(ODD)}),
-s AS (SELECT id, x, trim(coalesce(x, '')) AS s, trim({PLAIN_X}) AS plain, trim(regexp_replace({PLAIN_X}, '\s+', ' ', 'g')) AS folded FROM v),
+s AS (SELECT id, x, [t FOR t IN string_split_regex(trim(x), '[\s|_:]+') IF t != ''] AS w, trim(coalesce(x, '')) AS s, trim({PLAIN_X}) AS plain, trim(regexp_replace({PLAIN_X}, '\s+', ' ', 'g')) AS folded FROM v),
 g AS (SELECT *, length(s) < 3 OR regexp_matches(plain, '{SIGNED}') OR (length(s) <= 6 AND s = upper(s) AND NOT regexp_matches(plain, '[aeiou]')) OR (length(s) <= 3 AND NOT regexp_matches(plain, '[aeiou]')) AS garbage,
   trim(regexp_replace(x, '[\s|•*]+$', '')) AS v,
-  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(x), '(?i)oficio\s*(?:ha\s*)?[—_-]?\s*(?:que|sido|ha)[\s|_-]*', ' ', 'g'), '(?i)desempe\s*(?:ñ|n)ara\s*(?:el\s*)?trabajador\s*:?', ' ', 'g'),
-    '(?i)cargo\s*(?:a|que|u)?\s*', ' ', 'g'), '[|_]+', ' ', 'g'), '\s{{2,}}', ' ', 'g')) AS j FROM s)
+  regexp_replace(array_to_string(list_slice(w, list_position([translate(lower(t), 'áéíóúñ', 'aeioun') NOT IN ('cargo', 'u', 'a', 'oficio', 'que', 'ha', 'sido', 'desempenara', 'el', 'trabajador', 'v', 'o', '0', '1') FOR t IN w], true), CASE WHEN len(w) > 0 AND list_contains([translate(lower(t), 'áéíóúñ', 'aeioun') NOT IN ('cargo', 'u', 'a', 'oficio', 'que', 'ha', 'sido', 'desempenara', 'el', 'trabajador', 'v', 'o', '0', '1') FOR t IN w], true) THEN len(w) ELSE 0 END), ' '), '^(?:[Qq]ue|[Cc]argo|[Oo]ficio)([A-ZÁÉÍÓÚÑ]{{2}})', '\1') AS j FROM s)
 SELECT id, garbage, garbage OR regexp_matches(folded, 'memorando|llamado\s+de\s+atencion|asunto|para\b|de\b|fecha|distribuciones|ceso\s+humano|talento|recurso|emplead|trabajad')
     OR (regexp_matches(folded, '\b(?:el|la|los|las|sr|sra|ingenier[oa]|doctor[oa]|licenciad[oa])\b') AND len(string_split(folded, ' ')) < 3) AS garbage_name,
-  CASE WHEN length(v) >= 2 THEN v END AS value, CASE WHEN length(j) < 3 OR length(trim(regexp_replace(j, '^\s*[UAVuav1oO0]\s+', ''))) < 3 THEN x ELSE trim(regexp_replace(j, '^\s*[UAVuav1oO0]\s+', '')) END AS job FROM g""")
+  CASE WHEN length(v) >= 2 THEN v END AS value, CASE WHEN length(coalesce(j, '')) < 3 THEN x ELSE j END AS job FROM g""")
 def short_values(spark: SparkSession, d: str) -> DataFrame:
     given = views.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("x"))
     x = F.col("x")

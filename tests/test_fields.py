@@ -20,8 +20,8 @@ def docs(spark, *texts):
 
 
 PEOPLE = [
-    ("MARTHA LUCIA CAICEDO", "MARTHA LUCIA CAICEDO", True), ("Trabajador: 30 dias", "Trabajador dias", False), ("AV 68 x 40-15", "AV x -", False), ("Ana", "Ana", False), ("• Ana de la Prueba (CC 1)", "Ana de la Prueba", True),
-    ("Ana Prueba @gmail.com", "Ana Prueba .", False), ("Pago quincenal", "Pago quincenal", False), ("", "", False), (None, None, None),
+    ("MARTHA LUCIA CAICEDO", "MARTHA LUCIA CAICEDO", True), ("Trabajador: 30 dias", "dias", False), ("AV 68 x 40-15", "AV", False), ("Ana", "Ana", False), ("• Ana de la Prueba (CC 1)", "Ana de la Prueba", True),
+    ("Ana Prueba @gmail.com", "Ana Prueba", False), ("Trabajador: ANA DE LA PRUEBA 12", "ANA DE LA PRUEBA", True), ("g Ana O'Prueba, correo", "Ana O'Prueba", False), ("Pago quincenal", "Pago quincenal", False), ("", "", False), (None, None, None),
 ]
 
 
