@@ -74,7 +74,7 @@ def person_index(records: DataFrame) -> DataFrame:
     """
     low = F.lower("text")
     kind = F.when(F.col("detected").isin("unknown", "contract", "liquidacion"), evidence.index_kind(low))
-    entries = F.array_compact(F.flatten(F.collect_list(F.array(given(F.col("subject")), kind))))
+    entries = F.concat(F.collect_set(given(F.col("subject"))), F.collect_set(kind))  # distinct in each task already
     found = records.groupBy("folder").agg(
         F.count("*").alias("documents"), F.count_if(F.col("detected") == "contract").alias("contracts"), F.count_if(F.col("detected") == "cv").alias("cvs"),
         first_of(F.col("id_number")).alias("id_number"), first_of(F.col("position")).alias("position"), first_of(F.col("salary")).alias("salary"),
@@ -93,7 +93,7 @@ def person_sheet(records: DataFrame) -> DataFrame:
     worker_name is the longest of the memos', the folder's name if there is none.
     """
     points = sheet_points(F.col("candidate"))
-    merged = lambda f: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col("candidate")[f]))))
+    merged = lambda f: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.col("candidate")[f]))))
     memo = given(F.col("memo_name"))
     found = records.groupBy("folder").agg(
         best_candidate(points).alias("best"), F.max(F.when(F.col("candidate").isNotNull(), points)).alias("points"), merged("experience").alias("experience"), merged("education").alias("education"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
+from . import dictionary
 
 #: Fields that a requirement's type looks at.
 FIELDS = {"habilidad": ["skills"], "experiencia": ["headline", "skills"], "educacion": ["education"], "otro": ["skills", "headline", "education", "city"]}
@@ -38,28 +39,21 @@ def top_matches(scores: DataFrame, n: int = 10) -> DataFrame:
     return scores.withColumn("place", place).where(F.col("place") <= n)
 
 
-#: Distinct requirements in a block: what one row of a task holds of them.
-BLOCK = 2_000
-
-
 def best_matches(candidates: DataFrame, requirements: DataFrame, n: int = 10) -> DataFrame:
     """top_matches(match_scores()) without the pairs that meet nothing: vacancy_id, candidate_id, score, n_matched, place.
 
-    Each distinct requirement is looked for once in a candidate's fields, whatever the number of vacancies that have it; only
-    hits go on, and join the requirements of vacancies by their text. A vacancy with fewer than n such candidates is filled up
+    All distinct requirements are found in a candidate's fields in one reading (dictionary.occurrences()), whatever their number
+    and that of the vacancies that have them; only hits go on, and join the requirements of vacancies by their text. A vacancy with fewer than n such candidates is filled up
     with the first of the others, all of which are among the first 2 n candidates.
     """
     weight = F.greatest(F.coalesce("weight", F.lit(1)), F.lit(1)).cast("long")
     kind = F.when(F.col("req_type").isin(*FIELDS), F.col("req_type")).otherwise("otro")
     terms = requirements.where(F.trim("skill_or_req") != "").select("vacancy_id", weight.alias("weight"), fold(F.col("skill_or_req")).alias("term"), kind.alias("kind"))
     distinct = terms.select("kind", "term").distinct()
-    n_blocks = distinct.count() // BLOCK + 1
-    blocks = distinct.groupBy(F.pmod(F.xxhash64("kind", "term"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("kind", "term")).alias("listed"))
-
     text = {k: F.concat_ws(" ", *[fold(F.col(c)) for c in names]) for k, names in FIELDS.items()}
-    people = candidates.select(F.col("id").alias("candidate_id"), F.create_map(*[x for k, c in text.items() for x in (F.lit(k), c)]).alias("text"))
-    asked = people.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
-    hits = asked.select("candidate_id", F.explode(F.filter("listed", lambda t: F.contains(F.element_at("text", t["kind"]), t["term"]))).alias("t")).select("candidate_id", "t.*")
+    fields = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("text")) for k, c in text.items()])).alias("f")
+    texts = candidates.select(F.col("id").alias("candidate_id"), fields).select(F.struct("candidate_id", "f.kind").alias("id"), "f.text")
+    hits = dictionary.occurrences(texts, distinct, words=False).select("id.candidate_id", "id.kind", "term")
     earned = hits.join(terms, ["kind", "term"]).groupBy("vacancy_id", "candidate_id").agg(F.sum("weight").alias("earned"), F.count("*").alias("n_matched"))
 
     totals = terms.groupBy("vacancy_id").agg(F.sum("weight").alias("total"))
