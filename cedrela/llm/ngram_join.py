@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import UPPER_TO_LOWER, chunks, components, forget, joined, mix, pick, stage, table, utf8, word_hashes
+from .link_counts import link_counts
 
 #: Words of a shingle.
 WORDS = 5
@@ -322,8 +323,8 @@ def represented(at: DataFrame, turn: int) -> DataFrame:
     return stage(tests.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document (doc_id, text).
+def near_duplicates(docs: DataFrame, count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (and, with count_links, n_links) of every document (doc_id, text).
 
     Two documents link when 100 * intersection >= 75 * union of their shingle sets (shingles()); component_id is the
     smallest doc_id that links reach. Every link between different sets either is tested or joins what is already one
@@ -339,8 +340,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     In both, pairs are discarded whose sizes, or what follows their first common shingle, or the parities of whose cells
     (possible()) don't allow the similarity. Only what is left is compared set by set.
 
+    n_links is the number of other documents that a document links with: the copies of its own set, and those of every set
+    that is similar enough, out of a blocked product of the classes of each component (link_counts()).
+
     Cases: a null text is empty; documents without words have the empty set and link with nothing. Repeated rows are all
-    returned, and link if they have words. A null doc_id has a null component. Texts are processed whole; other columns are
+    returned, and link if they have words. A null doc_id has a null component, and links with copies only. Texts are processed whole; other columns are
     ignored; an empty table gives an empty result.
     """
     docs = pick(docs, "doc_id", "text")
@@ -378,15 +382,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     forget(docs.sparkSession)
     merged = components(links.union(more))
 
-    classes = described.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    classes = described.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"))
     merged = merged.withColumnRenamed("node", "class").join(classes, "class")
+    if count_links:
+        merged = stage(merged)
+        several = merged.select("component", "class", "n", "copies")
+        others = stage(link_counts(several, stage(sets_of(docs, described, several.select("class")))))
+        forget(docs.sparkSession)
     lowest = merged.groupBy("component").agg(F.min("least").alias("lowest"))
     named = merged.join(lowest, "component").select("class", "lowest")
-    named = classes.join(named, "class", "left").select("class", F.coalesce("lowest", "least").alias("component_id"))
+    named = classes.join(named, "class", "left").select("class", "copies", F.coalesce("lowest", "least").alias("component_id"))
+    if count_links:
+        named = named.join(others, "class", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n_links", F.lit(0)))
     out = described.join(named, "class", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), *more)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), count_links=True)
