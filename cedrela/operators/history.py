@@ -8,16 +8,25 @@ from pyspark.sql import functions as F
 from ..views import document_key
 
 
+#: Parts over which rows without a key are spread.
+SPREAD = 256
+
+
 def by_either_key(rows: DataFrame, employees: DataFrame, id_first: bool = True) -> DataFrame:
     """rows with `linked_id`: the employee by employee_id, else by normalised document.
 
     id_first: a row with an employee_id is never looked up by document, even if that id is unknown. Two equi-joins stand for
     the OR. Of employees that share a document, the smallest id counts.
     """
-    known = employees.select(F.col("id").alias("employee_id"), F.col("id").alias("by_id"))
+    known = employees.select(F.col("id").alias("employee_id"), F.col("id").alias("by_id"), F.col("id").isNull().cast("int").alias("_a"))
     numbers = employees.select(document_key(F.col("document_number")).alias("doc_key"), "id").where("doc_key != ''")
-    numbers = numbers.groupBy("doc_key").agg(F.min("id").alias("by_document"))
-    out = rows.withColumn("doc_key", document_key(F.col("worker_document_number"))).join(known, "employee_id", "left").join(numbers, "doc_key", "left")
+    numbers = numbers.groupBy("doc_key").agg(F.min("id").alias("by_document")).withColumn("_b", F.col("by_document").isNull().cast("int"))
+    # Rows without a key match nothing; so that they don't meet in one task, they are spread by what else they hold. The other
+    # side's 0 is no literal: Spark would take a literal out of the keys.
+    apart = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind]), F.lit(SPREAD)).cast("int") + 1
+    keyed = rows.withColumn("doc_key", document_key(F.col("worker_document_number")))
+    keyed = keyed.withColumns({"_a": F.when(F.col("employee_id").isNull(), apart).otherwise(0), "_b": F.when(F.coalesce("doc_key", F.lit("")) == "", apart).otherwise(0)})
+    out = keyed.join(known, ["employee_id", "_a"], "left").join(numbers, ["doc_key", "_b"], "left").drop("_a", "_b")
     other = F.when(F.col("employee_id").isNull(), F.col("by_document")) if id_first else F.col("by_document")
     return out.withColumn("linked_id", F.coalesce("by_id", other)).drop("doc_key", "by_id", "by_document")
 
