@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,7 +23,10 @@ def session(master: str | None = None, **more: str) -> SparkSession:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one that spark.checkpoint.dir names; where that is unset, under a temporary one."""
+    """A new folder under the shared one that spark.checkpoint.dir names; where that is unset, on one machine (tests), under a
+    temporary one."""
     if not spark.sparkContext.getCheckpointDir():
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
