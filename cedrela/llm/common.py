@@ -32,8 +32,10 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that `spark.checkpoint.dir` names; where it is unset (tests), a temporary one of this machine."""
+    """The folder that `spark.checkpoint.dir` names; where it is unset, on one machine (tests), a temporary one."""
     if not (found := spark.sparkContext.getCheckpointDir()):
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
         found = spark.sparkContext.getCheckpointDir()
     return found
