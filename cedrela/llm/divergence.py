@@ -23,7 +23,7 @@ TOP = 50
 #: Rows of the sketch; cells of a row at least and at most; cells for each document; cells of a chunk.
 DEPTH, LEAST, MOST, PER_DOC, CHUNK = 2, 1 << 16, 1 << 28, 64, 1 << 16
 #: Distinct terms of groups that a task holds before it passes them on; bytes of text in a batch.
-HELD, BATCH = 400_000, 1 << 20
+HELD, BATCH = 700_000, 1 << 20
 TERMS = kept_bytes(bytes(range(97, 123)))
 
 Counts = dict[tuple, Counter]
