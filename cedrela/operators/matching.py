@@ -39,6 +39,10 @@ def top_matches(scores: DataFrame, n: int = 10) -> DataFrame:
     return scores.withColumn("place", place).where(F.col("place") <= n)
 
 
+#: Letters of the requirements that are looked for in one reading.
+BLOCK = dictionary.BLOCK
+
+
 def best_matches(candidates: DataFrame, requirements: DataFrame, n: int = 10) -> DataFrame:
     """top_matches(match_scores()) without the pairs that meet nothing: vacancy_id, candidate_id, score, n_matched, place.
 
@@ -53,7 +57,7 @@ def best_matches(candidates: DataFrame, requirements: DataFrame, n: int = 10) ->
     text = {k: F.concat_ws(" ", *[fold(F.col(c)) for c in names]) for k, names in FIELDS.items()}
     fields = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("text")) for k, c in text.items()])).alias("f")
     texts = candidates.select(F.col("id").alias("candidate_id"), fields).select(F.struct("candidate_id", "f.kind").alias("id"), "f.text")
-    hits = dictionary.occurrences(texts, distinct, words=False).select("id.candidate_id", "id.kind", "term")
+    hits = dictionary.occurrences(texts, distinct, words=False, block=BLOCK).select("id.candidate_id", "id.kind", "term")
     earned = hits.join(terms, ["kind", "term"]).groupBy("vacancy_id", "candidate_id").agg(F.sum("weight").alias("earned"), F.count("*").alias("n_matched"))
 
     totals = terms.groupBy("vacancy_id").agg(F.sum("weight").alias("total"))

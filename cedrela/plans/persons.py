@@ -14,10 +14,11 @@ from .fields import PLAIN
 C = Catalogue()
 
 NAME = r"^\s*(\S+\s+\S+\s+\S+)"
+NAMED = f"regexp_extract(coalesce(text, ''), '{NAME}', 1)"
 STOP = ", ".join(f"'{w}'" for w in names.STOP)
 GROUPS = rf"""RECURSIVE doc AS (
   SELECT doc_id, source, lang, n_chars, text, CASE WHEN lang = 'de' THEN CAST(n_chars AS VARCHAR) END AS number,
-    list_sort(list_distinct([t FOR t IN string_split_regex({PLAIN.format("regexp_extract(coalesce(text, ''), '^\s*(\S+\s+\S+\s+\S+)', 1)")}, '[^a-z]+') IF length(t) >= 3 AND t NOT IN ({STOP})])) AS t
+    list_sort(list_distinct([t FOR t IN string_split_regex({PLAIN.format(NAMED)}, '[^a-z]+') IF length(t) >= 3 AND t NOT IN ({STOP})])) AS t
   FROM documents
 ), named AS (SELECT *, nullif(array_to_string(t, ' '), '') AS label FROM doc
 ), pair AS (SELECT DISTINCT a.label, a.t[i] || ' ' || a.t[j] AS key FROM (SELECT DISTINCT label, t FROM named) a, unnest(range(1, 8)) x(i), unnest(range(1, 8)) y(j) WHERE i < j AND j <= len(a.t)
