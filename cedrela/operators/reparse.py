@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify
+from ..functions.text import held
 from . import parsers
 
 Parser = Callable[[DataFrame], DataFrame]
@@ -27,20 +28,22 @@ PARSERS: dict[str, Parser] = {
 def reparsed(docs: DataFrame, by_kind: Mapping[str, Parser] | None = None) -> DataFrame:
     """doc_id, category, record (variant) of texts (doc_id, text) that have a parser.
 
-    Each parser runs on the texts of its kinds only; what it gives for a text, without doc_id, is the record. Texts are
-    classified once for each parser, from columns that are there, so nothing is shuffled.
+    Texts are read and classified once. The parsers follow each other over the same rows, each with the texts of its kinds and
+    null for the others, and what it gives for a text, without doc_id, is the record: a parser gives one row for each doc_id,
+    which it passes on.
     """
     by_parser: dict[Parser, list[str]] = {}
     for kind, parser in (by_kind or PARSERS).items():
         by_parser.setdefault(parser, []).append(kind)
-    known = classify.classified(docs.select("doc_id", "text"))
-    parts = []
+    known = classify.classified(docs.select("doc_id", "text")).where(F.col("category").isin([k for kinds in by_parser.values() for k in kinds]))
+    rows = known.withColumn("record", F.lit(None).cast("variant"))
     for parser, kinds in by_parser.items():
-        own = known.where(F.col("category").isin(kinds)).select(F.struct("doc_id", "category").alias("doc_id"), "text")
-        found = parser(own)
-        fields = [c for c in found.columns if c != "doc_id"]
-        parts.append(found.select("doc_id.*", F.to_variant_object(F.struct(*fields)).alias("record")))
-    return reduce(DataFrame.unionByName, parts)
+        own = F.col("category").isin(kinds)
+        found = parser(rows.select(F.struct("doc_id", "category", "text", "record").alias("doc_id"), F.when(own, F.col("text")).alias("text")))
+        fields = F.struct(*[c for c in found.columns if c != "doc_id"])
+        record = F.when(F.col("doc_id.category").isin(kinds), F.to_variant_object(fields)).otherwise(F.col("doc_id.record"))
+        rows = held(found, _record=record).select("doc_id.doc_id", "doc_id.category", "doc_id.text", F.col("_record").alias("record"))
+    return rows.select("doc_id", "category", "record")
 
 
 def distinct_records(rows: DataFrame, *key: str) -> DataFrame:

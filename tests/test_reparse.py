@@ -28,3 +28,10 @@ def test_the_first_of_equal_records_stays(spark):
     rows = sorted((r["k"], tuple(r["pos"]), r["j"]) for r in reparse.united(parts, "k").select("k", "pos", F.coalesce(F.to_json("record"), F.lit("-")).alias("j")).collect())
     same = '{"a":1,"b":"x"}'
     assert rows == [(1, (0, 1), same), (1, (0, 3), "-"), (1, (0, 4), "-"), (1, (1, 9), '{"a":2}'), (2, (0, 1), same)]
+
+
+def test_texts_are_classified_once(spark):
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    plan = reparse.reparsed(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("carta de renuncia") == 1
+    assert plan.count("translate(") <= 1 + len(set(reparse.PARSERS.values())) + 1  # classification, each parser, lines of functions
