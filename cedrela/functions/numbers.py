@@ -11,6 +11,8 @@ AMOUNT = r"\$?\s*([0-9][0-9.,]{3,})"
 LABELLED_ID = r"(?:cc|c\.c\.|cedula|identificacion|documento)(?:\s+de\s+ciudadania)?\s*(?:no\.?|n)?\s*[:#.-]?\s*([0-9][0-9. -]{5,13}[0-9])"
 DOTTED_ID = r"(?:^|[^0-9.])([0-9]{1,3}(?:\.[0-9]{3}){2,3})(?:$|[^0-9.])"
 BARE_ID = r"(?:^|[^0-9.])([0-9]{8,10})(?:$|[^0-9.])"
+#: Stands in each of the three, and is quicker to look for.
+ANY_ID = "[0-9][0-9. -]{5}"
 YEARS = r"(?:19|20)[0-9]{2}\s*(?:-|a|al|hasta|to)\s*(?:(?:19|20)[0-9]{2}|presente|actualidad|actual|present)"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\) ?)?[0-9][0-9 .()-]{5,20}[0-9]"
 TAX_ID = r"^[0-9]{1,3}(?:[.,][0-9]{3}){2}-[0-9]$"
@@ -65,7 +67,7 @@ def document_in_text(folded: Column) -> Column:
     """An identity number: after a label (7 to 11 digits), else dotted, else bare, the last two not starting with 3."""
     free = lambda x: bind(x, lambda v: F.when(~v.startswith("3") & F.length(v).between(7, 11), v))
     labelled = bind(digits(_found(folded, LABELLED_ID)), lambda v: F.when(F.length(v).between(7, 11), v))
-    return F.coalesce(labelled, free(digits(_found(folded, DOTTED_ID))), free(_found(folded, BARE_ID)))
+    return F.when(folded.rlike(ANY_ID), F.coalesce(labelled, free(digits(_found(folded, DOTTED_ID))), free(_found(folded, BARE_ID))))
 
 
 def phone(text: Column, other_than: Column | None = None) -> Column:
