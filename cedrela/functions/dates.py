@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 #: Months and numbers as words.
 MONTHS = ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"]
 NUMBERS = [
@@ -41,15 +47,26 @@ def _part(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def _match(text: Column, pattern: str, f: Callable[[Column], Column], fits: Column | None = None) -> Column:
+    """f of what the pattern matches first, null without one. The text is searched once, and only where it `fits`; the groups
+    are those of the short match, which the pattern matches alike."""
+    found = F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))
+    return bind(found if fits is None else F.when(fits, found), f)
+
+
 def full_year(text: Column) -> Column:
     return F.when(F.length(text) == 2, F.concat(F.lit("20"), text)).otherwise(text)
 
 
 def textual_date(folded: Column) -> Column:
     """`1 de mayo de 2023`, `primero de mayo del 2023`."""
-    word = _part(folded, TEXTUAL, 1)
-    day = F.coalesce(F.try_to_number(word, F.lit("99")).cast("int"), _lookup(DAY_NUMBER, word))
-    return iso(_part(folded, TEXTUAL, 3), _lookup(MONTH_NUMBER, _part(folded, TEXTUAL, 2)), day)
+
+    def date(found: Column) -> Column:
+        word = _part(found, TEXTUAL, 1)
+        day = F.coalesce(F.try_to_number(word, F.lit("99")).cast("int"), _lookup(DAY_NUMBER, word))
+        return iso(_part(found, TEXTUAL, 3), _lookup(MONTH_NUMBER, _part(found, TEXTUAL, 2)), day)
+
+    return _match(folded, TEXTUAL, date, reduce(or_, (F.contains(folded, F.lit(m)) for m in MONTH_NUMBER)))
 
 
 def normal_date(folded: Column) -> Column:
@@ -71,15 +88,15 @@ def loose_date(folded: Column) -> Column:
     """Form B: anywhere in the text; ranges are checked and the year's first digit is repaired."""
     x = F.trim(folded)
     number = lambda c: F.expr("try_cast(NULL AS INT)") if c is None else c.cast("int")
-    y = iso(repair_year(number(_part(x, YEAR_FIRST, 1))), _part(x, YEAR_FIRST, 2), _part(x, YEAR_FIRST, 3))
-    d = iso(repair_year(number(full_year(_part(x, DAY_FIRST, 3)))), _part(x, DAY_FIRST, 2), _part(x, DAY_FIRST, 1))
+    y = _match(x, YEAR_FIRST, lambda m: iso(repair_year(number(_part(m, YEAR_FIRST, 1))), _part(m, YEAR_FIRST, 2), _part(m, YEAR_FIRST, 3)))
+    d = _match(x, DAY_FIRST, lambda m: iso(repair_year(number(full_year(_part(m, DAY_FIRST, 3)))), _part(m, DAY_FIRST, 2), _part(m, DAY_FIRST, 1)))
     return F.coalesce(textual_date(x), y, d)
 
 
 def first_date(text: Column) -> Column:
     """The first d/m/y of a text as y-m-d, not checked against the calendar."""
-    pad = lambda k: F.lpad(_part(text, DAY_FIRST, k), 2, "0")
-    return F.concat(full_year(_part(text, DAY_FIRST, 3)), F.lit("-"), pad(2), F.lit("-"), pad(1))
+    pad = lambda m, k: F.lpad(_part(m, DAY_FIRST, k), 2, "0")
+    return _match(text, DAY_FIRST, lambda m: F.concat(full_year(_part(m, DAY_FIRST, 3)), F.lit("-"), pad(m, 2), F.lit("-"), pad(m, 1)))
 
 
 def add_months_overflow(day: Column, months: Column) -> Column:
@@ -102,8 +119,12 @@ def term_months(folded: Column) -> Column:
 
 def date_range(folded: Column) -> Column:
     """struct(start, end, current): the years of a range; end is Actual for one that goes on."""
-    now = _part(folded, RANGE, 3).isNotNull()
-    return F.struct(_part(folded, RANGE, 1).alias("start"), F.when(now, "Actual").otherwise(_part(folded, RANGE, 2)).alias("end"), now.alias("current"))
+
+    def span(found: Column) -> Column:
+        now = _part(found, RANGE, 3).isNotNull()
+        return F.struct(_part(found, RANGE, 1).alias("start"), F.when(now, "Actual").otherwise(_part(found, RANGE, 2)).alias("end"), now.alias("current"))
+
+    return _match(folded, RANGE, span, folded.rlike(YEAR))
 
 
 def last_year(text: Column) -> Column:
