@@ -52,11 +52,13 @@ def find_place(text: Column, places: list[str] | None = None) -> Column:
 def fuzzy_place(text: Column, places: list[str] | None = None) -> Column:
     """Of single-word places, the one within an eighth of its letters (one at least) of a word of the text; the nearest,
     then the first in the text."""
-    words = F.filter(F.split(fold(text), "[^a-z]+"), lambda w: F.length(w) >= 4)
+    words = F.array_distinct(F.filter(F.split(fold(text), "[^a-z]+"), lambda w: F.length(w) >= 4))  # in the order of their first places
     single = [p for p in places or PLACES if " " not in p]
 
     def near(w: Column, i: Column) -> Column:
-        one = [F.when(F.levenshtein(w, F.lit(_folded(p))) <= max(1, len(p) // 8), F.struct(F.levenshtein(w, F.lit(_folded(p))).alias("d"), i.alias("i"), F.lit(p).alias("place"))) for p in single]
+        # Edits beyond the bound aren't counted out: -1.
+        d = lambda p: F.levenshtein(w, F.lit(_folded(p)), max(1, len(p) // 8))
+        one = [F.when(d(p) >= 0, F.struct(d(p).alias("d"), i.alias("i"), F.lit(p).alias("place"))) for p in single]
         return F.array_min(F.array(*one))
 
     return F.array_min(F.transform(words, near))["place"]
