@@ -13,6 +13,8 @@ from ..functions.text import fold
 
 #: Letters of the terms in one automaton (some 100 bytes each in a worker); more terms take several passes.
 BLOCK = 400_000
+#: Rows of a table of terms that are broadcast; more are joined by a shuffle.
+SENT = 200_000
 #: Room for a letter in a transition's number.
 LETTERS = 21
 
@@ -114,6 +116,13 @@ def occurrences(texts: DataFrame, terms: DataFrame, words: bool = True, block: i
     return out
 
 
+def with_terms(found: DataFrame, terms: DataFrame, *on: str) -> DataFrame:
+    """found, which may be many more rows than Spark expects of it, joined with what belongs to its terms. It is never
+    broadcast; the terms are if they are few."""
+    few = terms.limit(SENT + 1).count() <= SENT
+    return found.join(F.broadcast(terms) if few else terms.hint("merge"), list(on))
+
+
 def folded(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.withColumn(name, fold(F.col(column)))
 
@@ -121,14 +130,14 @@ def folded(df: DataFrame, column: str, name: str) -> DataFrame:
 def first_place(texts: DataFrame, places: DataFrame) -> DataFrame:
     """id, place: the place (of a table, column place) that stands first in each text; of those that begin there the longest."""
     named = folded(places, "place", "term").groupBy("term").agg(F.min("place").alias("place"))
-    met = occurrences(folded(texts, "text", "text"), named).join(named, "term")
+    met = with_terms(occurrences(folded(texts, "text", "text"), named), named, "term")
     return met.groupBy("id").agg(F.min_by("place", F.struct("first", -F.length("term"), "place")).alias("place"))
 
 
 def tagged(texts: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """id, skills: the skills (of a table: nth, category, skill) that stand in each text as words, in the table's order."""
     terms = folded(taxonomy, "skill", "term")
-    met = occurrences(folded(texts, "text", "text"), terms).join(terms, "term")
+    met = with_terms(occurrences(folded(texts, "text", "text"), terms), terms, "term")
     return met.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "category", "skill"))), lambda x: F.struct(x["category"].alias("category"), x["skill"].alias("skill"))).alias("skills"))
 
 
@@ -141,7 +150,7 @@ def families(titles: DataFrame, terms: DataFrame, least: int = 5) -> DataFrame:
     wanted = folded(terms, "term", "term").groupBy("term").agg(F.min("family").alias("family"))
     distinct = title.select("title").where("title != ''").distinct()
     exact = distinct.join(wanted, F.col("title") == F.col("term")).select("title", "family", F.lit(0).alias("way"), F.lit(0).alias("size"), "term")
-    within = occurrences(distinct.select(F.col("title").alias("id"), F.col("title").alias("text")), wanted.where(F.length("term") >= least), words=False).join(wanted, "term")
+    within = with_terms(occurrences(distinct.select(F.col("title").alias("id"), F.col("title").alias("text")), wanted.where(F.length("term") >= least), words=False), wanted, "term")
     both = exact.unionByName(within.select(F.col("id").alias("title"), "family", F.lit(1).alias("way"), (-F.length("term")).alias("size"), "term"))
     return title.join(both.groupBy("title").agg(F.min_by("family", F.struct("way", "size", "term")).alias("family")), "title").select("id", "family")
 

@@ -58,7 +58,7 @@ def best_matches(candidates: DataFrame, requirements: DataFrame, n: int = 10) ->
     fields = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("text")) for k, c in text.items()])).alias("f")
     texts = candidates.select(F.col("id").alias("candidate_id"), fields).select(F.struct("candidate_id", "f.kind").alias("id"), "f.text")
     hits = dictionary.occurrences(texts, distinct, words=False, block=BLOCK).select("id.candidate_id", "id.kind", "term")
-    earned = hits.join(terms, ["kind", "term"]).groupBy("vacancy_id", "candidate_id").agg(F.sum("weight").alias("earned"), F.count("*").alias("n_matched"))
+    earned = dictionary.with_terms(hits, terms, "kind", "term").groupBy("vacancy_id", "candidate_id").agg(F.sum("weight").alias("earned"), F.count("*").alias("n_matched"))
 
     totals = terms.groupBy("vacancy_id").agg(F.sum("weight").alias("total"))
     first = candidates.select(F.col("id").alias("candidate_id")).orderBy("candidate_id").limit(2 * n).agg(F.collect_list("candidate_id").alias("ids"))

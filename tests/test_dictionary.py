@@ -68,3 +68,17 @@ def test_words_that_few_texts_have(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "a b"), (3, "a a d-e"), (4, ""), (5, None)], "id long, text string")
     got = sorted((r["id"], r["word"], r["docs"]) for r in dictionary.rarest_words(df, 2).collect())
     assert got == [(1, "b", 2), (1, "c", 1), (2, "a", 3), (2, "b", 2), (3, "d", 1), (3, "e", 1)]
+
+
+def test_what_is_found_is_never_broadcast(spark):
+    found = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "id long, term string")
+    terms = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "term string, weight int")
+    rows = {(r["id"], r["weight"]) for r in dictionary.with_terms(found, terms, "term").collect()}
+    assert rows == {(i, w) for i in range(40) for w in ((1,) if i % 2 == 0 else (2, 3))}
+    few = spark.range(20).selectExpr("id", "CAST(id AS STRING) AS skills", "'' AS headline", "'' AS education", "'' AS city")
+    asked = spark.createDataFrame([(1, "1", 2, "habilidad")], "vacancy_id int, skill_or_req string, weight int, req_type string")
+    from cedrela.operators import matching
+
+    plan = matching.best_matches(few, asked)._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.split("\n") if "BroadcastHashJoin [kind" in line]
+    assert joins and all("BuildRight" in line for line in joins)
