@@ -21,7 +21,7 @@ TOP = 0.25
 LINK = "doc_id {kind}, label_pos long, value_pos long, way string"
 
 
-def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows in the same order, in tables of some batches' size in which no page is cut."""
     rest: pa.Table | None = None
     for batch in batches:
@@ -93,7 +93,7 @@ def partners(lines: DataFrame, is_label: Column) -> DataFrame:
     sides = sides.where("doc_id IS NOT NULL AND page IS NOT NULL AND y IS NOT NULL AND y2 IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_pages(batches):
+        for rows in whole_pages(batches):
             column = lambda c: rows.column(c).to_numpy()  # noqa: B023, E731
             found = _partners(_page_numbers(rows), column("col"), column("y"), column("y2"), rows.column("label").to_numpy(), column("pos"))
             label, value, way = zip(*found) if found else ((), (), ())

@@ -1,14 +1,19 @@
-"""Words with boxes to rows, columns and lines in reading order. Geometry is a fold over a page, so it runs once for each page."""
+"""Words with boxes to rows, columns and lines in reading order. Geometry is a fold over a page; tasks go through many sorted pages
+at a time."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate, pairwise
 from statistics import median
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .geometry import whole_pages
+
 # Thresholds of the geometry.
 OVERLAP, BAND = 0.4, 2.0
 BINS, GAP, SIDE, LEAST_ROWS, ROW_SHARE, LEAST_WORDS, TOP = 240, 0.03, 0.15, 4, 0.2, 14, 0.28
@@ -25,57 +30,73 @@ def clean_words(words: DataFrame) -> DataFrame:
     return kept.select("doc_id", "page", "seq", F.trim("text").alias("text"), "x", "y", size("width"), size("height"), "font_size", "is_bold", sure.alias("confidence"), (sure < 0.6).alias("uncertain"))
 
 
-def cluster_rows(page: pd.DataFrame) -> pd.DataFrame:
-    """The words of a page with their row: from top to bottom, a word joins the row that it overlaps by more than OVERLAP of
-    the smaller height; a row's band grows to BAND typical heights at most."""
-    page = page.sort_values(["y", "x", "seq"], kind="stable")
-    typical = median(page["height"]) if len(page) else 1.0
-    bands: list[tuple[float, float]] = []
-    row = []
-    for y, h in zip(page["y"], page["height"]):
-        fits = [(min(b, y + h) - max(a, y), i) for i, (a, b) in enumerate(bands) if min(b, y + h) - max(a, y) > OVERLAP * min(h, b - a)]
+def by_page(words: DataFrame, column: str, used: Sequence[str], each: Callable[..., list[int]]) -> DataFrame:
+    """words with an integer column: what `each` gives for the values of the columns `used` of a page, in the order of y, x, seq.
+
+    Pages come sorted and are cut out of whole batches, so a page costs no more than its words do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_pages(batches):
+            keys = list(zip(rows.column("doc_id").to_pylist(), rows.column("page").to_pylist()))
+            values = [rows.column(c).to_pylist() for c in used]
+            cuts = [0, *(i for i, (a, b) in enumerate(pairwise(keys), 1) if a != b), len(keys)]
+            out = [x for a, b in pairwise(cuts) for x in each(*(v[a:b] for v in values))]
+            yield from rows.append_column(column, pa.array(out, pa.int32())).combine_chunks().to_batches()
+
+    order = [F.asc_nulls_last(c) for c in ("y", "x", "seq")]
+    return words.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", *order).mapInArrow(run, T.StructType([*words.schema.fields, T.StructField(column, T.IntegerType())]))
+
+
+def cluster_rows(ys: list[float], heights: list[float]) -> list[int]:
+    """The rows of a page's words, which come by y, x and seq: from top to bottom, a word joins the row that it overlaps by more
+    than OVERLAP of the smaller height; a row's band grows to BAND typical heights at most."""
+    typical = median(heights)
+    bands: dict[int, tuple[float, float]] = {}  # those that end below the word: no other can be joined any more
+    row, n = [], 0
+    for y, h in zip(ys, heights):
+        bands = {i: (a, b) for i, (a, b) in bands.items() if b > y}
+        fits = [(min(b, y + h) - max(a, y), i) for i, (a, b) in bands.items() if min(b, y + h) - max(a, y) > OVERLAP * min(h, b - a)]
         if fits:
             i = max(fits, key=lambda f: (f[0], -f[1]))[1]
             a, b = min(bands[i][0], y), max(bands[i][1], y + h)
             if b - a <= BAND * typical:
                 bands[i] = a, b
         else:
-            i = len(bands)
-            bands.append((y, y + h))
+            i, n = n, n + 1
+            bands[i] = y, y + h
         row.append(i)
-    return page.assign(row=row)
+    return row
 
 
 def rows_of(words: DataFrame) -> DataFrame:
-    def each(page: pd.DataFrame) -> pd.DataFrame:
-        return cluster_rows(page)
-
-    return words.groupBy("doc_id", "page").applyInPandas(each, T.StructType([*words.schema.fields, T.StructField("row", T.IntegerType())]))
+    return by_page(words, "row", ["y", "height"], cluster_rows)
 
 
-def gutter(page: pd.DataFrame, width: float) -> float | None:
+def gutter(xs: list[float], ys: list[float], widths: list[float], rows: list[int], width: float) -> float | None:
     """The middle of the widest vertical gap that parts a page into two columns with enough words and rows each; without the
     top of the page if a title spans it; else null."""
     for skip in (0.0, TOP):
-        top = page["y"].min() + skip * (page["y"].max() - page["y"].min()) if len(page) else 0
-        part = page[page["y"] >= top]
+        top = min(ys) + skip * (max(ys) - min(ys)) if ys else 0
+        part = [(x, w, r) for x, y, w, r in zip(xs, ys, widths, rows) if y >= top]
         if len(part) < LEAST_WORDS:
             return None
-        used = [0] * BINS
-        for x, w in zip(part["x"], part["width"]):
-            for k in range(max(0, int(x / width * BINS)), min(BINS - 1, int((x + w) / width * BINS)) + 1):
-                used[k] += 1
+        change = [0] * (BINS + 1)
+        for x, w, _ in part:
+            first, last = max(0, int(x / width * BINS)), min(BINS - 1, int((x + w) / width * BINS))
+            if first <= last:
+                change[first] += 1
+                change[last + 1] -= 1
         best, begin = None, None
-        for k, n in enumerate([*used, 1]):
+        for k, n in enumerate([*accumulate(change[:BINS]), 1]):
             if n == 0:
                 begin = k if begin is None else begin
             elif begin is not None:
-                middle = (begin + k) / 2 / BINS * width
-                left = part["x"] + part["width"] / 2 < middle
-                share, rows = left.mean(), part["row"].nunique()
-                sides = min(part[left]["row"].nunique(), part[~left]["row"].nunique())
-                if k - begin >= GAP * BINS and SIDE <= share <= 1 - SIDE and sides >= max(LEAST_ROWS, ROW_SHARE * rows) and (best is None or k - begin > best[0]):
-                    best = k - begin, middle
+                if k - begin >= GAP * BINS and (best is None or k - begin > best[0]):
+                    middle = (begin + k) / 2 / BINS * width
+                    left, right = [r for x, w, r in part if x + w / 2 < middle], [r for x, w, r in part if not x + w / 2 < middle]
+                    share, sides = len(left) / len(part), min(len(set(left)), len(set(right)))
+                    if SIDE <= share <= 1 - SIDE and sides >= max(LEAST_ROWS, ROW_SHARE * len({*left, *right})):
+                        best = k - begin, middle
                 begin = None
         if best:
             return best[1]
@@ -85,14 +106,13 @@ def gutter(page: pd.DataFrame, width: float) -> float | None:
 def columns_of(rows: DataFrame, page_width: float) -> DataFrame:
     """Words with `col`: 0 left or the only one, 1 right, -1 across the gutter."""
 
-    def each(page: pd.DataFrame) -> pd.DataFrame:
-        middle = gutter(page, page_width)
+    def each(xs: list[float], ys: list[float], widths: list[float], rows: list[int]) -> list[int]:
+        middle = gutter(xs, ys, widths, rows, page_width)
         if middle is None:
-            return page.assign(col=0)
-        across = (page["x"] < middle) & (page["x"] + page["width"] > middle)
-        return page.assign(col=(page["x"] + page["width"] / 2 >= middle).astype(int).mask(across, -1))
+            return [0] * len(xs)
+        return [-1 if x < middle < x + w else int(x + w / 2 >= middle) for x, w in zip(xs, widths)]
 
-    return rows.groupBy("doc_id", "page").applyInPandas(each, T.StructType([*rows.schema.fields, T.StructField("col", T.IntegerType())]))
+    return by_page(rows, "col", ["x", "y", "width", "row"], each)
 
 
 def lines_of(words: DataFrame) -> DataFrame:

@@ -94,3 +94,12 @@ def test_scopes_by_height_and_the_top_of_the_page(spark):
     head = geometry.header_rows(found, F.lit(1000.0))
     assert sorted(r["pos"] for r in head.collect()) == [1, 2, 3, 5]
     assert [tuple(r) for r in geometry.largest_name(head).collect()] == [("d", "ANA PRUEBA DIAZ")]
+
+
+def test_many_pages_are_worked_on_at_a_time(spark):
+    from cedrela.operators import layout
+
+    words = spark.range(4000).selectExpr("concat('d', id DIV 8) AS doc_id", "CAST(0 AS INT) AS page", "CAST(id % 8 AS INT) AS seq", "'x' AS text", "CAST(10 * (id % 2) AS DOUBLE) AS x", "CAST(20 * (id % 8 DIV 2) AS DOUBLE) AS y", "5D AS width", "10D AS height")
+    found = layout.columns_of(layout.rows_of(words), 595.0)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["seq"] // 2 == r["row"], r["col"]) for r in found.collect()} == {(True, 0)} and found.count() == 4000
