@@ -6,7 +6,8 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from cedrela.operators import persons
+from cedrela.functions import names
+from cedrela.operators import grouping, persons
 
 SCHEMA = "doc_id long, pos long, name string, document_number string"
 
@@ -78,3 +79,23 @@ def test_record_of_a_person(spark):
     assert [(r["g"], [tuple(x) for x in r["experience"]]) for r in persons.experience(jobs, "g").collect()] == [("a", [("Jefe", "Uno", True), ("Auxiliar", "Dos", False)])]
     ties = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), ("c",)], "group string")
     assert tuple(persons.largest_group(ties).first()) == ("a", 2)
+
+
+def test_entity_groups_against_every_pair(spark):
+    rng = random.Random(7)
+    words = ["ana", "prueba", "lopez", "diaz", "ruiz", "de", "Ñáñez", "x"]
+    rows = [(i, rng.randrange(10_000), None if rng.random() < 0.05 else " ".join(rng.sample(words, rng.randrange(1, 5))), str(rng.randrange(25)) if rng.random() < 0.5 else None) for i in range(160)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    known = docs.where("document_number IS NOT NULL AND name IS NOT NULL").groupBy(F.col("document_number").alias("key")).agg(F.min_by("name", "pos").alias("known"), F.min("pos").alias("first"))
+    shared = F.size(F.array_intersect(names.name_tokens(F.col("name")), names.name_tokens(F.col("known")))) > 0
+    pairs = docs.where("document_number IS NULL AND name IS NOT NULL").join(known, names.same_person(F.col("name"), F.col("known")) & shared)
+    want = {r["doc_id"]: f"id:{r['key']}" for r in pairs.groupBy("doc_id").agg(F.min_by("key", F.struct("first", "key")).alias("key")).collect()}
+    got = {r["doc_id"]: r["group"] for r in grouping.entity_groups(docs).collect()}
+    assert want == {i: got[i] for i, _, _, number in rows if number is None and got[i].startswith("id:")}
+
+
+def test_entity_groups_meet_no_pair_of_names(spark):
+    rows = [(i, i, f"comun {chr(97 + i % 26) * 3} {chr(97 + i // 26 % 26) * 4}", str(i) if i % 2 else None) for i in range(4000)]
+    out = grouping.entity_groups(spark.createDataFrame(rows, SCHEMA))
+    said = out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 4000 and said.count("Aggregate [at") == 1 and "known_name" not in said
