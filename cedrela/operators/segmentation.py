@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_punctuation, fold_only
+from ..functions.text import clean_punctuation, fold_only, held
+from .persons import written
 
 #: Letters of a part; letters of a word that may be glued; documents that must have a part as a word.
 SHORTEST, LONGEST, GLUED, MIN_DOCS = 3, 9, 7, 3
@@ -18,10 +19,12 @@ EDGE = r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})"
 
 
 def words_of(docs: DataFrame) -> DataFrame:
-    """word, n, docs: folded words (a-z only) of texts (column text), how often and in how many rows they stand."""
-    words = docs.select(F.monotonically_increasing_id().alias("row"), F.explode(F.split(fold_only(F.col("text")), r"[^a-z]+")).alias("word")).where("word != ''")
-    each = words.groupBy("row", "word").agg(F.count("*").alias("n"))
-    return each.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    """word, n, docs: folded words (a-z only) of texts (column text), how often and in how many rows they stand. A text's
+    words count before they are shuffled: sorted, the first of equals counts for the text."""
+    sorted_words = F.array_sort(F.split(fold_only(F.col("text")), r"[^a-z]+"))
+    each = held(docs.select("text"), words=sorted_words).select(F.posexplode("words").alias("at", "word"), "words").where("word != ''")
+    first = (F.col("at") == 0) | (F.get("words", F.col("at") - 1) != F.col("word"))
+    return each.select("word", first.cast("long").alias("first")).groupBy("word").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
 
 
 def costs(counts: DataFrame) -> DataFrame:
@@ -49,15 +52,17 @@ def splits(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """word, parts, cost, own: the words of GLUED letters or more that cost less as a sequence of vocabulary words (SHORTEST
     to LONGEST letters, in min_docs documents or more) than as a word of their own.
 
-    Only distinct words are worked on: all their pieces meet the vocabulary in a join, whatever its size, and each word's
-    few pieces that are words go through best_split().
+    Only distinct words are worked on: their pieces meet the vocabulary in a join, whatever its size, and each word's
+    few pieces that are words go through best_split(). A piece that begins or ends nearer to an end of the word than the
+    shortest part is in no way through it, nor is one as dear as the word: both are left out.
     """
-    priced = costs(counts).persist()
+    priced = costs(written(counts))
     known = priced.where(F.length("word").between(SHORTEST, LONGEST) & (F.col("docs") >= min_docs)).select(F.col("word").alias("piece"), F.col("cost").alias("price"))
     glued = priced.where(F.length("word") >= GLUED).select("word", "cost")
-    begins = glued.select("word", "cost", F.explode(F.sequence(F.lit(0), F.length("word") - SHORTEST)).alias("begin"))
+    begins = glued.select("word", "cost", F.explode(F.sequence(F.lit(0), F.length("word") - SHORTEST)).alias("begin")).where((F.col("begin") == 0) | (F.col("begin") >= SHORTEST))
     ends = begins.select("*", F.explode(F.sequence(F.col("begin") + SHORTEST, F.least(F.col("begin") + LONGEST, F.length("word")))).alias("end"))
-    cut = ends.where("end - begin < length(word)").withColumn("piece", F.expr("substring(word, begin + 1, end - begin)")).join(known, "piece")
+    inner = ends.where((F.col("end") - F.col("begin") < F.length("word")) & ((F.col("end") == F.length("word")) | (F.col("end") <= F.length("word") - SHORTEST)))
+    cut = inner.join(known, F.expr("substring(word, begin + 1, end - begin)") == F.col("piece")).where("price < cost")
     each = cut.groupBy("word", "cost").agg(F.collect_list(F.struct("begin", "end", "price")).alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +90,11 @@ def cleaned(docs: DataFrame, found: DataFrame) -> DataFrame:
     cleaned. Rows are independent; a null text stays null. Texts meet the splits by word, and only words that are split come
     back to their text."""
     row = ["doc_id", "key"]  # rows equal in both are cleaned alike
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text", F.split("text", EDGE).alias("pieces"))
-    words = rows.select(*row, F.posexplode("pieces").alias("at", "piece")).where(F.length("piece") >= GLUED)
-    met = words.withColumn("word", fold_only(F.col("piece"))).join(found.select("word", "parts"), "word")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    words = rows.select(*row, F.posexplode(F.split("text", EDGE)).alias("at", "piece")).where(F.length("piece") >= GLUED)
+    met = words.withColumn("word", fold_only(F.col("piece"))).join(written(found.select("word", "parts")), "word")
     changed = met.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "key", "at", _cut(F.col("piece"), F.col("parts")).alias("as"))
     changed = changed.groupBy(*row).agg(F.map_from_entries(F.collect_set(F.struct("at", "as"))).alias("new")).withColumnRenamed("doc_id", "_id")
     out = rows.join(changed, (F.coalesce("doc_id", F.lit(-1)) == F.col("_id")) & (rows["key"] == changed["key"]), "left")
-    text = F.array_join(F.transform("pieces", lambda x, i: F.coalesce(F.try_element_at("new", i), x)), "")
+    text = F.array_join(F.transform(F.split("text", EDGE), lambda x, i: F.coalesce(F.try_element_at("new", i), x)), "")
     return out.select("doc_id", clean_punctuation(F.when(F.col("new").isNull(), F.col("text")).otherwise(text)).alias("text"), F.coalesce(F.size("new"), F.lit(0)).alias("separations"))

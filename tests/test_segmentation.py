@@ -62,3 +62,11 @@ def test_texts_against_plain_python(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert seg.splits(seg.words_of(none)).collect() == [] and seg.cleaned(none, seg.splits(seg.words_of(none))).collect() == []
+
+
+def test_words_are_counted_before_they_are_shuffled(spark):
+    """One exchange, by word, of partial sums; before, each text's words went through one of their own."""
+    df = spark.createDataFrame([(1, "uno dos uno"), (2, "uno"), (3, None)], "doc_id long, text string")
+    counts = seg.words_of(df)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, counts.collect())) == [("dos", 1, 1), ("uno", 3, 2)]
