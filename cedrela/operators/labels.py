@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, shapes
 from ..functions.numbers import phone
-from ..functions.text import fold, fold_only, similarity, strip_bullets, strip_years
+from ..functions.text import fold, fold_only, held, similar, strip_bullets, strip_years
 from . import lines
 from .people import education_level
 
@@ -33,13 +33,17 @@ CONTEXT = {
 LABEL_SIMILARITY, VALUE_LENGTH, VALUE_WORDS = 0.78, 90, 12
 
 
+def with_folded(rows: DataFrame) -> DataFrame:
+    """rows with `folded`, the line as rules compare it, computed once."""
+    return rows if "folded" in rows.columns else held(rows, folded=fold(F.col("text")))
+
+
 def in_scopes(rows: DataFrame, markers: tuple[str, ...] = WORKER_MARKERS) -> DataFrame:
     """rows with `scope`: employer before the first line that opens the worker's part, worker from there on; null where there
     is no such line. A part of one line is no part (null, too)."""
-    head = F.trim(F.regexp_replace(fold(F.col("text")), r"[:.]\s*$", ""))
-    opens = head.isin(*markers)
-    for m in markers:
-        opens = opens | head.startswith(f"{m} ") | head.startswith(f"{m}: ")
+    rows = with_folded(rows)
+    head = F.trim(F.regexp_replace("folded", r"[:.]\s*$", ""))
+    opens = F.when(F.col("folded").rlike(rf"^(?:{'|'.join(markers)})"), head.rlike(rf"^(?:{'|'.join(markers)})(?:\z|:? )"))
     all_rows = Window.partitionBy("doc_id")
     cut = F.min(F.when(opens, F.col("pos"))).over(all_rows)
     side = F.when(F.col("pos") < cut, "employer").when(F.col("pos") >= cut, "worker")
@@ -47,6 +51,10 @@ def in_scopes(rows: DataFrame, markers: tuple[str, ...] = WORKER_MARKERS) -> Dat
     return marked.withColumn("scope", F.when(F.count("*").over(Window.partitionBy("doc_id", "side")) >= 2, F.col("side"))).drop("side")
 
 
+#: A line of five words at most: what a label without its last sign may be.
+FEW_WORDS = r"^\s*+(?:\S++\s++){0,4}+\S*+\s*+$"
+
+
 def candidates(rows: DataFrame) -> DataFrame:
     """doc_id, pos, nth, scope, label (folded), value, alone: `label: value` pairs, and short lines that may be a label with
     the value on one of the next two lines (alone). Such a value has 2 to 90 characters, twelve words at most, no pair in it
@@ -58,11 +66,13 @@ def candidates(rows: DataFrame) -> DataFrame:
     near = rows.withColumn("n1", n1).withColumn("n2", n2)
     below = F.when(usable(F.col("n1")), F.col("n1")).when(usable(F.col("n2")), F.col("n2"))
     parts = F.filter(F.split(F.regexp_replace("text", r"[A-Za-z]+://\S*", ""), r"\s{2,}|\||•"), lambda p: p.rlike(pair))
-    pairs = F.transform(parts, lambda p, i: F.struct(i.alias("nth"), fold(F.substring_index(p, ":", 1)).alias("label"), F.trim(F.regexp_replace(p, "^[^:]*:", "")).alias("value"), F.lit(False).alias("alone")))
-    row = fold(F.regexp_replace(strip_bullets(F.col("text")), r"\s*[:.]$", ""))
-    head = F.struct(F.lit(0).alias("nth"), row.alias("label"), below.alias("value"), F.lit(True).alias("alone"))
-    heads = F.when((F.size(parts) == 0) & (shapes.n_words(row) <= 4) & (F.length(row) >= 3) & below.isNotNull(), F.array(head))
-    return near.select("doc_id", "pos", "scope", F.explode(F.coalesce(heads, pairs)).alias("c")).select("doc_id", "pos", "scope", "c.*")
+    near = held(near, parts=F.when(F.contains("text", F.lit(":")), parts).otherwise(F.array().cast("array<string>")), bare=strip_bullets(F.col("text")))
+    near = held(near, row=F.when((F.size("parts") == 0) & F.col("bare").rlike(FEW_WORDS), fold(F.regexp_replace("bare", r"\s*[:.]$", ""))))
+    near = held(near, below=F.when((F.length("row") >= 3) & (shapes.n_words(F.col("row")) <= 4), below))
+    pairs = F.transform("parts", lambda p, i: F.struct(i.alias("nth"), fold(F.substring_index(p, ":", 1)).alias("label"), F.trim(F.regexp_replace(p, "^[^:]*:", "")).alias("value"), F.lit(False).alias("alone")))
+    head = F.struct(F.lit(0).alias("nth"), F.col("row").alias("label"), F.col("below").alias("value"), F.lit(True).alias("alone"))
+    each = held(near, each=F.when(F.col("below").isNotNull(), F.array(head)).otherwise(pairs))
+    return each.select("doc_id", "pos", "scope", F.explode("each").alias("c")).select("doc_id", "pos", "scope", "c.*")
 
 
 def labelled_fields(found: DataFrame, fields: dict[str, list[str]], scopes: dict[str, str] | None = None, valid: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
@@ -72,46 +82,47 @@ def labelled_fields(found: DataFrame, fields: dict[str, list[str]], scopes: dict
     lines with the label alone, and misread labels (similarity of 0.78 or more) of pairs and of lines; then the first in the
     document. `valid` takes a field's value and returns whether it can be one: others are passed over.
     """
-    options = []
-    for field, labels in fields.items():
-        part, near = F.lit(False), F.lit(0.0)
+    alone, codes, options = F.col("alone"), [], []
+    for i, (field, labels) in enumerate(fields.items()):
+        part, near = F.lit(False), F.lit(False)
         for x in labels:
             part = part | F.col("label").startswith(f"{x} ") | F.col("label").endswith(f" {x}")
-            near = F.greatest(near, similarity(F.col("label"), F.lit(x)))
-        exact = F.col("label").isin(*labels)
-        alone = F.col("alone")
-        rank = F.when(exact & ~alone, 0).when(part & ~alone, 1).when(exact, 2).when((near >= LABEL_SIMILARITY) & ~alone, 3).when(near >= LABEL_SIMILARITY, 4)
+            near = near | similar(F.col("label"), x, LABEL_SIMILARITY)
+        codes.append(F.when(F.col("label").isin(*labels), 0).when(part & ~alone, 1).when(near, 2))
+        code = F.get("codes", F.lit(i))
+        rank = F.when(code == 0, F.when(alone, 2).otherwise(0)).when(code == 1, 1).otherwise(F.when(alone, 4).otherwise(3))
         test = (valid or {}).get(field)
         fits = F.lit(True) if test is None else F.coalesce(test(F.col("value")), F.lit(False))
         away = F.lit(0) if not scopes or field not in scopes else F.when(F.col("scope") == scopes[field], 0).otherwise(1)
-        options.append(F.when(rank.isNotNull() & fits, F.struct(F.lit(field).alias("field"), away.alias("away"), rank.alias("rank"))))
-    met = found.withColumn("o", F.explode(F.array_compact(F.array(*options))))
+        options.append(F.when(code.isNotNull() & fits, F.struct(F.lit(field).alias("field"), away.alias("away"), rank.alias("rank"))))
+    # Labels are compared once, and values only looked at under a label of the field.
+    said = held(found, codes=F.array(*codes)).where(F.exists("codes", lambda c: c.isNotNull()))
+    met = held(said, options=F.array_compact(F.array(*options))).withColumn("o", F.explode("options"))
     key = F.struct("o.away", "o.rank", "pos", "nth")
     return met.groupBy("doc_id").agg(*[F.min_by(F.when(F.col("o.field") == f, F.col("value")), F.when(F.col("o.field") == f, key)).alias(f) for f in fields])
 
 
 def name_above(rows: DataFrame, anchors: list[str]) -> DataFrame:
     """doc_id, name: of the two lines above the first one that begins with an anchor, the nearest that is a person's name."""
-    f, begins = fold(F.col("text")), F.lit(False)
-    for a in anchors:
-        begins = begins | f.rlike(rf"^{a}(?:$|[^a-z0-9])")
-    named = rows.withColumn("name", F.when(shapes.is_person(F.col("text")), shapes.clean_person(F.col("text"))))
-    above = named.withColumn("above", lines.nearest_above(F.col("name"), 2))
-    return above.where(begins).groupBy("doc_id").agg(F.min_by(F.coalesce("above", F.lit("")), "pos").alias("name")).where("name != ''")
+    rows, begins = with_folded(rows), F.col("folded").rlike(rf"^(?:{'|'.join(anchors)})(?:$|[^a-z0-9])")
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    above = rows.select("doc_id", "pos", "folded", *[F.lag("text", k).over(w).alias(f"up{k}") for k in (1, 2)]).where(begins)
+    name = lambda c: F.when(shapes.is_person(F.col(c)), shapes.clean_person(F.col(c)))
+    return above.groupBy("doc_id").agg(F.min_by(F.coalesce(name("up1"), name("up2"), F.lit("")), "pos").alias("name")).where("name != ''")
 
 
 def date_near(rows: DataFrame, labels: list[str]) -> DataFrame:
     """doc_id, day: the first date on a line with one of the labels, else on the next three lines, of which none after
     another label of a date counts. Lines without a date are passed over."""
-    f = fold(F.col("text"))
     w = Window.partitionBy("doc_id").orderBy("pos")
-    dated = rows.withColumn("d", F.coalesce(dates.textual_date(fold_only(F.col("text"))), dates.first_date(F.col("text")))).withColumn("mark", f.rlike(DATE_MARKS))
-    at = {k: (F.lead("d", k).over(w), F.lead("mark", k).over(w)) for k in (1, 2, 3)}
-    for k, (d, mark) in at.items():
-        dated = dated.withColumn(f"d{k}", d).withColumn(f"m{k}", F.coalesce(mark, F.lit(False)))
-    day = F.coalesce("d", "d1", F.when(~F.col("m1"), F.col("d2")), F.when(~F.col("m1") & ~F.col("m2"), F.col("d3")))
-    named = f.rlike(r"(?:^|\s)(?:" + "|".join(labels) + r")(?:$|[\s:])")
-    return dated.where(named & day.isNotNull()).groupBy("doc_id").agg(F.min_by(day, "pos").alias("day"))
+    rows = with_folded(rows)
+    named = F.col("folded").rlike(r"(?:^|\s)(?:" + "|".join(labels) + r")(?:$|[\s:])")
+    near = rows.select("doc_id", "pos", "text", "folded", *[F.lead("text", k).over(w).alias(f"down{k}") for k in (1, 2, 3)]).where(named)
+    day_in = lambda c: F.coalesce(dates.textual_date(fold_only(F.col(c))), dates.first_date(F.col(c)))
+    mark = lambda c: F.coalesce(fold(F.col(c)).rlike(DATE_MARKS), F.lit(False))
+    m1, m2 = mark("down1"), mark("down2")
+    day = F.coalesce(day_in("text"), day_in("down1"), F.when(~m1, day_in("down2")), F.when(~m1 & ~m2, day_in("down3")))
+    return held(near, day=day).where("day IS NOT NULL").groupBy("doc_id").agg(F.min_by("day", "pos").alias("day"))
 
 
 def _kind(label: Column, kinds: dict[str, tuple[str, ...]]) -> Column:
@@ -243,12 +254,13 @@ def contract_parties(docs: DataFrame, not_from: tuple[str, ...] = (), rows: Data
     found = labelled_fields(said if pairs is None else said.unionByName(pairs), PARTY_LABELS, scopes, valid)
     above = name_above(rows, BIRTH_LABELS + ["domicilio del trabajador", "correo del trabajador"]).withColumnRenamed("name", "above")
     others = F.array_sort(F.collect_list(F.when((F.col("scope") == "worker") & F.col("m").isNotNull(), F.struct("pos", "m"))))
-    mails = rows.withColumn("m", mail(F.col("text"))).groupBy("doc_id").agg(F.transform(others, lambda s: s["m"]).alias("mails"))
+    mails = held(rows.where("scope = 'worker' AND contains(text, '@')"), m=mail(F.col("text"))).where("m IS NOT NULL").groupBy("doc_id").agg(F.transform(others, lambda s: s["m"]).alias("mails"))
     start, end = date_near(rows if dated is None else dated, START_LABELS).withColumnRenamed("day", "start_date"), date_near(rows if dated is None else dated, END_LABELS).withColumnRenamed("day", "end_date")
     out = docs.select("doc_id", "text").dropDuplicates(["doc_id"])
     for part in (found, above, mails, start, end):
         out = out.join(part, "doc_id", "left")
-    tax = F.coalesce(shapes.tax_id(F.col("employer_tax_id")), shapes.tax_id_in(F.col("text")))
+    out = held(out, tax=F.coalesce(shapes.tax_id(F.col("employer_tax_id")), shapes.tax_id_in(F.col("text"))))
+    tax = F.col("tax")
     employer_mail = mail(F.col("employer_email"))
     labelled_mail = mail(F.col("worker_email"))
     own_mail = F.coalesce(F.when(~F.coalesce(labelled_mail == employer_mail, F.lit(False)), labelled_mail), F.try_element_at(F.filter("mails", lambda m: m != F.coalesce(employer_mail, F.lit(""))), F.lit(1)))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cedrela.functions import dictionaries
-from cedrela.operators import parsers
+from cedrela.operators import labels, parsers
 from cedrela.plans import whole
 
 
@@ -38,3 +38,11 @@ def test_terms_of_other_lengths_are_not_compared(spark, monkeypatch):
     monkeypatch.setattr(whole, "listed", lambda s, d, values: rows(s).select(F.col("doc_id").alias("id"), F.col("text").alias("x")))
     said = plan(whole.best_match_dictionary_documents(spark, ""))
     assert said.count("lower(") == 1 and said.count("CASE WHEN") >= len(whole.corpus.LEXICON)
+
+
+def test_labels_are_compared_once_and_lines_folded_once(spark):
+    found = spark.createDataFrame([(1, 0, 0, None, "correo", "a@b.co", False)], "doc_id int, pos int, nth int, scope string, label string, value string, alone boolean")
+    said = plan(labels.labelled_fields(found, labels.PARTY_LABELS))
+    assert said.count("levenshtein(") <= sum(map(len, labels.PARTY_LABELS.values()))
+    lines_ = spark.createDataFrame([(1, 0, "Trabajador"), (1, 1, "Fecha de nacimiento")], "doc_id int, pos int, text string")
+    assert plan(labels.name_above(labels.in_scopes(lines_), labels.BIRTH_LABELS)).count("explode(array(trim(regexp_replace(translate(") == 1
