@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import bind, fold
+from .text import bind, fold, holds_any
 
 # Terms of each job family (folded).
 FAMILIES = {
@@ -42,9 +42,12 @@ def bounded(term: str) -> str:
     return rf"(?:^|[^a-z0-9]){_folded(term)}(?:$|[^a-z0-9])"
 
 
-def find_place(text: Column, places: list[str] | None = None) -> Column:
-    """The place that stands first in the text; of those that begin there, the longest name."""
-    x = F.concat(F.lit(" "), F.regexp_replace(fold(text), "[^a-z0-9]+", " "), F.lit(" "))
+def find_place(text: Column, places: list[str] | None = None, folded: bool = False) -> Column:
+    """The place that stands first in the text; of those that begin there, the longest name. folded: the text has lower case and no
+    accents already."""
+    x = F.concat(F.lit(" "), F.regexp_replace(text if folded else fold(text), "[^a-z0-9]+", " "), F.lit(" "))
+    if folded:  # most texts hold no place's first word, and are done with here
+        x = F.when(holds_any(text, sorted({_folded(p).split()[0] for p in places or PLACES})), x)
     at = lambda x: [F.struct(F.instr(x, F.lit(f" {_folded(p)} ")).alias("at"), F.lit(-len(p)).alias("longest"), F.lit(p).alias("place")) for p in places or PLACES]
     return bind(x, lambda x: F.array_min(F.filter(F.array(*at(x)), lambda s: s["at"] > 0))["place"])
 
@@ -64,10 +67,14 @@ def fuzzy_place(text: Column, places: list[str] | None = None) -> Column:
     return F.array_min(F.transform(words, near))["place"]
 
 
-def skills(text: Column, taxonomy: dict[str, list[str]] | None = None) -> Column:
-    """array of (category, skill) whose terms stand in the text as words, in the taxonomy's order."""
+def skills(text: Column, taxonomy: dict[str, list[str]] | None = None, folded: bool = False) -> Column:
+    """array of (category, skill) whose terms stand in the text as words, in the taxonomy's order. folded: the text has lower case
+    and no accents already."""
     each = lambda x: [F.when(F.contains(x, F.lit(s)) & x.rlike(bounded(s)), F.struct(F.lit(c).alias("category"), F.lit(s).alias("skill"))) for c, ss in (taxonomy or SKILLS).items() for s in ss]
-    return bind(fold(text), lambda x: F.array_compact(F.array(*each(x))))
+    plain = fold(text)
+    if folded:  # most texts hold no term's first word, and are done with here
+        plain = F.when(holds_any(text, sorted({s.split()[0] for ss in (taxonomy or SKILLS).values() for s in ss})), F.regexp_replace(text, r"\s+", " ")).otherwise(F.when(text.isNotNull(), ""))
+    return bind(plain, lambda x: F.array_compact(F.array(*each(x))))
 
 
 def fuzzy_lookup(rows: DataFrame, column: str, terms: DataFrame, most: float = 0.18) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .evidence import plausible_email
 from .shapes import DOMAIN_SHAPE, KNOWN_DOMAIN, joined_mail
-from .text import EMAIL, bind, fold_only
+from .text import EMAIL, bind, fold_only, holds_any
 
 # Mail domains that are known, letters an @ is read as, and what words score.
 DOMAINS = ["gmail", "hotmail", "outlook", "yahoo", "live", "icloud"]
@@ -19,15 +19,16 @@ SEEDS = ["contrato", "termino", "fijo", "indefinido", "trabajador", "empleador",
 _END = rf"((?:{'|'.join(DOMAINS)})\.[a-z]{{2,3}}(?:\.[a-z]{{2}})?)"
 
 
-def email_in(text: Column) -> Column:
+def email_in(text: Column, folded: Column | None = None) -> Column:
     """The e-mail of a text in lower case: as written; else with one or two misread letters before a known domain taken for
-    the @; else a word, a blank and a known domain. Prose without a known domain stays without one."""
-    x = fold_only(text)
+    the @; else a word, a blank and a known domain. Prose without a known domain stays without one. folded: fold_only(text), if
+    it is there already."""
+    x = fold_only(text) if folded is None else folded
     plain = F.nullif(F.lower(F.regexp_extract(text, EMAIL, 0)), F.lit(""))
     joined = lambda p: F.when(x.rlike(p), F.concat(F.regexp_extract(x, p, 1), F.lit("@"), F.regexp_extract(x, p, 2)))
     parted = rf"(?:^|[^a-z0-9._-])([a-z0-9][a-z0-9._-]*[a-z0-9])\s*[{GLYPHS}]{{1,2}}{_END}"
     blank = rf"(?:^|[^a-z0-9._-])([a-z0-9][a-z0-9._-]*[0-9._][a-z0-9._-]*)\s+{_END}"
-    named = x.rlike("|".join(DOMAINS))  # most texts name no domain, and are done with here
+    named = holds_any(x, DOMAINS)  # most texts name no domain, and are done with here
     return F.coalesce(F.when(F.contains(text, F.lit("@")), plain), F.when(named, F.coalesce(joined(blank), joined(parted))))
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, repair, shapes
-from ..functions.text import fold, strip_bullets
+from ..functions.text import fold, held, holds_any, strip_bullets
 from . import experience, geometry, labels, lines, people
+from .persons import written
 
 # Labels of a CV's fields.
 LABELS = {
@@ -48,29 +49,30 @@ def labelled(rows: DataFrame) -> DataFrame:
     return found.select("doc_id", *[cut.get(c, _short)(F.col(c)).alias(c) for c in LABELS])
 
 
-def headlines(head: DataFrame, named: DataFrame, cities: DataFrame) -> DataFrame:
+def headlines(head: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, headline out of the header's lines (doc_id, pos, text): by label; else the first of the three lines under the
     name that can be one; else the first line with a job; else the line after a label.
 
-    named: doc_id, name (the text of the name's line, or the name); cities: doc_id, city, which is no headline.
+    known: doc_id, name (the text of the name's line, or the name), city, which is no headline.
     """
     city = F.col("city")
     ends = lambda x: F.trim(F.regexp_replace(x, r"[.;]\s*$", ""))
     fits = lambda v: (F.length(v) > 3) & shapes.may_be_headline(v, F.lit(None).cast("string"))
     said = labels.candidates(head.select("doc_id", "pos", "text", F.lit(None).cast("string").alias("scope")))
-    by_label = labels.labelled_fields(said.where("NOT alone"), {"h": HEADLINE_LABELS}, valid={"h": fits}).select("doc_id", ends(F.col("h")).alias("by_label"))
-    by_next = labels.labelled_fields(said.where("alone"), {"h": HEADLINE_LABELS}, valid={"h": fits}).select("doc_id", ends(F.col("h")).alias("by_next"))
-    rows = head.join(named, "doc_id", "left").join(cities, "doc_id", "left").withColumn("x", strip_bullets(F.col("text")))
+    # Pairs and lines with a label alone are looked at apart, each as a document of its own.
+    apart = labels.labelled_fields(said.withColumn("doc_id", F.struct("doc_id", "alone")), {"h": HEADLINE_LABELS}, valid={"h": fits})
+    by = lambda alone: F.max(F.when(F.col("doc_id.alone") == alone, ends(F.col("h"))))
+    labelled_ = apart.groupBy(F.col("doc_id.doc_id").alias("id")).agg(by(False).alias("by_label"), by(True).alias("by_next")).withColumnRenamed("id", "doc_id")
     in_order = Window.partitionBy("doc_id").orderBy("pos")
-    rows = rows.withColumn("nth", F.row_number().over(in_order))
-    own = F.coalesce(F.contains(fold(F.col("text")), fold(F.col("name"))), F.lit(False))
-    at = F.min(F.when(own, F.col("nth"))).over(Window.partitionBy("doc_id"))
-    open_ = rows.withColumn("at", at).where(~own & shapes.may_be_headline_by_place(F.col("x"), city))
-    job = shapes.has_job(F.col("x"))
+    rows = head.withColumn("nth", F.row_number().over(in_order)).join(known.withColumn("name_folded", fold(F.col("name"))), "doc_id", "left")
+    rows = held(rows, x=strip_bullets(F.col("text")), own=F.coalesce(F.contains(fold(F.col("text")), F.col("name_folded")), F.lit(False)))
+    at = F.min(F.when(F.col("own"), F.col("nth"))).over(Window.partitionBy("doc_id"))
+    open_ = held(rows.withColumn("at", at).where(~F.col("own") & shapes.may_be_headline_by_place(F.col("x"), city)), job=shapes.has_job(F.col("x")))
+    job = F.col("job")
     under = F.col("nth").between(F.col("at") + 1, F.col("at") + UNDER_NAME) & (job | ~names.looks_like_name(F.col("x")) | (F.size(F.split(F.col("x"), r"\s+")) > 1))
-    found = open_.groupBy("doc_id").agg(F.min_by("x", F.when(under, F.col("pos"))).alias("under"), F.min_by("x", F.when(job, F.col("pos"))).alias("job"))
-    out = by_label.join(by_next, "doc_id", "full").join(found, "doc_id", "full")
-    return out.select("doc_id", F.coalesce("by_label", "under", "job", "by_next").alias("headline")).where("headline IS NOT NULL")
+    found = open_.groupBy("doc_id").agg(F.min_by("x", F.when(under, F.col("pos"))).alias("under"), F.min_by("x", F.when(job, F.col("pos"))).alias("by_job"))
+    out = labelled_.join(found, "doc_id", "full")
+    return out.select("doc_id", F.coalesce("by_label", "under", "by_job", "by_next").alias("headline")).where("headline IS NOT NULL")
 
 
 def cvs(docs: DataFrame, placed: DataFrame | None = None, page_height: float = 842.0) -> DataFrame:
@@ -91,23 +93,26 @@ def cvs(docs: DataFrame, placed: DataFrame | None = None, page_height: float = 8
     jobs = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("nth", "company", "position", "start", "end", "is_current", "duties"))).alias("jobs"))
     record = record.drop("experience").join(jobs, "doc_id", "left")
     said, context = labelled(rows.select("doc_id", "pos", "text")), labels.context_fields(rows)
-    held = record.join(said, "doc_id", "left").join(context.select("doc_id", *[F.col(c).alias(f"c_{c}") for c in context.columns if c != "doc_id"]), "doc_id", "left")
+    held_ = record.join(said, "doc_id", "left").join(context.select("doc_id", *[F.col(c).alias(f"c_{c}") for c in context.columns if c != "doc_id"]), "doc_id", "left")
     if placed is not None:
-        held = held.join(geometry.largest_name(head).withColumnRenamed("name", "largest"), "doc_id", "left")
-    held = held.join(docs.select("doc_id", "text"), "doc_id", "left").withColumn("shape", shapes.by_shape(F.coalesce("text", F.lit(""))))
-    whole = names.split_name(F.coalesce("full_name", *(["largest"] if placed is not None else []), F.lit("")))
+        held_ = held_.join(geometry.largest_name(head).withColumnRenamed("name", "largest"), "doc_id", "left")
+    held_ = held_.join(docs.select("doc_id", "text"), "doc_id", "left").withColumn("shape", shapes.by_shape(F.coalesce("text", F.lit(""))))
+    held_ = held(held_, whole=names.split_name(F.coalesce("full_name", *(["largest"] if placed is not None else []), F.lit(""))))
+    whole = F.col("whole")
     given = lambda part: F.nullif(whole[part], F.lit(""))
-    lost = F.coalesce("first_names", given("first_names"), "c_first_names").isNull() & F.coalesce("document_number", "c_document_number").isNull() & F.coalesce("phone", "c_phone").isNull()
-    shaped = lambda f: F.when(lost, F.col("shape")[f])
+    held_ = held(held_, lost=F.coalesce("first_names", given("first_names"), "c_first_names").isNull() & F.coalesce("document_number", "c_document_number").isNull() & F.coalesce("phone", "c_phone").isNull())
+    shaped = lambda f: F.when(F.col("lost"), F.col("shape")[f])
     first = F.coalesce(given("first_names"), "first_names", "c_first_names", shaped("first_names"))
     last = F.coalesce(F.when(given("first_names").isNotNull(), given("last_names")), "last_names", "c_last_names", shaped("last_names"))
     city = F.coalesce("city", F.when(shapes.may_be_city(F.col("c_city")), F.col("c_city")))
-    links = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(SOCIAL), F.lit(0)), lambda x: F.when(F.lower(x).startswith("http"), x).otherwise(F.concat(F.lit("https://"), x)))
-    out = held.select(
+    said = F.when(holds_any(F.lower("text"), ("linkedin.com/in", "github.com")), F.col("text"))
+    links = F.transform(F.regexp_extract_all(F.coalesce(said, F.lit("")), F.lit(SOCIAL), F.lit(0)), lambda x: F.when(F.lower(x).startswith("http"), x).otherwise(F.concat(F.lit("https://"), x)))
+    out = held_.select(
         "doc_id", first.alias("first_names"), last.alias("last_names"), F.coalesce("document_number", "c_document_number", shaped("document_number")).alias("document_number"), F.coalesce("email", "c_email", shaped("email"), repair.rebuilt_email(F.col("text"), strict=True)).alias("email"),
         F.coalesce("phone", "c_phone", shaped("phone")).alias("phone"), city.alias("city"), F.coalesce("address", "c_address").alias("address"), F.coalesce("nationality", "c_nationality").alias("nationality"), "birth_place", "birth_date",
         F.coalesce("marital_status", "c_marital_status").alias("marital_status"), F.coalesce("gender", "c_gender").alias("gender"), "salary", "availability", "driver_license", "military_card", "professional_card", F.array_distinct(links).alias("social_links"),
         F.col("jobs").alias("experience"), *[c for c in ("education", "skills", "languages", "certifications", "references", "summary")],
     )
-    named = out.select("doc_id", F.nullif(F.trim(F.concat_ws(" ", "first_names", "last_names")), F.lit("")).alias("name"))
-    return out.join(headlines(head.select("doc_id", "pos", "text"), named, out.select("doc_id", "city")), "doc_id", "left")
+    out = written(out)  # names and cities are looked at beside the header's lines, too
+    known = out.select("doc_id", F.nullif(F.trim(F.concat_ws(" ", "first_names", "last_names")), F.lit("")).alias("name"), "city")
+    return out.join(headlines(head.select("doc_id", "pos", "text"), known), "doc_id", "left")

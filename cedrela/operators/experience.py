@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, shapes
-from ..functions.text import fold_only, strip_bullets
+from ..functions.text import fold_only, held, strip_bullets
 
 #: Lines above and below a range in which company and job are looked for, and below it the duties.
 ABOVE, BELOW, DUTIES = 4, 3, 6
@@ -42,8 +42,10 @@ def jobs(rows: DataFrame) -> DataFrame:
     among the next six, up to the next range. Each line meets its neighbours in one window by document.
     """
     text = F.col("text")
-    span = dates.date_range(fold_only(text))
-    marked = rows.select("doc_id", "pos", "text", span.alias("span")).withColumn("row", F.struct("text", F.col("span.start").isNotNull().alias("ranged")))
+    span = F.when(text.rlike(dates.YEAR), dates.date_range(fold_only(text)))
+    marked = held(rows.select("doc_id", "pos", "text"), span=span).withColumn("row", F.struct("text", F.col("span.start").isNotNull().alias("ranged")))
+    # Documents without a range have no jobs: their lines need no neighbours.
+    marked = marked.withColumn("any", F.max("row.ranged").over(Window.partitionBy("doc_id"))).where("any").drop("any")
     w = Window.partitionBy("doc_id").orderBy("pos")
     near = marked.withColumns({"up": F.reverse(F.collect_list("row").over(w.rowsBetween(-ABOVE, -1))), "down": F.collect_list("row").over(w.rowsBetween(1, DUTIES))}).where("span.start IS NOT NULL")
     near = near.select("doc_id", "pos", "span", without_range(text).alias("rest"), _until(F.col("up")).alias("up"), _until(F.col("down")).alias("down"))

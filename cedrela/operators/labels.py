@@ -169,7 +169,7 @@ def context_fields(rows: DataFrame) -> DataFrame:
     """doc_id and fields of `label: value` lines: of number, phone and e-mail the last, of the others the first that fits.
     A name needs two words, of which the last is the surname; a city mustn't be a job."""
     label, value = F.trim(F.regexp_extract("text", r"^([^:]{2,40}):\s*(.+)$", 1)), F.trim(F.regexp_extract("text", r"^([^:]{2,40}):\s*(.+)$", 2))
-    at = rows.select("doc_id", "pos", fold(label).alias("label"), value.alias("value")).where("label != ''")
+    at = held(rows.where(F.contains("text", F.lit(":"))).select("doc_id", "pos", value.alias("value"), label.alias("said")), label=fold(F.col("said"))).where("label != ''")
     kind = F.lit(None).cast("string")
     for name, words in reversed(CONTEXT.items()):
         kind = F.when(F.col("label").rlike("|".join(words)), name).otherwise(kind)

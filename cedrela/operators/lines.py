@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, fold_only, strip_bullets
+from ..functions.text import bind, fold, fold_only, held, strip_bullets
 
 # The headings of each section (folded).
 HEADINGS = {
@@ -25,11 +25,15 @@ def of_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select("doc_id", "pos", F.trim("text").alias("text")).where("text != ''")
 
 
+#: Nine words at most, bullets aside: what a heading of six with two numberings and a colon may be.
+SHORT_LINE = r"^[\s•●▪◦*·–—-]*+(?:\S++\s*+){0,9}+$"
+
+
 def heading_kind(text: Column) -> Column:
     """The section that a line announces, or null: a known heading of six words at most, numbering, bullets and a colon aside."""
     x = F.regexp_replace(F.regexp_replace(fold(strip_bullets(text)), r"^[0-9]+[.)]\s*", ""), r"\s*:\s*$", "")
     kinds = F.create_map(*[F.lit(v) for kind, terms in HEADINGS.items() for t in terms for v in (t, kind)])
-    return F.when(F.size(F.split(x, " ")) <= 6, kinds[x])
+    return F.when(text.rlike(SHORT_LINE), bind(x, lambda x: F.when(F.size(F.split(x, " ")) <= 6, kinds[x])))
 
 
 def sections(lines: DataFrame, heading: Column) -> DataFrame:
@@ -74,28 +78,37 @@ def keep_first(rows: DataFrame, key: list[str], by: str = "pos") -> DataFrame:
 PAIR = r"([A-Za-zÁÉÍÓÚÑáéíóúñ.º° ]{2,40}?)\s*:\s*([^:|•]*?)(?:\s{2,}|\||•|$)"
 
 
-def labelled_pairs(lines: DataFrame) -> DataFrame:
+def labelled_pairs(lines: DataFrame, *more: str) -> DataFrame:
     """doc_id, pos, nth, label (folded), value: `Label: value` pairs, several in a line where blanks, a bar or a bullet part
-    them. Addresses with `://` aren't labels."""
+    them. Addresses with `://` aren't labels. more: columns of the lines that are kept."""
     plain = F.regexp_replace("text", r"[A-Za-z]+://\S*", "")
     parts = F.filter(F.split(plain, r"\s{2,}|\||•"), lambda p: p.rlike(r"^[^:]{2,40}:"))
-    each = lines.select("doc_id", "pos", F.posexplode(parts).alias("nth", "part"))
-    return each.select("doc_id", "pos", "nth", fold(F.substring_index("part", ":", 1)).alias("label"), F.trim(F.regexp_replace("part", r"^[^:]*:", "")).alias("value"))
+    each = lines.where(F.contains("text", F.lit(":"))).select("doc_id", "pos", *more, F.posexplode(parts).alias("nth", "part"))
+    return each.select("doc_id", "pos", "nth", fold(F.substring_index("part", ":", 1)).alias("label"), F.trim(F.regexp_replace("part", r"^[^:]*:", "")).alias("value"), *more)
+
+
+def label_values(lines: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
+    """doc_id and the fields: each field's label_value(), all out of one pass over the lines."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    is_label = lambda c: F.coalesce(c.rlike(r":\s*$"), F.lit(False))
+    nexts = lines.select("doc_id", "pos", "text", F.lead("text", 1).over(w).alias("n1"), F.lead("text", 2).over(w).alias("n2"))
+    below = F.when(~is_label(F.col("n1")), F.col("n1")).when(~is_label(F.col("n2")), F.col("n2"))
+    pairs = labelled_pairs(nexts, "n1", "n2").withColumn("value", F.when(F.col("value") == "", below).otherwise(F.col("value"))).where("value IS NOT NULL")
+    ranks = {}
+    for field, labels in fields.items():
+        part = F.lit(False)
+        for x in labels:
+            part = part | F.col("label").startswith(f"{x} ") | F.col("label").endswith(f" {x}")
+        ranks[field] = F.when(F.col("label").isin(*labels), 0).when(part, 1)
+    ranked = held(pairs, ranks=F.struct(*[r.alias(f) for f, r in ranks.items()]))
+    best = lambda f: F.min_by("value", F.when(F.col(f"ranks.{f}").isNotNull(), F.struct(f"ranks.{f}", "pos", "nth")))
+    return ranked.groupBy("doc_id").agg(*[best(f).alias(f) for f in fields])
 
 
 def label_value(lines: DataFrame, labels: list[str]) -> DataFrame:
     """doc_id, value: the first value of one of the labels: an exact label, else one that begins or ends with it; if the
     label stands alone, the value is the next line that isn't a label itself (two lines on at most)."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    is_label = lambda c: F.coalesce(c.rlike(r":\s*$"), F.lit(False))
-    nexts = lines.withColumn("n1", F.lead("text", 1).over(w)).withColumn("n2", F.lead("text", 2).over(w))
-    nexts = nexts.withColumn("below", F.when(~is_label(F.col("n1")), F.col("n1")).when(~is_label(F.col("n2")), F.col("n2"))).select("doc_id", "pos", "below")
-    pairs = labelled_pairs(lines).join(nexts, ["doc_id", "pos"], "left").withColumn("value", F.when(F.col("value") == "", F.col("below")).otherwise(F.col("value")))
-    exact, part = F.col("label").isin(*labels), F.lit(False)
-    for x in labels:
-        part = part | F.col("label").startswith(f"{x} ") | F.col("label").endswith(f" {x}")
-    rank = F.when(exact, 0).when(part, 1)
-    return pairs.where(rank.isNotNull() & F.col("value").isNotNull()).groupBy("doc_id").agg(F.min_by("value", F.struct(rank, "pos", "nth")).alias("value"))
+    return label_values(lines, {"value": labels}).where("value IS NOT NULL")
 
 
 def context_flags(lines: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, dictionaries, names, numbers, repair, shapes
-from ..functions.text import fold, fold_only, strip_bullets
+from ..functions.text import fold, fold_only, fold_only_text, held, holds_any, strip_bullets
 from . import lines
 from .parsers import EMPLOYER, EMPLOYER_WORDS, POSITION, POSITION_WORDS, WORKER, WORKER_WORDS, _get, after_date_label, found_first, if_said
 
@@ -26,13 +26,6 @@ def education_level(folded: Column) -> Column:
     return out
 
 
-def _of(found: DataFrame, section: str, each: Column, name: str) -> DataFrame:
-    """doc_id and the array of what the lines of a section give, in order, once each."""
-    rows = found.where((F.col("section") == section) & F.col("heading").isNull()).withColumn("v", each).where("v IS NOT NULL")
-    got = F.array_sort(F.collect_list(F.struct("pos", "v")))
-    return rows.groupBy("doc_id").agg(F.array_distinct(F.transform(got, lambda x: x["v"])).alias(name))
-
-
 def cv_records(docs: DataFrame) -> DataFrame:
     """One record for each text: identity by labels and shapes, then the sections' items.
 
@@ -45,9 +38,9 @@ def cv_records(docs: DataFrame) -> DataFrame:
     x, f = F.col("text"), fold(F.col("text"))
     plain = strip_bullets(x)
 
-    span = dates.date_range(fold_only(x))
-    above = lines.nearest_above(F.when(span["start"].isNull() & ~F.contains(x, F.lit(":")), x), 3)
-    jobs = found.withColumn("before", above)
+    found = held(found, span=F.when(x.rlike(dates.YEAR), dates.date_range(fold_only(x))))
+    span = F.col("span")
+    found = found.withColumn("before", lines.nearest_above(F.when(span["start"].isNull() & ~F.contains(x, F.lit(":")), x), 3))
     rest = F.trim(F.regexp_replace(F.regexp_replace(fold_only(x), dates.RANGE, ""), r"^[\s|,;:-]+|[\s|,;:-]+$", ""))
     job = F.when(span["start"].isNotNull(), F.struct(F.col("before").alias("company"), F.nullif(rest, F.lit("")).alias("position"), span["start"].alias("start"), span["end"].alias("end")))
 
@@ -59,32 +52,34 @@ def cv_records(docs: DataFrame) -> DataFrame:
     number = numbers.phone(x)
     referee = F.when(number.isNotNull(), F.struct(F.nullif(F.trim(F.regexp_replace(F.replace(plain, number, F.lit("")), r"[^A-Za-zÁÉÍÓÚÑáéíóúñ ]+", " ")), F.lit("")).alias("name"), number.alias("phone")))
 
-    label = lambda names_: lines.label_value(all_lines, names_)
-    first, last = label(["nombres", "nombre"]).withColumnRenamed("value", "l_first"), label(["apellidos", "apellido"]).withColumnRenamed("value", "l_last")
-    city = label(["ciudad", "municipio", "residencia", "direccion"]).withColumnRenamed("value", "l_city")
-    shaped = all_lines.where((F.col("pos") <= 12) & names.looks_like_name(x) & (F.size(F.split(f, " ")) >= 2) & lines.heading_kind(x).isNull() & ~f.rlike("hoja de vida|curriculum") & ~shapes.is_job_not_city(x) & ~shapes.has_job(x))
-    shaped = shaped.groupBy("doc_id").agg(F.min_by("text", "pos").alias("shaped"))
-    summary = found.where("section = 'perfil' AND heading IS NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("s"))
-    summary = summary.select("doc_id", F.substring(F.array_join(F.transform("s", lambda r: r["text"]), " "), 1, 900).alias("summary")).where(F.length("summary") >= 20)
-
-    out = docs.select("doc_id", "text")
-    parts = [
-        first, last, city, shaped, summary, _of(jobs, "experiencia", job, "experience"), _of(found, "educacion", school, "education"),
-        _of(found, "idiomas", language, "languages"), _of(found, "certificaciones", F.when(F.length(plain) > 3, plain), "certifications"), _of(found, "referencias", referee, "references"),
-    ]
-    for part in parts:
-        out = out.join(part, "doc_id", "left")
+    labelled = lines.label_values(all_lines, {"l_first": ["nombres", "nombre"], "l_last": ["apellidos", "apellido"], "l_city": ["ciudad", "municipio", "residencia", "direccion"]})
+    shaped = (F.col("pos") <= 12) & names.looks_like_name(x) & (F.size(F.split(f, " ")) >= 2) & F.col("heading").isNull() & ~f.rlike("hoja de vida|curriculum") & ~shapes.is_job_not_city(x) & ~shapes.has_job(x)
+    # What each line gives, its section deciding for what it is looked at; then one aggregation by document.
+    given = {
+        "experience": ("experiencia", job), "education": ("educacion", school), "languages": ("idiomas", language), "certifications": ("certificaciones", F.when(F.length(plain) > 3, plain)),
+        "references": ("referencias", referee), "s": ("perfil", x),
+    }
+    each = [F.when((F.col("section") == section) & F.col("heading").isNull(), v).alias(name) for name, (section, v) in given.items()]
+    said = held(found, v=F.struct(*each, F.when(shaped, x).alias("shaped"))).where(" OR ".join(f"v.{name} IS NOT NULL" for name in [*given, "shaped"]))
+    got = lambda name: F.array_sort(F.collect_list(F.when(F.col(f"v.{name}").isNotNull(), F.struct("pos", F.col(f"v.{name}").alias("v")))))
+    listed = lambda name: F.transform(F.when(F.size(name) > 0, F.col(name)), lambda r: r["v"])
+    items = said.groupBy("doc_id").agg(*[got(name).alias(name) for name in given], F.min_by("v.shaped", F.when(F.col("v.shaped").isNotNull(), F.col("pos"))).alias("shaped"))
+    summary = F.substring(F.array_join(listed("s"), " "), 1, 900)
+    items = items.select("doc_id", "shaped", *[F.array_distinct(listed(name)).alias(name) for name in given if name != "s"], F.when(F.length(summary) >= 20, summary).alias("summary"))
+
+    out = held(docs.select("doc_id", "text"), folded=fold_only_text(x)).join(labelled, "doc_id", "left").join(items, "doc_id", "left")
     whole = names.split_name(F.coalesce("shaped", F.lit("")))
-    document = numbers.document_in_text(fold_only(x))
+    folded = F.col("folded")
+    out = held(out, document=numbers.document_in_text(folded), contact=F.when(holds_any(folded, ("cel", "tel", "movil", "whatsapp", "contacto")), F.regexp_extract(folded, r"(?:cel|tel|movil|whatsapp|contacto)[a-z]*\.?\s*[:.-]?\s*([^\n]*)", 1)))
     return out.select(
         "doc_id",
         F.coalesce("l_first", F.nullif(whole["first_names"], F.lit(""))).alias("first_names"),
         F.coalesce("l_last", F.nullif(whole["last_names"], F.lit(""))).alias("last_names"),
-        document.alias("document_number"),
-        repair.email_in(x).alias("email"),
-        numbers.phone(F.regexp_extract(fold_only(x), r"(?:cel|tel|movil|whatsapp|contacto)[a-z]*\.?\s*[:.-]?\s*([^\n]*)", 1), document).alias("phone"),
-        F.coalesce(dictionaries.find_place(F.col("l_city")), dictionaries.find_place(x)).alias("city"),
-        "experience", "education", dictionaries.skills(x).alias("skills"), "languages", "certifications", "references", "summary",
+        F.col("document").alias("document_number"),
+        repair.email_in(x, folded).alias("email"),
+        numbers.phone(F.col("contact"), F.col("document")).alias("phone"),
+        F.coalesce(dictionaries.find_place(F.col("l_city")), dictionaries.find_place(folded, folded=True)).alias("city"),
+        "experience", "education", dictionaries.skills(folded, folded=True).alias("skills"), "languages", "certifications", "references", "summary",
     )
 
 
