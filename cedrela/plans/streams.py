@@ -107,12 +107,16 @@ def heartbeat(events: DataFrame, key: str, ts: str = "2200-01-01") -> DataFrame:
     return events.sparkSession.range(1).select(*[at.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in events.dtypes])
 
 
+#: Files of a micro-batch, which are read side by side.
+FILES = 4
+
+
 def streamed(events: DataFrame, key: str, fold: ordered.Fold, out: str, batches: int, initial: DataFrame | None = None) -> DataFrame:
     """The rows of a fold over events that come in several files, in no order, and a last one with the heartbeat."""
     spark = events.sparkSession
-    queue.folder(events, f"{out}/in", "id", batches)
+    queue.folder(events, f"{out}/in", "id", batches, FILES)
     heartbeat(events, key).coalesce(1).write.mode("append").parquet(f"{out}/in")
-    stream = queue.watched(spark, f"{out}/in", events.schema)
+    stream = queue.watched(spark, f"{out}/in", events.schema, FILES)
     rows = ordered.in_order(stream, key, fold, "30000 days", initial)
     ordered.to_files(rows, f"{out}/rows", f"{out}/checkpoint")
     return spark.read.schema(rows.schema).parquet(f"{out}/rows")

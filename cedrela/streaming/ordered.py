@@ -55,76 +55,102 @@ def played(fold: Fold, state: tuple | None, events: Iterable[tuple], until: int
     return state, rows
 
 
+def tuples(part: pd.DataFrame, schema: str) -> list[tuple]:
+    """The rows of a part as tuples like the schema; what is null is None, and whole numbers are whole."""
+    values = []
+    for column, kind in (x.split() for x in schema.split(",")):
+        whole = kind in ("int", "long", "bigint")
+        values.append([None if x is None or x != x else int(x) if whole else x for x in part[column].tolist()])
+    return list(zip(*values))
+
+
+#: Slots that keys are dealt over by their hash. Memory holds the waiting events and the states of one slot at a time.
+SLOTS = 256
+
+
 class Ordered(StatefulProcessor):
-    """Holds a key's events until the watermark has passed them, then folds them in order.
+    """Holds events until the watermark has passed them, then folds them in order, key by key.
 
-    The list state has the events that wait, the value state what is folded so far. Each key has a timer at the earliest
-    event that waits and one at the deadline of its state. A key without a state and without waiting events takes no room.
+    Keys come in slots, so that a call and its exchanges with the store serve many keys. A slot's list states have the events that
+    wait and what is folded so far, each with its key; the value state is when something is due next, for which there is a timer: the
+    earliest event that waits, or a state's deadline. A key without a state and without waiting events takes no room.
     """
 
-    def __init__(self, fold: Fold, key: str):
+    def __init__(self, fold: Fold, key: str, kind: str):
         self.fold, self.key = fold, key
+        self.event, self.held = (f"{key} {kind}, {x}" for x in (fold.event, fold.state))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.fold.event)
-        self.state = handle.getValueState("state", self.fold.state)
+        self.waiting = handle.getListState("waiting", self.event)
+        self.states = handle.getListState("states", self.held)
+        self.next = handle.getValueState("next", "at long")
 
-    def timer(self, at: int) -> None:
-        self.handle.registerTimer(-(-at // TIMER))
+    def wake(self, at: int) -> None:
+        """Sees to it that the slot is looked at when this is due."""
+        if not self.next.exists() or at < self.next.get()[0]:
+            self.next.update((at,))
+            self.handle.registerTimer(-(-at // TIMER))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        if key[0] is not None:  # null: what only moves the watermark
-            columns = names(self.fold.event)
-            new = [tuple(None if pd.isna(x) else x for x in r) for part in rows for r in part[columns].astype(object).itertuples(index=False, name=None)]
+        if not pd.isna(key[0]):  # null: what only moves the watermark
+            new = [x for part in rows for x in tuples(part, self.event)]
             self.waiting.appendList(new)
-            self.timer(min(e[0] for e in new))
+            self.wake(min(e[1] for e in new))
         return iter(())
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N803
-        for r in initialState[names(self.fold.state)].astype(object).itertuples(index=False, name=None):
-            state = tuple(None if pd.isna(x) else x for x in r)
-            self.state.update(state)
-            if (at := self.fold.deadline(state)) is not None:
-                self.timer(at)
+        given = tuples(initialState, self.held)
+        self.states.appendList(given)
+        due = [at for x in given if (at := self.fold.deadline(x[1:])) is not None]
+        if due:
+            self.wake(min(due))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
         now = timerValues.getCurrentWatermarkInMs() * TIMER
+        if not self.next.exists() or self.next.get()[0] > now:  # an earlier timer has seen to it
+            return
         events = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
-        due, rest = [e for e in events if e[0] <= now], [e for e in events if e[0] > now]
-        before = tuple(self.state.get()) if self.state.exists() else None
-        state, rows = played(self.fold, before, due, now)
-        if rest and due:
-            self.waiting.put(rest)
-        elif due:
-            self.waiting.clear()
-        if rest:
-            self.timer(min(e[0] for e in rest))
-        if state is None and before is not None:
-            self.state.clear()
-        elif state != before:
-            self.state.update(state)
-        if (at := self.fold.deadline(state)) is not None:
-            self.timer(at)
+        states = {x[0]: tuple(x[1:]) for x in self.states.get()} if self.states.exists() else {}
+        due: dict = {k: [] for k, state in states.items() if (at := self.fold.deadline(state)) is not None and at <= now}
+        for e in events:
+            if e[1] <= now:
+                due.setdefault(e[0], []).append(e[1:])
+        rest, rows = [e for e in events if e[1] > now], []
+        for k, mine in due.items():
+            state, out = played(self.fold, states.pop(k, None), mine, now)
+            rows += [(k, *r) for r in out]
+            if state is not None:
+                states[k] = state
+        for held, left in ((self.waiting, rest), (self.states, [(k, *state) for k, state in states.items()])):
+            if left:
+                held.put(left)
+            elif held.exists():
+                held.clear()
+        self.next.clear()
+        later = [e[1] for e in rest] + [at for state in states.values() if (at := self.fold.deadline(state)) is not None]
+        if later:
+            self.wake(min(later))
         if rows:
-            yield pd.DataFrame([(key[0], *r) for r in rows], columns=[self.key, *names(self.fold.row)])
+            yield pd.DataFrame(rows, columns=[self.key, *names(self.fold.row)], dtype=object)
 
     def close(self) -> None:
         pass
 
 
-def in_order(events: DataFrame, key: str, fold: Fold, delay: str, initial: DataFrame | None = None) -> DataFrame:
+def in_order(events: DataFrame, key: str, fold: Fold, delay: str, initial: DataFrame | None = None, slots: int = SLOTS) -> DataFrame:
     """The rows of a fold over a stream of events (key, ts, id and what else the fold's events have), key by key.
 
     delay: how much later than the newest an event may come; what comes later still is dropped, as Spark does.
     initial (key, and the columns of the fold's state): states that keys have before the first event.
+    slots: over how many slots keys are dealt; it must stay the same for a checkpoint.
     """
     columns = [c for c in names(fold.event) if c != "at"]
-    sent = events.select(key, "ts", F.unix_micros("ts").alias("at"), *columns).withWatermark("ts", delay)
     kind = dict(events.dtypes)[key]
-    return sent.groupBy(key).transformWithStateInPandas(
-        Ordered(fold, key), f"{key} {kind}, {fold.row}", "append", "EventTime", initialState=None if initial is None else initial.groupBy(key)
-    )
+    slot = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(F.col(key).cast(kind)), F.lit(slots))).alias("_slot")
+    sent = events.select(slot, key, "ts", F.unix_micros("ts").alias("at"), *columns).withWatermark("ts", delay)
+    before = None if initial is None else initial.select(slot, F.col(key).cast(kind).alias(key), *names(fold.state)).groupBy("_slot")
+    return sent.groupBy("_slot").transformWithStateInPandas(Ordered(fold, key, kind), f"{key} {kind}, {fold.row}", "append", "EventTime", initialState=before)
 
 
 def in_batch(events: DataFrame, key: str, fold: Fold, until: int | None = None) -> DataFrame:

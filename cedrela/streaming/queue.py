@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..sources import files
 from .ordered import SECOND, Fold
@@ -40,11 +39,9 @@ def queue(timeout: int) -> Fold:
     )
 
 
-def folder(df: DataFrame, path: str, order: str, batches: int) -> None:
-    """Puts the rows into a folder as one file after the other, in `batches` parts by the hash of `order`."""
-    for i in range(batches):
-        part = df.where(F.pmod(F.xxhash64(order), F.lit(batches)) == i)
-        part.coalesce(1).write.mode("append").parquet(path)
+def folder(df: DataFrame, path: str, order: str, batches: int, files: int = 1) -> None:
+    """Puts the rows into a folder, in `batches` times `files` files by the hash of `order`, in one job."""
+    df.repartition(batches * files, order).write.mode("append").parquet(path)
 
 
 def watched(spark: SparkSession, path: str, schema: str, per_trigger: int = 1) -> DataFrame:
