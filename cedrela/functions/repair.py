@@ -16,6 +16,8 @@ GLYPHS = "cgoqe0a"
 KNOWN, KNOWN_LONG, LONG, UNKNOWN = 8, 12, 5, -4
 SEEDS = ["contrato", "termino", "fijo", "indefinido", "trabajador", "empleador", "periodo", "prueba", "salario", "labor", "cargo", "auxiliar", "liquidacion", "cesantias", "dobles", "vacaciones", "nombre", "cedula"]
 
+PLAIN_LETTERS = str.maketrans("áéíóúüñ", "aeiouun")
+
 _END = rf"((?:{'|'.join(DOMAINS)})\.[a-z]{{2,3}}(?:\.[a-z]{{2}})?)"
 
 
@@ -35,18 +37,27 @@ def email_in(text: Column, folded: Column | None = None) -> Column:
 def split_glued(word: str, vocabulary: frozenset[str], longest: int) -> list[str]:
     """The parts of a glued word that score best: known words count by length, other letters cost; the word itself if fewer
     than two parts or nothing is gained."""
-    folded = word.lower().translate(str.maketrans("áéíóúüñ", "aeiouun"))
-    best: list[tuple[float, list[int]]] = [(0.0, [])]
+    folded = word.lower().translate(PLAIN_LETTERS)
+    scores, came = [0.0], [-1]  # for each place the best score, and where the known word that ends there begins (-1: none does)
     for end in range(1, len(folded) + 1):
-        options = [(best[end - 1][0] + UNKNOWN, best[end - 1][1])]
+        best, at = scores[end - 1] + UNKNOWN, -1
         for begin in range(max(0, end - longest), end - 1):
             if (part := folded[begin:end]) in vocabulary and part != folded:
-                options.append((best[begin][0] + (KNOWN_LONG if len(part) >= LONG else KNOWN), [*best[begin][1], begin, end]))
-        best.append(max(options, key=lambda o: o[0]))
-    score, cuts = best[-1]
-    marks = sorted({0, *cuts, len(word)})
-    parts = [word[a:b] for a, b in zip(marks, marks[1:])]
-    return parts if score > 0 and len(parts) >= 2 else [word]
+                score = scores[begin] + (KNOWN_LONG if end - begin >= LONG else KNOWN)
+                if score > best:
+                    best, at = score, begin
+        scores.append(best)
+        came.append(at)
+    if scores[-1] <= 0:
+        return [word]
+    marks, end = {0, len(word)}, len(folded)
+    while end > 0:
+        if came[end] >= 0:
+            marks |= {came[end], end}
+        end = came[end] if came[end] >= 0 else end - 1
+    cuts = sorted(marks)
+    parts = [word[a:b] for a, b in zip(cuts, cuts[1:])]
+    return parts if len(parts) >= 2 else [word]
 
 
 def segmented(text: Column, seeds: list[str] | None = None) -> Column:
@@ -61,13 +72,14 @@ def segmented(text: Column, seeds: list[str] | None = None) -> Column:
             if t is None:
                 out.append((None, 0))
                 continue
-            words = {w.lower().translate(str.maketrans("áéíóúüñ", "aeiouun")) for w in t.split()}
+            words = {w.lower().translate(PLAIN_LETTERS) for w in t.split()}
             vocabulary = known | {w for w in words if 2 <= len(w) < 7 and w.isalpha()}
             longest, n, lines = max(map(len, vocabulary), default=1), 0, []
+            done: dict[str, list[str]] = {}  # a word of the text is cut once
             for line in t.split("\n"):
                 parts = []
                 for w in line.split(" "):
-                    cut = split_glued(w, vocabulary, longest) if len(w) >= 7 and w.isalpha() else [w]
+                    cut = done.get(w) or (done.setdefault(w, split_glued(w, vocabulary, longest)) if len(w) >= 7 and w.isalpha() else [w])
                     n += len(cut) - 1
                     parts += cut
                 lines.append(" ".join(parts))
