@@ -15,10 +15,10 @@ from ..views import document_key
 UNKNOWN = "sin identificar"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as files of the shared folder: what comes before isn't computed again."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """df as files of the shared folder, parted by some columns: what comes before isn't computed again."""
     path = work_dir(df.sparkSession, "persons")
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -96,7 +96,8 @@ def synthesis(docs: DataFrame, key: str, first: Sequence[str] = (), last: Sequen
     the sum or the mean, of some the most frequent value (ties: first seen), some texts joined in order with a blank line
     between; and n.
 
-    All but the texts are aggregated before they are shuffled; texts are gathered by person, as they are to be parsed as one.
+    All but the texts are aggregated before they are shuffled; texts are gathered by person, as they are to be parsed as one,
+    in one task each. For what is only to tell them apart, digests.joined_sha256() gathers none.
     """
     texts = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("pos", F.col(c).alias("x"))))), lambda x: x["x"]), "\n\n").alias(c) for c in joined]
     out = docs.groupBy(key).agg(F.count("*").alias("n"), *map(first_of, first), *map(last_of, last), *[F.sum(c).alias(c) for c in total], *[F.avg(c).alias(c) for c in mean], *texts)
