@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, dictionaries, names, numbers, repair, shapes
@@ -19,6 +19,10 @@ PAY_WORDS = ("salario", "sueldo", "remuneracion", "asignacion")
 CONTRACT_TYPES = [("indefinido", "termino_indefinido"), ("termino fijo", "termino_fijo"), ("obra o labor", "obra_labor"), ("prestacion de servicios", "prestacion_servicios"), ("aprendizaje", "aprendizaje")]
 
 
+#: So many lines are the top of the first page, and in the header wherever headings stand.
+TOP_LINES = 12
+
+
 def education_level(folded: Column) -> Column:
     out = F.lit("universitario")
     for pattern, level in reversed(DEGREES):
@@ -31,10 +35,14 @@ def cv_records(docs: DataFrame) -> DataFrame:
 
     doc_id, first_names, last_names, document_number, email, phone, city, experience (company, position, start, end),
     education (level, text), skills, languages (language, level), certifications, references (name, phone), summary.
-    Lines are laid out once; each section's items are an aggregation by document.
+    Lines are laid out once; each section's items are an aggregation by document. A name that no label gives is the first in
+    the header, however long that is: the lines before the first heading, those about contact and the top of the first page,
+    those of references aside. The summary is whole.
     """
     all_lines = lines.of_text(docs.select("doc_id", "text"))
     found = lines.sections(all_lines, lines.heading_kind(F.col("text")))
+    found = found.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")))
+    in_header = (F.col("section").isin("encabezado", "contacto") | (F.col("nth") <= TOP_LINES)) & (F.col("section") != "referencias") & F.col("heading").isNull()
     x, f = F.col("text"), fold(F.col("text"))
     plain = strip_bullets(x)
 
@@ -53,7 +61,7 @@ def cv_records(docs: DataFrame) -> DataFrame:
     referee = F.when(number.isNotNull(), F.struct(F.nullif(F.trim(F.regexp_replace(F.replace(plain, number, F.lit("")), r"[^A-Za-zÁÉÍÓÚÑáéíóúñ ]+", " ")), F.lit("")).alias("name"), number.alias("phone")))
 
     labelled = lines.label_values(all_lines, {"l_first": ["nombres", "nombre"], "l_last": ["apellidos", "apellido"], "l_city": ["ciudad", "municipio", "residencia", "direccion"]})
-    shaped = (F.col("pos") <= 12) & names.looks_like_name(x) & (F.size(F.split(f, " ")) >= 2) & F.col("heading").isNull() & ~f.rlike("hoja de vida|curriculum") & ~shapes.is_job_not_city(x) & ~shapes.has_job(x)
+    shaped = in_header & F.length(x).between(4, 70) & names.looks_like_name(x) & (F.size(F.split(f, " ")) >= 2) & ~f.rlike("hoja de vida|curriculum") & ~shapes.is_job_not_city(x) & ~shapes.has_job(x)
     # What each line gives, its section deciding for what it is looked at; then one aggregation by document.
     given = {
         "experience": ("experiencia", job), "education": ("educacion", school), "languages": ("idiomas", language), "certifications": ("certificaciones", F.when(F.length(plain) > 3, plain)),
@@ -64,7 +72,7 @@ def cv_records(docs: DataFrame) -> DataFrame:
     got = lambda name: F.array_sort(F.collect_list(F.when(F.col(f"v.{name}").isNotNull(), F.struct("pos", F.col(f"v.{name}").alias("v")))))
     listed = lambda name: F.transform(F.when(F.size(name) > 0, F.col(name)), lambda r: r["v"])
     items = said.groupBy("doc_id").agg(*[got(name).alias(name) for name in given], F.min_by("v.shaped", F.when(F.col("v.shaped").isNotNull(), F.col("pos"))).alias("shaped"))
-    summary = F.substring(F.array_join(listed("s"), " "), 1, 900)
+    summary = F.array_join(listed("s"), " ")
     items = items.select("doc_id", "shaped", *[F.array_distinct(listed(name)).alias(name) for name in given if name != "s"], F.when(F.length(summary) >= 20, summary).alias("summary"))
 
     out = held(docs.select("doc_id", "text"), folded=fold_only_text(x)).join(labelled, "doc_id", "left").join(items, "doc_id", "left")

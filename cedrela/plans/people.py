@@ -33,8 +33,9 @@ def parse_cv(spark: SparkSession, d: str) -> DataFrame:
 
 @C.add()
 def parse_cv_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The CV parser over all supplied documents: what it costs on text that is none."""
-    return people.cv_records(views.read(spark, d, "documents")).select("doc_id", "email", "phone", "document_number", F.size("skills").alias("n_skills"))
+    """The CV parser over all supplied documents, every field of its records; lists are JSON."""
+    out = people.cv_records(views.read(spark, d, "documents")).withColumn("n_skills", F.size("skills"))
+    return out.withColumns({c: F.to_json(c) for c, kind in out.dtypes if kind.startswith("array")})
 
 
 @C.add(aside=True)
