@@ -35,11 +35,12 @@ def cv_records(docs: DataFrame) -> DataFrame:
 
     doc_id, first_names, last_names, document_number, email, phone, city, experience (company, position, start, end),
     education (level, text), skills, languages (language, level), certifications, references (name, phone), summary.
-    Lines are laid out once; each section's items are an aggregation by document. A name that no label gives is the first in
+    Lines are laid out and dealt out by document once; each section's items are an aggregation by document. What a whole text
+    gives is found before records are joined, so that texts aren't shuffled. A name that no label gives is the first in
     the header, however long that is: the lines before the first heading, those about contact and the top of the first page,
     those of references aside. The summary is whole.
     """
-    all_lines = lines.of_text(docs.select("doc_id", "text"))
+    all_lines = lines.of_text(docs.select("doc_id", "text")).repartition("doc_id")
     found = lines.sections(all_lines, lines.heading_kind(F.col("text")))
     found = found.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")))
     in_header = (F.col("section").isin("encabezado", "contacto") | (F.col("nth") <= TOP_LINES)) & (F.col("section") != "referencias") & F.col("heading").isNull()
@@ -75,19 +76,23 @@ def cv_records(docs: DataFrame) -> DataFrame:
     summary = F.array_join(listed("s"), " ")
     items = items.select("doc_id", "shaped", *[F.array_distinct(listed(name)).alias(name) for name in given if name != "s"], F.when(F.length(summary) >= 20, summary).alias("summary"))
 
-    out = held(docs.select("doc_id", "text"), folded=fold_only_text(x)).join(labelled, "doc_id", "left").join(items, "doc_id", "left")
-    whole = names.split_name(F.coalesce("shaped", F.lit("")))
     folded = F.col("folded")
-    out = held(out, document=numbers.document_in_text(folded), contact=F.when(holds_any(folded, ("cel", "tel", "movil", "whatsapp", "contacto")), F.regexp_extract(folded, r"(?:cel|tel|movil|whatsapp|contacto)[a-z]*\.?\s*[:.-]?\s*([^\n]*)", 1)))
+    texts = held(docs.select("doc_id", "text"), folded=fold_only_text(x))
+    texts = held(texts, document=numbers.document_in_text(folded), contact=F.when(holds_any(folded, ("cel", "tel", "movil", "whatsapp", "contacto")), F.regexp_extract(folded, r"(?:cel|tel|movil|whatsapp|contacto)[a-z]*\.?\s*[:.-]?\s*([^\n]*)", 1)))
+    texts = texts.select(
+        "doc_id", "document", repair.email_in(x, folded).alias("email"), numbers.phone(F.col("contact"), F.col("document")).alias("phone"),
+        dictionaries.find_place(folded, folded=True).alias("place"), dictionaries.skills(folded, folded=True).alias("skills"),
+    )
+    out = texts.join(labelled, "doc_id", "left").join(items, "doc_id", "left")
+    whole = names.split_name(F.coalesce("shaped", F.lit("")))
     return out.select(
         "doc_id",
         F.coalesce("l_first", F.nullif(whole["first_names"], F.lit(""))).alias("first_names"),
         F.coalesce("l_last", F.nullif(whole["last_names"], F.lit(""))).alias("last_names"),
         F.col("document").alias("document_number"),
-        repair.email_in(x, folded).alias("email"),
-        numbers.phone(F.col("contact"), F.col("document")).alias("phone"),
-        F.coalesce(dictionaries.find_place(F.col("l_city")), dictionaries.find_place(folded, folded=True)).alias("city"),
-        "experience", "education", dictionaries.skills(folded, folded=True).alias("skills"), "languages", "certifications", "references", "summary",
+        "email", "phone",
+        F.coalesce(dictionaries.find_place(F.col("l_city")), F.col("place")).alias("city"),
+        "experience", "education", "skills", "languages", "certifications", "references", "summary",
     )
 
 
