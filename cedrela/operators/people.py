@@ -19,6 +19,19 @@ PAY_WORDS = ("salario", "sueldo", "remuneracion", "asignacion")
 CONTRACT_TYPES = [("indefinido", "termino_indefinido"), ("termino fijo", "termino_fijo"), ("obra o labor", "obra_labor"), ("prestacion de servicios", "prestacion_servicios"), ("aprendizaje", "aprendizaje")]
 
 
+# What a line must say to count where its CV has no such section, and so all lines are looked at (folded).
+SCHOOLED = r"\b(?:bachiller|primaria|secundaria|tecnic[oa]s?\b|tecnolog[oa]s?\b|universi|ingenier|licenciad|especializa|maestria|colegio|instituto|sena\b)"
+SCHOOL, WORKED = r"\b(?:universidad|colegio|instituto|sena|escuela|academia)\b", r"\b(?:experiencia|anos de|responsable|lider|encargad)"
+CERTIFIED = r"\b(?:diplomado|certificacion|certificad[oa]|curso|seminario|taller|capacitacion|scrum\s+master|aws\s+certified|itil|pmp|six\s+sigma)\b"
+REFEREE = r"\breferencias?\b"
+PROFILE = r"\b(?:experiencia|profesional|anos|trayectoria|especialista|especializad[oa]|liderando|enfocad[oa]|conocimientos|habilidades|capacidad|gestion|desarrollo|sector|responsable|orientad[oa]|apasionad[oa]|graduad[oa]|egresad[oa]|tecnic[oa]|tecnolog[oa]|ingenier[oa]|administradora?|contadora?|psicolog[oa]|disenadora?|experienced|professional|years|skilled|knowledgeable|proactiv[oa])\b"
+#: Stems of which one stands in each match of a pattern, and which are quicker to look for.
+STEMS = {
+    SCHOOLED: ("bachiller", "primaria", "secundaria", "tecnic", "tecnolog", "universi", "ingenier", "licenciad", "especializa", "maestria", "colegio", "instituto", "sena"),
+    CERTIFIED: ("diplomado", "certifi", "curso", "seminario", "taller", "capacitacion", "scrum", "itil", "pmp", "sigma"),
+    REFEREE: ("referencia",),
+    PROFILE: ("xperienc", "profes", "anos", "trayectoria", "especiali", "liderando", "enfocad", "conocimientos", "habilidades", "capacidad", "gestion", "desarrollo", "sector", "responsable", "orientad", "apasionad", "graduad", "egresad", "tecni", "tecnolog", "ingenier", "administrador", "contador", "psicolog", "disenador", "years", "skilled", "knowledgeable", "proactiv"),
+}
 #: So many lines are the top of the first page, and in the header wherever headings stand.
 TOP_LINES = 12
 
@@ -30,6 +43,18 @@ def education_level(folded: Column) -> Column:
     return out
 
 
+def languages_in(folded: Column) -> Column:
+    """array of (language, level): all languages of a line; the level is the first after the language up to a bar, comma or semicolon,
+    else one before it there."""
+
+    def each(part: Column) -> Column:
+        found = lambda p: F.nullif(F.regexp_extract(part, p, 1), F.lit(""))
+        level = lambda t: F.coalesce(found(rf"\b{t}\b.*?\b({LEVELS})\b"), found(rf"\b({LEVELS})\b"), F.lit("intermedio"))
+        return F.array_compact(F.array(*[F.when(part.rlike(rf"\b{t}\b"), F.struct(F.lit(t).alias("language"), level(t).alias("level"))) for t in LANGUAGES]))
+
+    return F.when(holds_any(folded, LANGUAGES) & folded.rlike(rf"\b(?:{'|'.join(LANGUAGES)})\b"), F.flatten(F.transform(F.split(folded, r"[|,;]"), each)))
+
+
 def cv_records(docs: DataFrame) -> DataFrame:
     """One record for each text: identity by labels and shapes, then the sections' items.
 
@@ -38,13 +63,16 @@ def cv_records(docs: DataFrame) -> DataFrame:
     Lines are laid out and dealt out by document once; each section's items are an aggregation by document. What a whole text
     gives is found before records are joined, so that texts aren't shuffled. A name that no label gives is the first in
     the header, however long that is: the lines before the first heading, those about contact and the top of the first page,
-    those of references aside. The summary is whole.
+    those of references aside. The summary is whole. Where a CV has no section for some items, they are looked for in all lines.
     """
     all_lines = lines.of_text(docs.select("doc_id", "text")).repartition("doc_id")
     found = lines.sections(all_lines, lines.heading_kind(F.col("text")))
     found = found.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")))
     in_header = (F.col("section").isin("encabezado", "contacto") | (F.col("nth") <= TOP_LINES)) & (F.col("section") != "referencias") & F.col("heading").isNull()
-    x, f = F.col("text"), fold(F.col("text"))
+    w = Window.partitionBy("doc_id")
+    found = found.withColumns({f"any_{s}": F.max((F.col("section") == s) & F.col("heading").isNull()).over(w) for s in ("experiencia", "educacion", "idiomas", "certificaciones", "referencias")})
+    found = held(found, f=fold_only(F.col("text")))
+    x, f = F.col("text"), F.col("f")
     plain = strip_bullets(x)
 
     found = held(found, span=F.when(x.rlike(dates.YEAR), dates.date_range(fold_only(x))))
@@ -54,27 +82,33 @@ def cv_records(docs: DataFrame) -> DataFrame:
     job = F.when(span["start"].isNotNull(), F.struct(F.col("before").alias("company"), F.nullif(rest, F.lit("")).alias("position"), span["start"].alias("start"), span["end"].alias("end")))
 
     schooled = f.rlike("bachiller|primaria|secundaria|tecnic|tecnolog|universi|ingenier|licenciad|especializa|maestria|colegio|instituto|sena")
-    school = F.when(schooled, F.struct(education_level(f).alias("level"), plain.alias("text"), dates.last_year(x).alias("year")))
-    tongue = F.regexp_extract(f, rf"({'|'.join(LANGUAGES)})", 1)
-    level = F.coalesce(F.nullif(F.regexp_extract(f, rf"({LEVELS})", 1), F.lit("")), F.lit("intermedio"))
-    language = F.when(tongue != "", F.struct(tongue.alias("language"), level.alias("level")))
+    school = F.struct(education_level(f).alias("level"), plain.alias("text"), dates.last_year(x).alias("year"))
     number = numbers.phone(x)
     referee = F.when(number.isNotNull(), F.struct(F.nullif(F.trim(F.regexp_replace(F.replace(plain, number, F.lit("")), r"[^A-Za-zÁÉÍÓÚÑáéíóúñ ]+", " ")), F.lit("")).alias("name"), number.alias("phone")))
 
     labelled = lines.label_values(all_lines, {"l_first": ["nombres", "nombre"], "l_last": ["apellidos", "apellido"], "l_city": ["ciudad", "municipio", "residencia", "direccion"]})
-    shaped = in_header & F.length(x).between(4, 70) & names.looks_like_name(x) & (F.size(F.split(f, " ")) >= 2) & ~f.rlike("hoja de vida|curriculum") & ~shapes.is_job_not_city(x) & ~shapes.has_job(x)
+    shaped = in_header & F.length(x).between(4, 70) & names.looks_like_name(x) & (F.size(F.split(fold(x), " ")) >= 2) & ~fold(x).rlike("hoja de vida|curriculum") & ~shapes.is_job_not_city(x) & ~shapes.has_job(x)
     # What each line gives, its section deciding for what it is looked at; then one aggregation by document.
+    said_in = lambda s: (F.col("section") == s) & F.col("heading").isNull()
+    missing = lambda s: ~F.col(f"any_{s}") & F.col("heading").isNull()
+    says = lambda pattern: holds_any(f, STEMS[pattern]) & f.rlike(pattern)
+    prose = in_header & F.length(plain).between(45, 600) & says(PROFILE) & ~F.contains(x, F.lit("@")) & ~x.rlike(r"https?:|www\.")
     given = {
-        "experience": ("experiencia", job), "education": ("educacion", school), "languages": ("idiomas", language), "certifications": ("certificaciones", F.when(F.length(plain) > 3, plain)),
-        "references": ("referencias", referee), "s": ("perfil", x),
+        "experience": F.when(said_in("experiencia") | (missing("experiencia") & ~F.col("section").isin("educacion", "certificaciones")), job),
+        "education": F.when((said_in("educacion") & schooled) | (missing("educacion") & says(SCHOOLED) & (~f.rlike(WORKED) | f.rlike(SCHOOL))), school),
+        "languages": F.when(said_in("idiomas") | missing("idiomas"), languages_in(f)),
+        "certifications": F.when((said_in("certificaciones") & (F.length(plain) > 3)) | (missing("certificaciones") & (F.length(plain) >= 6) & says(CERTIFIED)), plain),
+        "references": F.when(said_in("referencias") | (missing("referencias") & says(REFEREE)), referee),
+        "s": F.when(said_in("perfil"), x), "prose": F.when(prose, plain),
     }
-    each = [F.when((F.col("section") == section) & F.col("heading").isNull(), v).alias(name) for name, (section, v) in given.items()]
-    said = held(found, v=F.struct(*each, F.when(shaped, x).alias("shaped"))).where(" OR ".join(f"v.{name} IS NOT NULL" for name in [*given, "shaped"]))
+    said = held(found, v=F.struct(*[v.alias(name) for name, v in given.items()], F.when(shaped, x).alias("shaped"))).where(" OR ".join(f"v.{name} IS NOT NULL" for name in [*given, "shaped"]))
     got = lambda name: F.array_sort(F.collect_list(F.when(F.col(f"v.{name}").isNotNull(), F.struct("pos", F.col(f"v.{name}").alias("v")))))
     listed = lambda name: F.transform(F.when(F.size(name) > 0, F.col(name)), lambda r: r["v"])
     items = said.groupBy("doc_id").agg(*[got(name).alias(name) for name in given], F.min_by("v.shaped", F.when(F.col("v.shaped").isNotNull(), F.col("pos"))).alias("shaped"))
-    summary = F.array_join(listed("s"), " ")
-    items = items.select("doc_id", "shaped", *[F.array_distinct(listed(name)).alias(name) for name in given if name != "s"], F.when(F.length(summary) >= 20, summary).alias("summary"))
+    summary, spoken = F.array_join(listed("s"), " "), F.flatten(listed("languages"))
+    names_of = F.transform(spoken, lambda r: r["language"])
+    lists = {name: F.array_distinct(listed(name)) for name in ("experience", "education", "certifications", "references")} | {"languages": F.filter(spoken, lambda r, i: F.array_position(names_of, r["language"]) == i + 1)}
+    items = items.select("doc_id", "shaped", *[v.alias(name) for name, v in lists.items()], F.when(F.length(summary) >= 20, summary).otherwise(F.array_join(listed("prose"), " ")).alias("summary"))
 
     folded = F.col("folded")
     texts = held(docs.select("doc_id", "text"), folded=fold_only_text(x))

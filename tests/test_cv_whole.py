@@ -37,3 +37,27 @@ def test_a_name_is_found_wherever_it_stands_in_the_header(spark):
 def test_a_summary_is_whole(spark):
     lines = [f"Persona responsable en la bodega {n}." for n in range(100)]
     assert records(spark, a="\n".join(["PERFIL", *lines]))["a"]["summary"] == " ".join(lines)
+
+
+def test_items_are_looked_for_in_all_lines_where_there_is_no_section(spark):
+    bare = """Ana Prueba López
+Persona responsable con seis años de trayectoria en bodegas
+Textiles Ejemplo SAS
+Auxiliar de bodega 2018 - 2021
+Bachiller, Colegio Inventado 2012
+Inglés avanzado, Francés básico | Alemán
+Curso de alturas 2020
+Referencia: Luis Ensayo 3105550101
+ana.prueba@example.org"""
+    r = records(spark, a=bare)["a"]
+    assert [(x["company"], x["position"]) for x in r["experience"]] == [("Textiles Ejemplo SAS", "auxiliar de bodega")]
+    assert [(x["level"], x["text"]) for x in r["education"]] == [("bachillerato", "Bachiller, Colegio Inventado 2012")]
+    assert [tuple(x) for x in r["languages"]] == [("ingles", "avanzado"), ("frances", "basico"), ("aleman", "intermedio")]
+    assert r["certifications"] == ["Curso de alturas 2020"] and [x["phone"] for x in r["references"]] == ["3105550101"]
+    assert r["summary"] == "Persona responsable con seis años de trayectoria en bodegas"
+
+
+def test_lines_of_other_sections_give_no_items_where_there_is_a_section(spark):
+    r = records(spark, a="Ana Prueba\nCurso de ingles\nIDIOMAS\nInglés B2, Ruso\nInglés\nCURSOS\nAlturas\nPERFIL\nTécnico, habla francés\nEDUCACIÓN\nBachiller")["a"]
+    assert [tuple(x) for x in r["languages"]] == [("ingles", "b2"), ("ruso", "intermedio")]
+    assert r["certifications"] == ["Alturas"] and [x["text"] for x in r["education"]] == ["Bachiller"]
